@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, quality, secret_scan, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_quality": quality.op8_quality,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,

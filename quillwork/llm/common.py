@@ -109,10 +109,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each ``data[start:end]``."""
-    power, inverse = _powers(len(data) + 1)
+    return hash_spans(hash_sums(data), start, end)
+
+
+def hash_sums(data: np.ndarray) -> np.ndarray:
+    power, _ = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-    h = (total[end] - total[start]) * inverse[start]
+    return total
+
+
+def hash_spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """As ``span_hashes``, from ``hash_sums`` of the bytes."""
+    _, inverse = _powers(len(sums))
+    h = (sums[end] - sums[start]) * inverse[start]
     h += (end - start).astype(np.uint64)
     return mix(h)
 
@@ -125,6 +135,7 @@ class Words:
     end: np.ndarray
     doc: np.ndarray  # index of a word's text within the slice
     hash: np.ndarray
+    sums: np.ndarray  # for hash_spans
 
 
 def is_word(*more: bytes) -> np.ndarray:
@@ -162,7 +173,8 @@ def word_table(raw: list[bytes], kind: np.ndarray = WORD, lower: bool = True) ->
         data = LOWER[data]
     start, end = runs(kind[data])
     doc = np.searchsorted(first, start, side="right") - 1
-    return Words(data, first, start, end, doc, span_hashes(data, start, end))
+    sums = hash_sums(data)
+    return Words(data, first, start, end, doc, hash_spans(sums, start, end), sums)
 
 
 def grams(words: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
