@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, packing, quality, secret_scan, toxicity
+from . import bpe, exact_dedup, license_scan, near_dedup, packing, quality, secret_scan, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_quality": quality.op8_quality,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 SQL = {
