@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, near_dedup, packing, pii, quality, secret_scan, toxicity
+from . import bpe, exact_dedup, license_scan, media, near_dedup, packing, pii, quality, secret_scan, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_media_columns": media.op3_media_columns,
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_pii": pii.op5_pii,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
