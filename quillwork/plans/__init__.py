@@ -1,4 +1,4 @@
 """Package part: named queries over the fixture tables, with SQL that gives the same rows."""
 
-from . import reports, timeline  # noqa: F401
+from . import learner, reports, timeline  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
