@@ -142,15 +142,16 @@ def system_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("lane", F.when(F.col("failed") * 3 > F.col("n"), "error").when(F.col("queued") * 3 > F.col("n"), "warning").otherwise("ok").alias("state"))
 
 
-@query("""WITH v2 AS (SELECT p_partkey AS id, p_size + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS size FROM part WHERE p_partkey % 7 <> 0
-    UNION ALL SELECT p_partkey + 1000000, p_size FROM part WHERE p_partkey % 100 = 0)
+@query("""WITH v2 AS (SELECT p_partkey AS id, p_size + CASE WHEN p_type = 'SMALL' THEN 1 ELSE 0 END AS size FROM part WHERE p_brand <> 'Brand#7'
+    UNION ALL SELECT -1 - p_partkey, p_size FROM part WHERE p_brand = 'Brand#9')
   SELECT coalesce(a.p_partkey, b.id) AS id, CASE WHEN a.p_partkey IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.p_size <> b.size THEN 'changed' ELSE 'same' END AS change
   FROM part a FULL JOIN v2 b ON a.p_partkey = b.id""")
 def draft_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a second version of a plan changes, removes and adds."""
-    old = T.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"))
-    bump = F.when(F.col("id") % 5 == 0, 1).otherwise(0)
-    new = old.where("id % 7 <> 0").select("id", (F.col("size") + bump).alias("size2")).union(old.where("id % 100 = 0").select(F.col("id") + 1_000_000, "size"))
+    part = T.read(spark, sf_dir, "part")
+    old = part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"))
+    kept = part.where("p_brand <> 'Brand#7'").select(F.col("p_partkey").alias("id"), (F.col("p_size") + F.when(F.col("p_type") == "SMALL", 1).otherwise(0)).alias("size2"))
+    new = kept.union(part.where("p_brand = 'Brand#9'").select(-1 - F.col("p_partkey"), "p_size"))
     both = old.join(new, "id", "full")
     change = F.when(F.col("size").isNull(), "added").when(F.col("size2").isNull(), "removed").when(F.col("size") != F.col("size2"), "changed").otherwise("same")
     return both.select("id", change.alias("change"))

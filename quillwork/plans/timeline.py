@@ -46,10 +46,10 @@ def interval_clip_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("session", "kind").agg(F.sum(F.col("end") - F.col("from")).alias("seconds"), F.count(F.lit(1)).alias("kept"))
 
 
-@query(f"WITH {T.INTERVALS}, {_days(0)} SELECT id, day, f AS \"from\", t AS \"to\" FROM days WHERE session < 50")
+@query(f"WITH {T.INTERVALS}, {_days(0)} SELECT id, day, f AS \"from\", t AS \"to\" FROM days")
 def day_split_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The intervals of the first sessions (a filter of the report), cut at midnight."""
-    return L.by_study_day(T.intervals(spark, sf_dir).where("session < 50")).select("id", "day", "from", "to")
+    """All intervals, cut at midnight."""
+    return L.by_study_day(T.intervals(spark, sf_dir)).select("id", "day", "from", "to")
 
 
 @query(f"""WITH {T.INTERVALS}, p AS (SELECT *, {_PREV.format(k='session')} AS b FROM intervals),
@@ -85,11 +85,11 @@ def answer_absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.withColumn("n", following).where("kind = 'click' AND (n IS NULL OR n > end + 7200)").select("id", "session", "start")
 
 
-@query(f"""WITH {T.ATTEMPTS}, f AS (SELECT * FROM attempts WHERE day BETWEEN 19725 AND 19740 AND coalesce(outcome, 'pending') = 'pending' AND node < 50)
+@query(f"""WITH {T.ATTEMPTS}, f AS (SELECT * FROM attempts WHERE day BETWEEN 19725 AND 19740 AND coalesce(outcome, 'pending') = 'pending' AND kind = 'view')
   SELECT id, session, node, day, (SELECT count(*) FROM f) AS total FROM f ORDER BY moment DESC, id DESC LIMIT 20 OFFSET 40""")
 def history_filter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The third page of what is pending in a window of days and a range of nodes, with the number of all."""
-    df = T.attempts(spark, sf_dir).where(F.col("day").between(19725, 19740) & (F.coalesce("outcome", F.lit("pending")) == "pending") & (F.col("node") < 50))
+    """The third page of what is pending of one kind in a window of days, with the number of all."""
+    df = T.attempts(spark, sf_dir).where(F.col("day").between(19725, 19740) & (F.coalesce("outcome", F.lit("pending")) == "pending") & (F.col("kind") == "view"))
     return R.page(df.select("id", "session", "node", "day", "moment"), [F.desc("moment"), F.desc("id")], 40, 20, {"total": F.count(F.lit(1))}).drop("moment")
 
 
@@ -107,12 +107,12 @@ def pace_seven_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {T.ATTEMPTS}, p AS (SELECT session, sum(seconds) / 30.0 AS pace FROM attempts GROUP BY 1),
-  q AS (SELECT p_partkey, p_size * 60 AS need, sum(p_size * 60) OVER (ORDER BY p_partkey) AS upto FROM part WHERE p_partkey < 100)
-  SELECT session, CAST(ceil((SELECT max(upto) FROM q) / pace) AS BIGINT) AS days_left FROM p WHERE pace > 0""")
+  q AS (SELECT sum(p_size * 60) AS need FROM part)
+  SELECT session, CAST(ceil((SELECT need FROM q) / pace) AS BIGINT) AS days_left FROM p WHERE pace > 0""")
 def pace_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days that the first hundred plan items (the report's plan) take at each session's pace."""
+    """Days that all plan items take at each session's pace."""
     pace = T.attempts(spark, sf_dir).groupBy("session").agg((F.sum("seconds") / 30.0).alias("pace")).where("pace > 0")
-    need = T.read(spark, sf_dir, "part").where("p_partkey < 100").agg(F.sum(F.col("p_size") * 60).alias("need")).withColumn("one", F.lit(1))
+    need = T.read(spark, sf_dir, "part").agg(F.sum(F.col("p_size") * 60).alias("need")).withColumn("one", F.lit(1))
     return pace.withColumn("one", F.lit(1)).join(F.broadcast(need), "one").select("session", F.ceil(F.col("need") / F.col("pace")).alias("days_left"))
 
 
