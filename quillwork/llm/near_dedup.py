@@ -247,10 +247,9 @@ def _labelled(classes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (the least identifier of its group), class_size, kept, n_links.
+    """One row per row of ``docs``: doc_id, class_id (the least identifier of its group), class_size, kept.
 
-    A group is a component of the relation "similarity of the shingles' multisets at least 0.8"; ``n_links`` counts the
-    links between different multisets that were followed from the document's own (copies need no links). Words are runs of
+    A group is a component of the relation "similarity of the shingles' multisets at least 0.8". Words are runs of
     letters and digits in lower case; texts of one to four words are one shingle; texts without words are alike if they are
     equal. Null texts count as empty. Rows with a null identifier are groups of one each. Rows that repeat an identifier
     are of one group, with all that any of their texts is alike to; ``kept`` is true for the rows whose identifier is
@@ -262,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = common.cut(signed)
     # One class for each multiset, known by its least identifier.
     best = F.min(F.struct("id", "bands", "sketch"))
-    classes = common.cut(member.where("id IS NOT NULL").groupBy("key").agg(best.alias("m"), F.count(F.lit(1)).alias("copies")).select("key", F.col("m.id").alias("id"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch")))
+    classes = common.cut(member.where("id IS NOT NULL").groupBy("key").agg(best.alias("m"), F.count(F.lit(1)).alias("copies")).select("key", F.col("m.id").alias("id"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch"), "copies"))
     texts = rows.where("id IS NOT NULL")
     dealt = classes.select("id", F.posexplode("bands").alias("band", "h"))
     full = dealt.groupBy("band", "h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "h", "first")
@@ -271,26 +270,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = classes.select("id", "sketch")
     likely = stars.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_sketched, "a bigint, b bigint")
     links = common.cut(_verified(common.cut(likely), texts))
-    label = components(links)
-    known = _labelled(buckets, label)
+    star = common.cut(_labelled(classes.select("key", "id", "copies"), components(links)))
+    known = buckets.join(star.select("id", "label"), "id")
     ends = known.groupBy("band", "h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "h")
     open_ = common.cut(known.join(ends, ["band", "h"], "left_semi").select("id", "label").distinct())
-    more = common.cut(_verified(common.cut(_prefix_pairs(open_, texts)), texts))
-    links = links.union(more)
-    label = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    classed = common.cut(_labelled(classes.select("key", "id"), label).join(degree, "id", "left").select("key", "label", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return _members(member.select("id", "key"), classed)
-
-
-def _members(member: DataFrame, classed: DataFrame) -> DataFrame:
-    joined = member.join(classed, "key", "left")
-    sizes = joined.where("id IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("class_size"))
-    out = joined.join(sizes, "label", "left")
+    joined = components(_bridges(common.cut(_prefix_pairs(open_, texts)), open_, texts)).toDF("label", "root")
+    whole = star.join(joined, "label", "left").select("key", F.coalesce("root", "label").alias("label"), "copies")
+    sizes = whole.groupBy("label").agg(F.sum("copies").alias("class_size"))
+    classed = common.cut(whole.join(sizes, "label").select("key", "label", "class_size"))
     null = F.col("id").isNull()
-    return out.select(
+    return member.select("id", "key").join(classed, "key", "left").select(
         F.col("id").alias("doc_id"), F.when(~null, F.col("label")).alias("class_id"), F.when(null, 1).otherwise(F.col("class_size")).cast("bigint").alias("class_size"),
-        (null | (F.col("id") == F.col("label"))).alias("kept"), F.when(null, 0).otherwise(F.col("n_links")).cast("bigint").alias("n_links"))
+        (null | (F.col("id") == F.col("label"))).alias("kept"))
+
+
+def _bridges(pairs: DataFrame, open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of labels (a, b) that some verified pair of their members links.
+
+    One pair for each two labels is compared first; the others only where the labels are still apart after that. What is
+    left of the links is one edge for two labels, however many members they have.
+    """
+    of = lambda c, n: open_.select(F.col("id").alias(c), F.col("label").alias(n))
+    placed = common.cut(pairs.join(of("a", "la"), "a").join(of("b", "lb"), "b").select("a", "b", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")))
+    edge = lambda found: placed.join(found, ["a", "b"], "left_semi").select("la", "lb").distinct()
+    one = placed.groupBy("la", "lb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
+    first = common.cut(edge(_verified(one, texts)))
+    roots = components(first.toDF("a", "b"))
+    up = lambda df, c: df.join(roots.toDF(c, f"r{c}"), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    rest = up(up(placed.join(one, ["a", "b"], "left_anti"), "la"), "lb").where("rla <> rlb").select("a", "b")
+    second = edge(_verified(common.cut(rest), texts))
+    return first.union(second).toDF("a", "b")
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
