@@ -264,9 +264,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = common.cut(member.where("id IS NOT NULL").groupBy("key").agg(best.alias("m"), F.count(F.lit(1)).alias("copies")).select("key", F.col("m.id").alias("id"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch"), "copies"))
     texts = rows.where("id IS NOT NULL")
     dealt = classes.select("id", F.posexplode("bands").alias("band", "h"))
-    full = dealt.groupBy("band", "h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "h", "first")
-    buckets = common.cut(dealt.join(full, ["band", "h"]).select("band", "h", "id", "first"))
-    stars = buckets.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    full = dealt.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = common.cut(dealt.join(full, ["band", "h"]))
+    # The star's centre is the member that shares most buckets with most others: copies gather around what they were made of.
+    met = buckets.groupBy("id").agg(F.sum("n").alias("met"))
+    placed = buckets.join(met, "id")
+    first = placed.groupBy("band", "h").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("first"))
+    stars = placed.select("band", "h", "id").join(first, ["band", "h"]).where("id <> first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()
     sketch = classes.select("id", "sketch")
     likely = stars.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_sketched, "a bigint, b bigint")
     links = common.cut(_verified(common.cut(likely), texts))
