@@ -1,4 +1,4 @@
 """Package part: named queries over the fixture tables, with SQL that gives the same rows."""
 
-from . import documents, learner, reports, search, timeline  # noqa: F401
+from . import documents, learner, reports, search, streams, timeline  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
