@@ -200,8 +200,8 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _prefix_pairs(open_: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different labels among the classes ``open_`` (id, label), by prefix filter.
+def _prefix_pairs(held: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of different labels among classes (id, label, text), by prefix filter.
 
     Copies of a shingle count as elements of their own, so a multiset is a set. Two sets of sizes x and y reach similarity t
     only if they share t/(1+t)(x+y) elements, so in any common order their first elements up to that bound must meet: here
@@ -220,7 +220,7 @@ def _prefix_pairs(open_: DataFrame, texts: DataFrame) -> DataFrame:
                 of = pa.array(doc[rep] + at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(e.view(np.int64)), pa.array(total[doc[rep]].astype(np.int32))], names=["id", "label", "e", "size"])
 
-    all_ = common.cut(texts.join(open_, "id").select("id", "label", "text").mapInArrow(elements, "id bigint, label bigint, e bigint, size int"))
+    all_ = held.select("id", "label", "text").mapInArrow(elements, "id bigint, label bigint, e bigint, size int")
     seen = all_.groupBy("e").agg(F.count(F.lit(1)).alias("seen"))
     # Elements that one text alone has can't be shared; they only move the others back in the order.
     shared = all_.join(seen.where("seen > 1"), "e")
@@ -277,8 +277,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = common.cut(_labelled(classes.select("key", "id", "copies"), components(links)))
     known = buckets.join(star.select("id", "label"), "id")
     ends = known.groupBy("band", "h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "h")
-    open_ = common.cut(known.join(ends, ["band", "h"], "left_semi").select("id", "label").distinct())
-    joined = components(_bridges(common.cut(_prefix_pairs(open_, texts)), open_, texts)).toDF("label", "root")
+    open_ = known.join(ends, ["band", "h"], "left_semi").select("id", "label").distinct()
+    held = common.cut(texts.join(open_, "id"))  # from here on only these texts are read
+    joined = components(_bridges(common.cut(_prefix_pairs(held)), held)).toDF("label", "root")
     whole = star.join(joined, "label", "left").select("key", F.coalesce("root", "label").alias("label"), "copies")
     sizes = whole.groupBy("label").agg(F.sum("copies").alias("class_size"))
     classed = common.cut(whole.join(sizes, "label").select("key", "label", "class_size"))
@@ -288,13 +289,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (null | (F.col("id") == F.col("label"))).alias("kept"))
 
 
-def _bridges(pairs: DataFrame, open_: DataFrame, texts: DataFrame) -> DataFrame:
+def _bridges(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """Pairs of labels (a, b) that some verified pair of their members links.
 
     One pair for each two labels is compared first; the others only where the labels are still apart after that. What is
     left of the links is one edge for two labels, however many members they have.
     """
-    of = lambda c, n: open_.select(F.col("id").alias(c), F.col("label").alias(n))
+    texts = held.select("id", "text")
+    of = lambda c, n: held.select(F.col("id").alias(c), F.col("label").alias(n)).distinct()
     placed = common.cut(pairs.join(of("a", "la"), "a").join(of("b", "lb"), "b").select("a", "b", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")))
     edge = lambda found: placed.join(found, ["a", "b"], "left_semi").select("la", "lb").distinct()
     one = placed.groupBy("la", "lb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
