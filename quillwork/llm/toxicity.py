@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of instances: its sentences, cut into stretches of at most WINDOW words so that an instance's evidence
-is bounded. An instance's probability is a logistic function of its hashed words; a document is toxic if any instance is,
+A document is a bag of instances: its sentences, very short neighbours put together (else a text of thousands of one-word
+sentences would look toxic by their number) and long ones cut to WINDOW words, so that an instance's evidence is bounded. An instance's probability is a logistic function of its hashed words; a document is toxic if any instance is,
 so the document's probability is their noisy-or. Only documents have labels; the gradient of the noisy-or tells instances
 apart, and an L1 step keeps the weights of words that tell nothing at zero. The fitted model then names the sentences.
 """
@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from . import common, learn
 
-BITS, WINDOW = 20, 24
+BITS, WINDOW, MERGED = 20, 24, 12
 #: Besides whole words, their beginnings of so many bytes are features: inflected and compound words share them.
 HEADS = (4, 5, 6, 7, 8)
 #: Labelled documents that a feature must be in to get a weight.
 SUPPORT = 4
-STEPS, RATE, L1, START = 150, 0.3, 2e-4, -6.0
+STEPS, RATE, L1, START = 200, 0.3, 1e-4, -9.0
 
 
 def _instances(raw: list[bytes]) -> tuple[common.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -35,7 +35,12 @@ def _instances(raw: list[bytes]) -> tuple[common.Words, np.ndarray, np.ndarray,
     stop = np.zeros(len(w.data) + 1, np.int64)
     np.cumsum((w.data == 46) | (w.data == 33) | (w.data == 63) | (w.data == 10), out=stop[1:])
     sentence = stop[w.start]
-    fresh = np.concatenate([[True], sentence[1:] != sentence[:-1]])
+    head = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
+    # Sentences that begin within the same MERGED words of their text are one instance; what is longer is cut.
+    text = np.searchsorted(w.doc, np.arange(len(raw)))
+    bucket = (head - text[w.doc[head]]) // MERGED
+    fresh = np.zeros(n, bool)
+    fresh[head[np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (w.doc[head[1:]] != w.doc[head[:-1]])])]] = True
     head = np.flatnonzero(fresh)
     within = np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))
     fresh |= within % WINDOW == 0
