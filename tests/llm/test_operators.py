@@ -77,9 +77,12 @@ def test_training_finds_the_offending_sentence():
     make = lambda bad: ". ".join(" ".join([*rng.choices(words, k=8), *(["vilework"] if bad and j == 2 else [])]) for j in range(5))
     y = np.array([i % 2 for i in range(200)], float)
     w = toxicity.fit([make(v) for v in y], y)
-    t, feature, instance, doc, first = toxicity._instances([make(1).encode(), make(0).encode()])
+    bad = make(1).encode()
+    t, feature, instance, doc, first = toxicity._instances([bad, make(0).encode()])
     z = w[-1] + np.bincount(instance, weights=w[:-1][feature], minlength=len(doc))
-    assert np.flatnonzero(z > 0).tolist() == [2]
+    (at,) = np.flatnonzero(z > 0)
+    last = np.append(first[1:], len(t.start))[at] - 1
+    assert b"vilework" in bad[t.start[first[at]] : t.end[last]] and last - first[at] < toxicity.WINDOW
 
 
 @pytest.mark.parametrize("name,label,modulus,rest,least", [("op2_toxicity", "toxic", 5, 0, 0.85), ("op8_quality", "quality", 4, 2, 0.9)])
