@@ -101,9 +101,9 @@ def similarity(a: str, b: str) -> float:
 def heading_matches(titles: DataFrame, headings: DataFrame, least: float = 0.45, sure: float = 0.86, margin: float = 0.04, most: int = 5) -> DataFrame:
     """Candidates (title_id, heading_id, score, place, auto) of titles (title_id, title) among headings (heading_id, heading).
 
-    Only pairs with a stem (six characters of a word) in common that few headings have are scored: the blocking join is on
-    stems, and a stem that more than ``COMMON`` headings have doesn't block (others of the title still do). A first
-    candidate is taken by itself if it is ``sure`` and ``margin`` ahead of the next.
+    Only pairs with two stems (six characters of a word) in common are scored: the blocking join is on stems, and counts of
+    shared stems are made before any text is looked at. A first candidate is taken by itself if it is ``sure`` and ``margin``
+    ahead of the next.
     """
     stems = lambda c: F.array_distinct(F.transform(F.filter(X.tokens(F.col(c)), lambda t: F.length(t) >= 4), lambda t: F.substring(t, 1, 6)))
     left = titles.select("title_id", "title", F.explode(stems("title")).alias("stem"))

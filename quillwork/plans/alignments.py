@@ -101,7 +101,7 @@ def visible_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quote_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where documents have quotations (a stated set of questions), in characters."""
     q = T.read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 30).alias("quote"))
-    hits = T.read(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(q), F.contains("text", F.col("quote")))
+    hits = T.read(spark, sf_dir, "documents").select("doc_id", "text").join(T.bounded(q), F.contains("text", F.col("quote")))
     start = F.expr("instr(text, quote)").cast("bigint") - 1
     return hits.select("item_id", "doc_id", start.alias("start"), (start + 30).alias("end"))
 
@@ -145,7 +145,7 @@ def lexical_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = T.read(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(X.tokens(F.col("text"))).alias("terms"))
     asked = q.select("item_id", F.size("terms").alias("k"), F.explode("terms").alias("term"))
     docs = T.read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    n = docs.join(F.broadcast(asked), "term").groupBy("item_id", "doc_id", "k").agg(F.count(F.lit(1)).alias("n"))
+    n = docs.join(T.bounded(asked), "term").groupBy("item_id", "doc_id", "k").agg(F.count(F.lit(1)).alias("n"))
     g = n.groupBy("item_id").agg(F.count_if(F.col("n") == F.col("k")).alias("all_terms"), F.count_if(F.col("n") * 4 >= F.col("k") * 3).alias("most_terms"), F.max("n").alias("best"))
     zero = F.lit(0).cast("bigint")
     return q.select("item_id").join(g, "item_id", "left").select("item_id", *(F.coalesce(c, zero).alias(c) for c in ("all_terms", "most_terms", "best")))

@@ -45,9 +45,9 @@ def numbered_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def heading_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark titles (first sixty characters) against documents' first lines."""
-    titles = T.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("title_id"), F.substring("text", 1, 60).alias("title"))
-    first = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60)
+    """Benchmark passages' first sentences against the first sentences of documents' first lines."""
+    titles = T.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("title_id"), F.split_part("text", F.lit("."), F.lit(1)).alias("title"))
+    first = F.split_part(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("."), F.lit(1))
     return S.heading_matches(titles, T.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("heading_id"), first.alias("heading")))
 
 
@@ -77,7 +77,7 @@ def grade_key_term_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = F.array_distinct(F.filter(X.tokens(F.col("text")), lambda t: F.length(t) > 5))
     q = T.read(spark, sf_dir, "benchmark").select("item_id", terms.alias("terms"))
     asked = q.select("item_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    seen = T.read(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").distinct()
+    seen = T.read(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).join(T.bounded(asked.select("term").distinct()), "term", "left_semi").distinct()
     hits = asked.join(seen, "term").groupBy("item_id", "lang").agg(F.count(F.lit(1)).alias("hit"))
     langs = T.read(spark, sf_dir, "documents").select("lang").distinct().agg(F.collect_list("lang").alias("langs")).withColumn("one", F.lit(1))
     every = q.select("item_id", F.nullif(F.size("terms"), F.lit(0)).alias("n"), F.lit(1).alias("one")).join(F.broadcast(langs), "one").select("item_id", "n", F.explode("langs").alias("lang"))
@@ -93,7 +93,7 @@ def evidence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     over the documents holds each against all of them."""
     q = T.read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("quote"), F.lower(X.squeezed(F.substring("text", 1, 40))).alias("nq"))
     docs = T.read(spark, sf_dir, "documents").select("doc_id", "text", F.lower(X.squeezed(F.col("text"))).alias("nt"))
-    hits = docs.join(F.broadcast(q), F.contains("nt", F.col("nq")) | F.contains("text", F.col("quote"))).groupBy("item_id").agg(F.min(F.when(F.contains("text", F.col("quote")), F.col("doc_id"))).alias("e"), F.min(F.when(F.contains("nt", F.col("nq")), F.col("doc_id"))).alias("n"))
+    hits = docs.join(T.bounded(q), F.contains("nt", F.col("nq")) | F.contains("text", F.col("quote"))).groupBy("item_id").agg(F.min(F.when(F.contains("text", F.col("quote")), F.col("doc_id"))).alias("e"), F.min(F.when(F.contains("nt", F.col("nq")), F.col("doc_id"))).alias("n"))
     how = F.when(F.col("e").isNotNull(), "exact").when(F.col("n").isNotNull(), "normalized").otherwise("lost")
     return q.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("e", "n", F.lit(-1)).alias("doc_id"), how.alias("how"))
 

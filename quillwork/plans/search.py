@@ -56,7 +56,7 @@ def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def missing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of each question's terms no document has."""
     q = T.read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    known = _docs(spark, sf_dir).select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).join(F.broadcast(q.select("term").distinct()), "term", "left_semi").distinct().withColumn("known", F.lit(True))
+    known = _docs(spark, sf_dir).select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).join(T.bounded(q.select("term").distinct()), "term", "left_semi").distinct().withColumn("known", F.lit(True))
     return q.join(known, "term", "left").groupBy("item_id").agg(F.count(F.lit(1)).alias("terms"), F.count_if(F.col("known").isNull()).alias("missing"))
 
 
@@ -181,7 +181,7 @@ def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     q = T.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.trim(F.split_part("text", F.lit("\n"), F.lit(1))).alias("k"))
     docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
-    both = docs.join(F.broadcast(q), F.contains("text", F.substring("k", 1, 20))).select("query", "id", F.contains("text", F.col("k")).alias("whole"))
+    both = docs.join(T.bounded(q), F.contains("text", F.substring("k", 1, 20))).select("query", "id", F.contains("text", F.col("k")).alias("whole"))
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("id")))
     m = Q.metrics(ranked.select("query", "id", "rank"), both.where("whole").select("query", "id"))
     return m.select("query", "targets", *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")))

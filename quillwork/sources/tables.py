@@ -10,6 +10,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has ``most`` rows at most (counted no further than that), else as it is: Spark then
+    joins it by its keys."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def money(column: str) -> Column:
     """Money as a decimal: sums don't depend on their order."""
     return F.col(column).cast("decimal(18,2)")
