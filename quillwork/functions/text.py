@@ -89,6 +89,12 @@ def normalized_url(x: Column) -> Column:
     return F.concat(host, F.regexp_replace(rest, r"/+$", ""))
 
 
+def video_id(x: Column) -> Column:
+    """The eleven-character identifier in a video's address (watch?v=, short host, embed or shorts path); null without one."""
+    found = F.regexp_extract(x, r"(?:[?&]v=|youtu\.be/|/embed/|/shorts/)([A-Za-z0-9_-]{11})(?:[?&#/]|$)", 1)
+    return F.nullif(found, F.lit(""))
+
+
 def public_url(x: Column) -> Column:
     """http or https, no user, a host with a dot that isn't a private or local address."""
     host = F.lower(F.regexp_extract(x, r"^https?://([^/?#:@]+)(?::\d+)?(?:[/?#]|$)", 1))

@@ -14,7 +14,7 @@ from quillwork.operators import retrieval as Q
 from quillwork.operators import structure as S
 from quillwork.operators import timeline as L
 from quillwork.operators import trees
-from quillwork.sources import html, sinks
+from quillwork.sources import files, html, sinks
 
 
 def values(spark, *columns):
@@ -137,3 +137,17 @@ def test_lines_round_trip(spark, tmp_path):
     sinks.export_lines(df, str(tmp_path / "x"))
     got = sinks.import_lines(spark, str(tmp_path / "x"), df.schema).orderBy("id").collect()
     assert [(r.id, r.b and bytes(r.b), r.s) for r in got] == [(1, b"\x00\xff", "x"), (2, None, None)]
+
+
+def test_files_once_by_content(spark, tmp_path):
+    for name, body in (("a.txt", "same"), ("b.txt", "same"), ("c.md", "other"), ("d.txt", "new")):
+        (tmp_path / name).write_text(body)
+    found = files.files(spark, str(tmp_path), "*.txt")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == ["a.txt", "d.txt"]
+    assert [r.path.rsplit("/", 1)[1] for r in files.unknown(found, found.where(F.col("path").endswith("a.txt"))).collect()] == ["d.txt"]
+    assert sorted(r.text for r in files.texts(spark, str(tmp_path)).collect()) == ["new", "other", "same", "same"]
+
+
+def test_video_ids(spark):
+    got = values(spark, *(X.video_id(F.lit(u)) for u in ("https://www.youtube.com/watch?a=1&v=abcdefghijk", "https://youtu.be/ABCDEFGHIJ_?t=3", "https://example.com/watch?v=short")))
+    assert got == ("abcdefghijk", "ABCDEFGHIJ_", None)
