@@ -273,12 +273,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = placed.select("band", "h", "id").join(first, ["band", "h"]).where("id <> first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()
     sketch = classes.select("id", "sketch")
     likely = stars.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_sketched, "a bigint, b bigint")
-    links = common.cut(_verified(common.cut(likely), texts))
+    near = common.cut(texts.join(buckets.select("id").distinct(), "id", "left_semi"))  # from here on only these texts are read
+    links = common.cut(_verified(common.cut(likely), near))
     star = common.cut(_labelled(classes.select("key", "id", "copies"), components(links)))
     known = buckets.join(star.select("id", "label"), "id")
     ends = known.groupBy("band", "h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "h")
     open_ = known.join(ends, ["band", "h"], "left_semi").select("id", "label").distinct()
-    held = common.cut(texts.join(open_, "id"))  # from here on only these texts are read
+    held = common.cut(near.join(open_, "id"))
     joined = components(_bridges(common.cut(_prefix_pairs(held)), held)).toDF("label", "root")
     whole = star.join(joined, "label", "left").select("key", F.coalesce("root", "label").alias("label"), "copies")
     sizes = whole.groupBy("label").agg(F.sum("copies").alias("class_size"))
