@@ -15,8 +15,9 @@ from . import common
 SAMPLE = 6000
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, sample: int = SAMPLE) -> DataFrame:
-    """Text and label (0 or 1) of at most ``sample`` rows that aren't held out, about as many of either label.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, sample: int = SAMPLE, even: bool = True) -> DataFrame:
+    """Text and label (0 or 1) of at most ``sample`` rows that aren't held out: as many of either label as there are up to half
+    of it, or (not ``even``) in the proportion that the labels have.
 
     The bound is drawn from the small table of labels before any text is joined, so only the sample's texts move. A
     document whose labels contradict each other counts as labelled by the larger one.
@@ -24,8 +25,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, s
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     order = F.xxhash64("doc_id", F.lit(7))
-    each = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(sample // 2) for y in (0, 1)]
-    chosen = F.broadcast(each[0].unionByName(each[1]))  # SAMPLE rows of two numbers
+    if even:
+        each = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(sample // 2) for y in (0, 1)]
+        chosen = F.broadcast(each[0].unionByName(each[1]))  # SAMPLE rows of two numbers
+    else:
+        chosen = F.broadcast(known.orderBy(order, "doc_id").limit(sample))
     return docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"])
 
 

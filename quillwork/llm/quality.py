@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from . import common, learn
 
 BITS, SCALE = 18, 12.0
-ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 0.002, 0.001, 3
+ALPHA, BETA, L1, L2 = 0.15, 1.0, 0.002, 0.001
+#: Passes over the sample, and the updates that small samples get at least by more passes.
+EPOCHS, UPDATES = 3, 18_000
 
 _MARK = np.zeros(256, bool)
 _MARK[33:127] = True
@@ -59,7 +61,7 @@ def fit(texts: list[str], y: np.ndarray) -> np.ndarray:
             vectors.append((np.append(key[k] - i * size, size), np.append(count[k] * (SCALE / max(1, n[i])), 1.0)))
     z, g2 = np.zeros(size + 1), np.zeros(size + 1)
     order = np.random.default_rng(11)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-UPDATES // len(texts)))):
         for i in order.permutation(len(texts)):
             k, x = vectors[i]
             zk, nk = z[k], g2[k]
@@ -101,7 +103,7 @@ def scored(docs: DataFrame, weights: np.ndarray, keep: list[str], text_col: str
 def model(docs: DataFrame, labels: DataFrame, sample: int = learn.SAMPLE) -> np.ndarray:
     """Weights learned from labelled rows whose crc32 of the identifier, modulo 4, isn't 2; ``sample`` of them at most."""
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    return learn.fitted(learn.labelled(docs, labels, "quality", held, sample), fit)
+    return learn.fitted(learn.labelled(docs, labels, "quality", held, sample, even=False), fit)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
