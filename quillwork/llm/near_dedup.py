@@ -33,6 +33,8 @@ BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
 #: Least share of equal slots for a pair to be compared: 5 standard errors under the threshold.
 SEEMING = THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SLOTS)
+#: Pairs with the same first identifier that are compared in one task, as a rule.
+PART = 256
 #: A text's horizon leaves each slot empty with probability exp(-SPAN) / SLOTS; texts with empty slots get longer ones.
 SPAN = 4.0
 
@@ -173,11 +175,16 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are near-duplicates. Only texts of some pair are moved; Spark splits hot sides."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = texts.join(used, "id", "left_semi")
-    one = pairs.join(held.withColumnRenamed("id", "b").withColumnRenamed("text", "tb"), "b")
-    both = one.join(held.withColumnRenamed("id", "a").withColumnRenamed("text", "ta"), "a")
+    """The pairs (a, b) whose texts are near-duplicates. Only texts of some pair are moved.
+
+    An identifier may be the first of very many pairs (a star's centre): its pairs are dealt out to as many parts as hold
+    PART each, and its text goes to each of them.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+    one = dealt.join(texts.withColumnRenamed("id", "b").withColumnRenamed("text", "tb"), "b")
+    first = texts.withColumnRenamed("id", "a").withColumnRenamed("text", "ta").join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    both = one.join(first, ["a", "part"])
     return both.select("a", "b", "ta", "tb").mapInArrow(_compared, "a bigint, b bigint").distinct()
 
 
@@ -270,7 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = buckets.groupBy("id").agg(F.sum("n").alias("met"))
     placed = buckets.join(met, "id")
     first = placed.groupBy("band", "h").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("first"))
-    stars = placed.select("band", "h", "id").join(first, ["band", "h"]).where("id <> first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()
+    stars = placed.select("band", "h", "id").join(first, ["band", "h"]).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     sketch = classes.select("id", "sketch")
     likely = stars.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_sketched, "a bigint, b bigint")
     near = common.cut(texts.join(buckets.select("id").distinct(), "id", "left_semi"))  # from here on only these texts are read
