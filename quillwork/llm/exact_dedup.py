@@ -1,6 +1,6 @@
 """Exact deduplication by a content sort.
 
-Texts are ordered by a bounded prefix, then by digest, text and identifier. Sampled splitters (Spark's range exchange)
+Texts are ordered by a bounded prefix, then by a hash, the text and the identifier. Sampled splitters (Spark's range exchange)
 deal that order out to partitions, each partition sorts externally, and a stream over the sorted rows compares each text
 with the one before it in full. The identifier is part of the splitters' key, so a text that a third of all rows share
 spreads over many partitions; its runs are put together again from the first and the last run of each partition, a table
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Characters of a text that take part in the splitters' key; what follows is ordered by the digest.
-PREFIX = 32
+#: Characters of a text that take part in the splitters' key; what follows is ordered by a hash of 64 bits, so that the
+#: sample of keys that splitters are drawn from is small. Texts of equal hashes are told apart by the sort and the comparison.
+PREFIX = 16
 RUN_SCHEMA = "_n bigint, _top bigint, _last boolean, _part int, _run bigint, _edge boolean"
 
 
@@ -27,7 +28,7 @@ def _sorted(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Dat
     """Rows with _i (identifier), _t (text, null as empty) and _d (digest); equal texts adjacent, by identifier."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(*keep, F.col(id_col).cast("long").alias("_i"), t.alias("_t"), F.sha2(F.encode(t, "UTF-8"), 256).alias("_d"))
-    key = [F.substring("_t", 1, PREFIX), F.col("_d"), F.col("_i").asc_nulls_first()]
+    key = [F.substring("_t", 1, PREFIX), F.xxhash64("_t"), F.col("_i").asc_nulls_first()]
     return rows.repartitionByRange(*key).sortWithinPartitions(*key[:2], "_t", key[2])
 
 
