@@ -14,9 +14,12 @@ from quillwork.llm import common, exact_dedup, near_dedup, packing, secret_scan,
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is under 0.5; the model learns from the labelled ones among ``docs``."""
+    """Documents whose toxicity is under 0.5; the model learns from the labelled ones among ``docs``. Columns keep their names
+    even where they are called as the score is."""
     weights = toxicity.model(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, weights, docs.columns).where("score < 0.5").select(*docs.columns)
+    own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    kept = toxicity.scored(own, weights, own.columns, own.columns[docs.columns.index("text")]).where("score < 0.5")
+    return kept.select(*own.columns).toDF(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

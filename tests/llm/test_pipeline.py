@@ -42,3 +42,19 @@ def test_stages(spark, sf_dir, tmp_path):
 
 def test_run_gives_the_last_stage(spark, sf_dir):
     assert set(C.run(spark, sf_dir).columns) >= {"doc_id", "start", "length", "sequence_id", "offset"}
+
+
+def test_stages_take_odd_tables(spark, sf_dir):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names; and no rows."""
+    rows = [(1, None, None, None, None, 1.0), (2, "", "en", "s", 0, None), (3, "word " * 30_000, "en", "s", 5, 0.2), (4, "same text here", None, "s", 14, 0.1), (4, "same text here", None, "s", 14, 0.1),
+            (None, "token: abcdefghijkl99", "en", None, None, None), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double")
+    for df in (docs, docs.where("1 = 0")):
+        n = df.count()
+        for name, stage in C.STAGES:
+            df = common.cut(stage(spark, df, sf_dir))
+            if name != "packing":
+                assert df.columns == docs.columns
+            if name == "exact_dedup":
+                assert df.count() == (4 if n else 0)  # null and empty texts are one
+        assert (df.count() > 0) == (n > 0)
