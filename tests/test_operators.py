@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions import arrays as A
 from quillwork.functions import text as X
+from quillwork.functions import vectorised as V
 from quillwork.operators import grading as G
 from quillwork.operators import memory as M
 from quillwork.operators import planning as P
@@ -151,3 +152,12 @@ def test_files_once_by_content(spark, tmp_path):
 def test_video_ids(spark):
     got = values(spark, *(X.video_id(F.lit(u)) for u in ("https://www.youtube.com/watch?a=1&v=abcdefghijk", "https://youtu.be/ABCDEFGHIJ_?t=3", "https://example.com/watch?v=short")))
     assert got == ("abcdefghijk", "ABCDEFGHIJ_", None)
+
+
+def test_vectorised_text(spark):
+    df = spark.createDataFrame([("ＡＢＣ — Straße", "Ёлка, 12", ["matrix", "vektor", "zz"], ["matrices", "vector", "matrix"]), (None, None, None, None)], "a string, b string, c array<string>, d array<string>")
+    rows = df.select(V.normalized(F.col("a")).alias("n"), V.token_positions(F.col("b")).alias("t"), V.soft_overlap(F.col("c"), F.col("d")).alias("o")).collect()
+    assert rows[0].n == "abc strasse" and rows[1].n is None
+    assert [(x.token, x.start, x.end) for x in rows[0].t] == [("елка", 0, 4), ("12", 6, 8)] and rows[1].t == []
+    assert (rows[0].o, rows[1].o) == (2, 0)
+    assert values(spark, V.with_synonyms(F.lit("A car, CAR and cars $"), {"car": "auto$"}))[0] == "A auto$, auto$ and cars $"
