@@ -60,7 +60,7 @@ def divided(links: DataFrame, left: str, right: str, all_right: DataFrame) -> Da
     return have.join(F.broadcast(need.agg(F.count(F.lit(1)).alias("need"))), F.col("have") == F.col("need")).select(left)
 
 
-def pivoted(df: DataFrame, row: str, column: str, values: Sequence[str], other: str | None = None) -> DataFrame:
-    """Counts by ``row`` with one column for each of ``values`` (nulls under ``other``), zeros included."""
+def pivoted(df: DataFrame, row: str, column: str, values: Sequence[str], other: str | None = None, **more: Column) -> DataFrame:
+    """Counts by ``row`` with one column for each of ``values`` (nulls under ``other``), zeros included; and ``more``."""
     c = F.coalesce(F.col(column), F.lit(other)) if other else F.col(column)
-    return df.groupBy(row).agg(*(F.count_if(c == v).alias(v) for v in values), F.count(F.lit(1)).alias("total"))
+    return df.groupBy(row).agg(*(F.count_if(c == v).alias(v) for v in values), F.count(F.lit(1)).alias("total"), *(a.alias(n) for n, a in more.items()))

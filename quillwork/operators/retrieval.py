@@ -23,11 +23,16 @@ def lexical(docs: DataFrame, id_col: str, text_col: str, terms: list[str], phras
     """(id, score) of documents with any of the terms or of the phrases (pairs of neighbouring words), by BM25.
 
     A query has a few terms, so each document's counts are columns of its own row, found where its text is read; only the
-    statistics (one row) are aggregated over all documents. Nothing is exploded.
+    statistics (one row) are aggregated over all documents. Nothing is exploded. Documents that don't have a term's
+    characters at all are passed over before they are cut into tokens again; the rest is settled by the score, which a filter
+    on the counts would make Catalyst compute several times.
     """
     ts = X.tokens(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), ts.alias("ts"))
     keys = [*terms, *(" ".join(p) for p in phrases)]
+    may = F.lit(False)
+    for k in keys:
+        may = may | F.contains(X.fold(F.col(text_col)), F.lit(k.split(" ")[0]))
 
     def found(k: str) -> Column:
         if " " not in k:
@@ -35,10 +40,10 @@ def lexical(docs: DataFrame, id_col: str, text_col: str, terms: list[str], phras
         a, b = k.split(" ")
         return F.size(F.filter(F.zip_with(F.col("ts"), F.slice("ts", F.lit(2), F.greatest(F.size("ts") - 1, F.lit(0))), lambda x, y: (x == a) & F.coalesce(y == b, F.lit(False))), lambda v: v))
 
-    tf = rows.select("id", F.size("ts").alias("length"), *(found(k).alias(f"f{i}") for i, k in enumerate(keys)))
+    counts = [F.size("ts").alias("length"), *(found(k).alias(f"f{i}") for i, k in enumerate(keys))]
+    tf = rows.select("id", *counts)
     stats = tf.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(keys)))).withColumn("one", F.lit(1))
-    any_ = F.greatest(*(F.col(f"f{i}") for i in range(len(keys)))) > 0 if len(keys) > 1 else F.col("f0") > 0
-    hit = tf.where(any_).withColumn("one", F.lit(1)).join(F.broadcast(stats), "one")
+    hit = docs.where(may).select(F.col(id_col).alias("id"), ts.alias("ts")).select("id", *counts).withColumn("one", F.lit(1)).join(F.broadcast(stats), "one")
 
     def part(i: int) -> Column:
         f, d = F.col(f"f{i}"), F.col(f"d{i}")
@@ -48,7 +53,7 @@ def lexical(docs: DataFrame, id_col: str, text_col: str, terms: list[str], phras
     score = part(0)
     for i in range(1, len(keys)):
         score = score + part(i)
-    return hit.select("id", score.alias("score"))
+    return hit.select("id", score.alias("score")).where("score > 0")
 
 
 def nearest(vectors: DataFrame, query: list[float], id_col: str, vector_col: str) -> DataFrame:
@@ -74,11 +79,14 @@ def fused(rankings: dict[str, DataFrame], k: int = RRF, weights: dict[str, float
     return g.select("id", "score", F.transform("s", lambda x: x["name"]).alias("signals"), "first")
 
 
-def deduplicated(hits: DataFrame, hash_col: str, name_col: str, order: list[Column]) -> DataFrame:
-    """The first hit of each content, with the names of the others in ``also_in``."""
-    w = Window.partitionBy(hash_col)
-    marked = hits.withColumn("_n", F.row_number().over(w.orderBy(*order))).withColumn("_names", F.array_sort(F.collect_set(name_col).over(w)))
-    return marked.where("_n = 1").withColumn("also_in", F.array_remove("_names", F.col(name_col))).drop("_n", "_names")
+def deduplicated(hits: DataFrame, hash_col: str, name_col: str, order: list[str]) -> DataFrame:
+    """The first hit of each content by ``order``, with the names of the others in ``also_in``.
+
+    An aggregate, not a window: of a content that very many hits share, each task sends one row.
+    """
+    rest = [c for c in hits.columns if c not in (*order, hash_col)]
+    g = hits.groupBy(hash_col).agg(F.min(F.struct(*order, *rest)).alias("_f"), F.array_sort(F.collect_set(name_col)).alias("_names"))
+    return g.select(hash_col, "_f.*", "_names").withColumn("also_in", F.array_remove("_names", F.col(name_col))).drop("_names")
 
 
 def neighbours(rows: DataFrame, hits: DataFrame, key: str, pos: str, reach: int) -> DataFrame:

@@ -41,8 +41,7 @@ def library_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = T.read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     kind = F.when(F.col("quality") == 1, "text").when((F.col("quality") == 0) & (F.col("toxic") == 1), "ocr").when(F.col("quality") == 0, "ocr_low").otherwise("unread")
     docs = T.read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(labels, "doc_id", "left").withColumn("kind", kind)
-    counts = R.pivoted(docs, "lang", "kind", ["text", "ocr", "ocr_low", "unread"])
-    return counts.join(docs.groupBy("lang").agg(F.sum("n_chars").alias("chars")), "lang")
+    return R.pivoted(docs, "lang", "kind", ["text", "ocr", "ocr_low", "unread"], chars=F.sum("n_chars"))
 
 
 @query("""SELECT l_partkey AS topic, count(DISTINCT o) AS sources FROM (

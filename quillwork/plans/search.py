@@ -127,7 +127,7 @@ _SQUEEZED = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
   SELECT doc_id, array_to_string(list_filter(names, lambda x: x <> source), ',') AS also_in FROM g WHERE rn = 1""")
 def hit_dedup_also_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _docs(spark, sf_dir).select("doc_id", "source", X.content_hash(F.col("text")).alias("h"))
-    return Q.deduplicated(hits, "h", "source", [F.col("doc_id")]).select("doc_id", F.array_join("also_in", ",").alias("also_in"))
+    return Q.deduplicated(hits, "h", "source", ["doc_id"]).select("doc_id", F.array_join("also_in", ",").alias("also_in"))
 
 
 @query(f"SELECT count(*) AS documents, count(DISTINCT {_SQUEEZED}) AS distinct_texts, count(*) - count(DISTINCT {_SQUEEZED}) AS copies FROM documents")
