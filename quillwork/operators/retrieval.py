@@ -20,30 +20,18 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def lexical(docs: DataFrame, id_col: str, text_col: str, terms: list[str], phrases: list[tuple[str, str]] = ()) -> DataFrame:
-    """(id, score) of documents with any of the terms or of the phrases (pairs of neighbouring words), by BM25.
+    """(id, score) of all documents by the terms and phrases (pairs of neighbouring words) that they have, by BM25; 0: none.
 
-    A query has a few terms, so each document's counts are columns of its own row, found where its text is read; only the
-    statistics (one row) are aggregated over all documents. Nothing is exploded. Documents that don't have a term's
-    characters at all are passed over before they are cut into tokens again; the rest is settled by the score, which a filter
-    on the counts would make Catalyst compute several times.
+    A query has a few terms, so each document's counts are columns of its own row, found where its text is read, by replacing
+    fixed strings; only the statistics (one row) are aggregated over all documents. Nothing is exploded. What
+    has no term is filtered out after the top is taken: a filter before it would be pushed down to where Catalyst computes
+    the counts again for it. A phrase's words must differ.
     """
-    ts = X.tokens(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), ts.alias("ts"))
     keys = [*terms, *(" ".join(p) for p in phrases)]
-    may = F.lit(False)
-    for k in keys:
-        may = may | F.contains(X.fold(F.col(text_col)), F.lit(k.split(" ")[0]))
-
-    def found(k: str) -> Column:
-        if " " not in k:
-            return F.size(F.filter("ts", lambda t: t == k))
-        a, b = k.split(" ")
-        return F.size(F.filter(F.zip_with(F.col("ts"), F.slice("ts", F.lit(2), F.greatest(F.size("ts") - 1, F.lit(0))), lambda x, y: (x == a) & F.coalesce(y == b, F.lit(False))), lambda v: v))
-
-    counts = [F.size("ts").alias("length"), *(found(k).alias(f"f{i}") for i, k in enumerate(keys))]
-    tf = rows.select("id", *counts)
+    counts = [X.spaced_length(F.col("s")).alias("length"), *(X.spaced_count(F.col("s"), k).alias(f"f{i}") for i, k in enumerate(keys))]
+    tf = docs.select(F.col(id_col).alias("id"), X.spaced(F.col(text_col)).alias("s")).select("id", *counts)
     stats = tf.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(keys)))).withColumn("one", F.lit(1))
-    hit = docs.where(may).select(F.col(id_col).alias("id"), ts.alias("ts")).select("id", *counts).withColumn("one", F.lit(1)).join(F.broadcast(stats), "one")
+    hit = tf.withColumn("one", F.lit(1)).join(F.broadcast(stats), "one")
 
     def part(i: int) -> Column:
         f, d = F.col(f"f{i}"), F.col(f"d{i}")
@@ -53,7 +41,7 @@ def lexical(docs: DataFrame, id_col: str, text_col: str, terms: list[str], phras
     score = part(0)
     for i in range(1, len(keys)):
         score = score + part(i)
-    return hit.select("id", score.alias("score")).where("score > 0")
+    return hit.select("id", score.alias("score"))
 
 
 def nearest(vectors: DataFrame, query: list[float], id_col: str, vector_col: str) -> DataFrame:

@@ -27,7 +27,7 @@ def block_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = S.chunked(T.read(spark, sf_dir, "documents"), "doc_id", "text")
+    c = S.chunked(T.spread(T.read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
     return c.select(F.col("id").alias("doc_id"), "chunk", "tokens", "first_atom", "last_atom", F.sha2("text", 256).alias("text_sha"))
 
 

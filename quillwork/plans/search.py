@@ -29,20 +29,20 @@ def _bm25(terms: list[str], phrases: list[tuple[str, str]] = ()) -> str:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.read(spark, sf_dir, "documents")
+    return T.spread(T.read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 @query(f"WITH {_bm25(TERMS)} SELECT id AS doc_id, round(score, 6) AS score FROM lex ORDER BY round(lex.score, 9) DESC, id LIMIT 10")
 def lex_bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = Q.lexical(_docs(spark, sf_dir), "doc_id", "text", TERMS)
-    return hits.orderBy(F.desc(F.round("score", 9)), "id").limit(10).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return hits.orderBy(F.desc(F.round("score", 9)), "id").limit(10).where("score > 0").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_bm25(['tion'], [PHRASE])} SELECT id AS doc_id, round(score, 6) AS score FROM lex ORDER BY round(lex.score, 9) DESC, id LIMIT 10")
 def lex_bigram_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A term and a phrase as one more branch."""
     hits = Q.lexical(_docs(spark, sf_dir), "doc_id", "text", ["tion"], [PHRASE])
-    return hits.orderBy(F.desc(F.round("score", 9)), "id").limit(10).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return hits.orderBy(F.desc(F.round("score", 9)), "id").limit(10).where("score > 0").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_TOK} SELECT id AS doc_id, len(list_filter(ts, lambda t: starts_with(t, 'entio'))) AS matches FROM tok WHERE len(list_filter(ts, lambda t: starts_with(t, 'entio'))) > 0")
@@ -86,7 +86,7 @@ _RRF = f"""WITH {_bm25(TERMS)}, {_KNN}, a AS (SELECT id, row_number() OVER (ORDE
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = Q.top(Q.lexical(_docs(spark, sf_dir), "doc_id", "text", TERMS), [F.desc(F.round("score", 9)), F.col("id")], 50)
+    lex = Q.top(Q.lexical(_docs(spark, sf_dir), "doc_id", "text", TERMS), [F.desc(F.round("score", 9)), F.col("id")], 50).where("score > 0")
     sem = Q.top(_knn(spark, sf_dir), [F.col("distance"), F.col("id")], 50)
     return Q.fused({"lexical": lex, "semantic": sem})
 
@@ -204,7 +204,7 @@ def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of plausible and broken characters, and the route that a text layer takes by them."""
     good, bad = X.quality(F.col("text"))
-    n = F.length(F.regexp_replace("text", r"\s", ""))
+    n = X.matched(F.col("text"), r"\S+")
     q = _docs(spark, sf_dir).select("doc_id", good.alias("g"), bad.alias("b"), n.alias("n"))
     route = F.when(F.coalesce("n", F.lit(0)) < 20, "blank").when(F.col("b") > 0.02, "broken").when(F.col("g") < 0.9, "partial").otherwise("text")
     return q.select("doc_id", F.round("g", 6).alias("plausible"), F.round("b", 6).alias("broken"), route.alias("route"))

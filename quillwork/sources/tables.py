@@ -10,6 +10,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores where its scan has fewer partitions than there are (one small file); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df`` marked for broadcast if it has ``most`` rows at most (counted no further than that), else as it is: Spark then
     joins it by its keys."""
@@ -91,8 +97,8 @@ TREE = """tree AS (SELECT 'r' || r_regionkey AS id, CAST(NULL AS VARCHAR) AS par
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments: the lines of documents that aren't blank: doc_id, pos (from 0, blank ones counted), line."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return docs.where(F.trim("line") != "")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
 
 
 LINES = """lines AS (SELECT * FROM (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS pos, unnest(string_split(text, chr(10))) AS line
