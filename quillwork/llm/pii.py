@@ -251,7 +251,7 @@ def _checked(kind: str, text: str) -> bool:
     if kind == "ip":
         return all(int(x) <= 255 for x in text.split("."))
     if kind == "phone":
-        return 9 <= len(d) <= 15 and len(re.findall(r"[0-9]+", text)) >= 3 and not luhn(d) | (len(d) > 12)
+        return 9 <= len(d) <= 15 and len(re.findall(r"[0-9]+", text)) >= 3 and not (CHECKS["card"].fullmatch(text) and _is_card(text))
     return kind != "card" or _is_card(text)
 
 

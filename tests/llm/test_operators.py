@@ -199,6 +199,13 @@ def test_field_adds_what_patterns_miss():
     assert not found("The meeting is on 2021-03-04 at 10:30, pages 12-40 cost 1,200.50.")
 
 
+def test_labelled_spans_pass_their_checks():
+    spans = re.findall(r"\[(\w+):([^\]]+)\]", pii.LABELLED)
+    assert len(spans) > 20 and all(pii._checked(k, x) for k, x in spans)
+    assert all(pii._checked("phone", f"(212) 555-{i:04d}") for i in range(10000))
+    assert not pii._checked("phone", "3782 822463 10005") and not pii._checked("phone", "12-34-5")
+
+
 def test_viterbi_is_best_path():
     rng = np.random.default_rng(2)
     k = len(pii.TAGS)
