@@ -3,7 +3,7 @@
 The field's tokens are what white space separates; its features are hashes of a token's shape (digits, capitals, small
 letters, other characters as they are), in full and with repeated characters dropped, of its neighbours' shapes, and of the
 word before it. It is fitted by gradient ascent on the exact conditional likelihood of a small labelled table, and decoded
-by Viterbi in numpy over padded batches of sentences. What it finds beside the patterns' spans is checked for the digits or
+by Viterbi in numpy over padded batches of sentences; in long ones the state is carried over from block to block. What it finds beside the patterns' spans is checked for the digits or
 marks that its kind must have.
 """
 
@@ -106,10 +106,6 @@ def _tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     fresh[1:] |= closing[:-1] & ((end - start)[:-1] > 1)
     lines = np.concatenate([[0], np.cumsum(data == 10)])[start]
     fresh[1:] |= lines[1:] != lines[:-1]
-    # A sequence of more than 64 tokens is cut, so that a batch's matrices are bounded.
-    head = np.flatnonzero(fresh)
-    within = np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))
-    fresh |= within % 64 == 0
     sequence = np.cumsum(fresh) - 1
     edge = np.uint64(0x1234567)
     before = np.concatenate([[edge], brief[:-1]])
@@ -179,23 +175,20 @@ def fit(rows: str = LABELLED) -> tuple[np.ndarray, np.ndarray]:
     return w.astype(np.float32), t.astype(np.float32)
 
 
-def viterbi(e: np.ndarray, t: np.ndarray, sequence: np.ndarray) -> np.ndarray:
-    """The best tag of each token; ``e`` has a row of scores a token, ``sequence`` numbers the sequences from 0."""
+#: Tokens that are decoded at once; longer sequences are decoded in blocks of as many.
+BLOCK = 64
+
+
+def _best(e: np.ndarray, t: np.ndarray, head: np.ndarray, length: np.ndarray, first: np.ndarray, last: np.ndarray | None, out: np.ndarray) -> None:
+    """Writes the best tags of runs of tokens, given the scores of their first tokens' tags and (or not) their last tags."""
     n, k = e.shape
-    out = np.zeros(n, np.int8)
-    if not n:
-        return out
-    length = np.bincount(sequence)
-    head = np.concatenate([[0], np.cumsum(length)[:-1]])
-    inside = np.array([x[0] == "I" for x in TAGS])
-    for low, high in ((0, 4), (4, 8), (8, 12), (12, 16), (16, 24), (24, 40), (40, 64)):
+    for low, high in ((0, 4), (4, 8), (8, 12), (12, 16), (16, 24), (24, 40), (40, BLOCK)):
         rows = np.flatnonzero((length > low) & (length <= high))
         if not len(rows):
             continue
         steps = int(length[rows].max())
         back = np.zeros((steps, len(rows), k), np.int8)
-        best = e[head[rows]].copy()
-        best[:, inside] = -1e4
+        best = first[rows].copy()
         for i in range(1, steps):
             live = length[rows] > i
             both = best[:, :, None] + t
@@ -203,11 +196,62 @@ def viterbi(e: np.ndarray, t: np.ndarray, sequence: np.ndarray) -> np.ndarray:
             new = np.take_along_axis(both, back[i][:, None, :].astype(np.intp), axis=1)[:, 0] + e[np.minimum(head[rows] + i, n - 1)]
             best = np.where(live[:, None], new, best)
             back[i][~live] = np.arange(k)
-        tag = best.argmax(axis=1)
+        tag = best.argmax(axis=1) if last is None else last[rows]
         for i in range(steps - 1, -1, -1):
             live = np.flatnonzero(length[rows] > i)
             out[head[rows[live]] + i] = tag[live]
             tag = back[i][np.arange(len(rows)), tag] if i else tag
+
+
+def _carried(e: np.ndarray, t: np.ndarray, head: np.ndarray, length: np.ndarray, begin: np.ndarray, out: np.ndarray) -> None:
+    """As ``_best`` for sequences of any length, over blocks: each block's best scores from any tag before it to any tag at
+    its end, the best chain of these over a sequence, and then each block between the tags that the chain has."""
+    n, k = e.shape
+    size = -(-length // BLOCK)
+    at = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(at[-1]) - np.repeat(at[:-1], size)
+    start = np.repeat(head, size) + place * BLOCK
+    held = np.minimum(np.repeat(head + length, size) - start, BLOCK)
+    opens = place == 0
+    whole = np.zeros((len(start), k, k), np.float32)
+    for a in range(0, len(start), 4096):
+        s, h = start[a : a + 4096], held[a : a + 4096]
+        m = np.where(opens[a : a + 4096, None, None], np.repeat(begin, size, axis=0)[a : a + 4096, None, :], t + e[s][:, None, :])
+        for i in range(1, int(h.max())):
+            new = (m[:, :, :, None] + t).max(axis=2) + e[np.minimum(s + i, n - 1)][:, None, :]
+            m = np.where((h > i)[:, None, None], new, m)
+        whole[a : a + 4096] = m
+    chain = np.zeros((len(start), k), np.int8)
+    score = np.zeros((len(head), k), np.float32)
+    for i in range(int(size.max())):
+        live = np.flatnonzero(size > i)
+        both = score[live, :, None] + whole[at[live] + i]
+        chain[at[live] + i] = both.argmax(axis=1)
+        score[live] = both.max(axis=1)
+        score[live] -= score[live].max(axis=1, keepdims=True)
+    tag = score.argmax(axis=1)
+    before, last = np.zeros(len(start), np.intp), np.zeros(len(start), np.intp)
+    for i in range(int(size.max()) - 1, -1, -1):
+        live = np.flatnonzero(size > i)
+        last[at[live] + i] = tag[live]
+        tag[live] = chain[at[live] + i, tag[live]]
+        before[at[live] + i] = tag[live]
+    _best(e, t, start, held, np.where(opens[:, None], np.repeat(begin, size, axis=0), t[before] + e[start]), last, out)
+
+
+def viterbi(e: np.ndarray, t: np.ndarray, sequence: np.ndarray) -> np.ndarray:
+    """The best tag of each token; ``e`` has a row of scores a token, ``sequence`` numbers the sequences from 0."""
+    out = np.zeros(len(e), np.int8)
+    if not len(e):
+        return out
+    length = np.bincount(sequence)
+    head = np.concatenate([[0], np.cumsum(length)[:-1]])
+    begin = e[head].copy()
+    begin[:, [x[0] == "I" for x in TAGS]] = -1e4
+    _best(e, t, head, length, begin, None, out)
+    long = np.flatnonzero(length > BLOCK)
+    if len(long):
+        _carried(e, t, head[long], length[long], begin[long], out)
     return out
 
 

@@ -218,6 +218,33 @@ def test_viterbi_is_best_path():
     assert pii.viterbi(e, t, np.zeros(5, np.int64)).tolist() == list(best)
 
 
+def test_viterbi_carries_over_long_sequences():
+    rng, lengths = np.random.default_rng(3), (1, 63, 64, 65, 128, 129, 700, 5)
+    k, sequence = len(pii.TAGS), np.repeat(np.arange(8), lengths)
+    inside = [x[0] == "I" for x in pii.TAGS]
+    e, t = rng.normal(size=(len(sequence), k)).astype(np.float32), rng.normal(size=(k, k)).astype(np.float32)
+    want = []
+    for s in range(8):
+        rows, backs = e[sequence == s].astype(float), []
+        best = np.where(inside, -1e4, rows[0])
+        for row in rows[1:]:
+            both = best[:, None] + t
+            backs.append(both.argmax(axis=0))
+            best = both.max(axis=0) + row
+        path = [int(best.argmax())]
+        for back in reversed(backs):
+            path.append(int(back[path[-1]]))
+        want += path[::-1]
+    assert pii.viterbi(e, t, sequence).tolist() == want
+
+
+def test_field_finds_spans_at_any_place_of_a_long_line():
+    w, t = pii.fit()
+    for n in range(48, 66):
+        s = "and then " * (n // 2) + "so " * (n % 2) + "You can reach the desk at (212) 555-0199 today and the next day " + "or later " * 40
+        assert [(k, s[a:b]) for _, k, a, b in pii.field_spans([s.encode()], w, t)] == [("phone", "(212) 555-0199")]
+
+
 # BPE
 
 
