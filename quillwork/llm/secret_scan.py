@@ -1,7 +1,6 @@
 """Secret scans by patterns and by a battery of randomness tests, in DataFrame functions only.
 
-Patterns find assignments, access keys and hexadecimal runs. The battery looks at each run of 20 or more characters that
-mixes digits and letters, infers its encoding from its characters, and asks with a chi-squared test of alphabet
+Patterns find assignments, access keys and hexadecimal runs. The battery looks at each run of 20 or more characters, infers its encoding from its characters, and asks with a chi-squared test of alphabet
 uniformity, a runs test and a serial-correlation test whether it could be drawn at random from that alphabet. Ordinary
 text fails; the false-discovery procedure (Benjamini and Hochberg's, for each encoding and length class apart, so that the
 many short runs don't set the bar of the long ones) decides which failures count. Runs that don't fail, and are long
@@ -94,8 +93,10 @@ def _battery(runs: DataFrame) -> DataFrame:
     df = df.withColumn("_d", digit).withColumn("_n1", F.aggregate("_d", F.lit(0.0), lambda a, c: a + c)).withColumn("_n2", F.col("_n") - F.col("_n1"))
     turns = 1 + F.aggregate(pairs(F.col("_d")), F.lit(0.0), lambda a, p: a + F.when(p["x"] != p["y"], 1.0).otherwise(0.0))
     twice = 2 * F.col("_n1") * F.col("_n2")
+    # Where all are of one sort there is nothing to run; then the p-value is the chance of that under uniform draws.
+    share = F.when(F.col("encoding") == "base32", 6.0).otherwise(10.0) / F.col("_k")
     spread = twice * (twice - F.col("_n")) / (F.col("_n") * F.col("_n") * (F.col("_n") - 1))
-    df = df.withColumn("p_runs", F.when(spread > 0, _normal_tail((turns - twice / F.col("_n") - 1) / F.sqrt(spread))).otherwise(0.0))
+    df = df.withColumn("p_runs", F.when(spread > 0, _normal_tail((turns - twice / F.col("_n") - 1) / F.sqrt(spread))).otherwise(F.pow(F.when(F.col("_n1") == 0, 1 - share).otherwise(share), F.col("_n"))))
     # Serial correlation of neighbouring codes, about normal with variance 1/n.
     mean = F.aggregate("_x", F.lit(0.0), lambda a, c: a + c) / F.col("_n")
     df = df.withColumn("_y", F.transform("_x", lambda c: c)).withColumn("_m", mean)
@@ -121,8 +122,7 @@ def _bars(tested: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """Columns ``keep`` and the arrays assign, access, hex (the patterns' spans) and runs (what the battery tests)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    mixed = lambda x: x["m"].rlike("[0-9].*[0-9].*[0-9]") & x["m"].rlike("[A-Za-z]")
-    found = base_spans(text) | {"runs": _if(text.rlike(RUN), _places(text, RUN, mixed))}
+    found = base_spans(text) | {"runs": _if(text.rlike(RUN), _places(text, RUN))}
     return docs.select(*keep, *(v.alias(k) for k, v in found.items()))
 
 

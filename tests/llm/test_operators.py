@@ -361,6 +361,19 @@ def test_battery_tells_random_from_ordinary(spark):
     assert [(x.s, x.e) for x in got[300].assign] == [(6, 29)]
 
 
+def test_battery_sees_tokens_with_few_digits_or_none(spark):
+    rng, rows = random.Random(6), []
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    letters = capitals + capitals.lower()
+    for alphabet in (letters + "0123456789", letters + "0123456789+/", capitals + "234567", letters):
+        for n in (20, 24, 32) if alphabet != letters else (20, 24):  # of 32 letters, chance itself says that digits are missing
+            rows += [(len(rows) + i, f"see {''.join(rng.choice(alphabet) for _ in range(n))} there") for i in range(40)]
+    rows += [(1000 + i, f"see {'internationalisation' * 2}{'abcd'[i % 4] * 3} there") for i in range(40)]
+    got = {r.doc_id: len(r.random) for r in secret_scan.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in range(0, 440, 40) if sum(got[i + k] for k in range(40)) < 34] == []
+    assert not any(got[1000 + i] for i in range(40))
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é token=abcdefghijklmnop1 end"), (2, "nothing"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secret_scan.redacted(df).collect()}
