@@ -120,6 +120,7 @@ class Bpe:
                 self.byte[x[0]] = i
         p = np.array(list(pairs), dtype=np.int64).reshape(-1, 4)
         self._place(p[:, 0] << 20 | p[:, 1], p[:, 2] << 20 | p[:, 3])
+        self.added: dict[str, int] = {}
         self.whole = None
         if whole:
             ids = np.array([i for i, x in enumerate(items) if x], np.int64)
@@ -137,15 +138,22 @@ class Bpe:
 
     @classmethod
     def of_merges(cls, path: str) -> Bpe:
-        """From a tokenizer file: the merges that it lists, in their order."""
+        """From a tokenizer file: the merges that it lists, in their order, and its added tokens, which plain text may have."""
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, added = file["model"], file.get("added_tokens") or []
+        for x in added:
+            if any(x.get(k) for k in ("single_word", "lstrip", "rstrip")) or len(x["content"]) < 2 or any(c.isspace() for c in x["content"]):
+                raise ValueError(f"added token {x} isn't matched as plain text")
         shown = [b for b in range(256) if chr(b).isprintable() and b not in (32, 0xA0, 0xAD)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         ids = model["vocab"]
         merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         pairs = ((ids[a], ids[b], r, ids[a + b]) for r, (a, b) in enumerate(merges))
-        return cls({i: bytes(byte[c] for c in x) for x, i in ids.items() if all(c in byte for c in x)}, pairs, False)
+        vocabulary = {i: bytes(byte[c] for c in x) for x, i in ids.items() if all(c in byte for c in x)}
+        out = cls(vocabulary | {x["id"]: x["content"].encode() for x in added}, pairs, False)
+        out.added = {x["content"]: x["id"] for x in added}
+        return out
 
     def _place(self, keys: np.ndarray, values: np.ndarray) -> None:
         """An open-addressing table of at most a quarter full: numpy fills, and later reads, one probe of all keys a round."""
@@ -254,7 +262,28 @@ class Bpe:
         return flat, offset
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, concatenated, and where each text's begin (and, last, their number)."""
+        """Ids of all texts, concatenated, and where each text's begin (and, last, their number); an added token is one id."""
+        if not any(x in t for x in self.added for t in texts):
+            return self._ordinary(texts)
+        split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
+        between: list[str] = []
+        after: list[int] = []  # how many stretches between tokens end before each added token
+        special: list[int] = []
+        first = []  # stretches and added tokens before each text
+        for text in texts:
+            first.append((len(between), len(special)))
+            for i, x in enumerate(split(text)):
+                if i % 2:
+                    after.append(len(between))
+                    special.append(self.added[x])
+                else:
+                    between.append(x)
+        ids, at = self._ordinary(between)
+        first.append((len(between), len(special)))
+        stretches, tokens = np.array(first).T
+        return np.insert(ids, at[after], special), at[stretches] + tokens
+
+    def _ordinary(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw, at, before = pieces(texts)
         if len(at) < 2:
             return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)

@@ -263,6 +263,17 @@ def test_bpe_is_the_library(reference, text):
         assert ids[: at[1]].tolist() == want == ids[at[2] :].tolist()
 
 
+def test_added_tokens_are_the_librarys():
+    library, own, end = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.merges(P.path("byte_bpe_50k.json")), "<|endoftext|>"
+    texts = [f"a{end}b", "plain, don't", end, "", end * 3, f" {end} the  {end}\n's", f"<|endoftext{end}|>", "é" + end, "last"]
+    ids, at = own.encode(texts)
+    want = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 50256, 65] and [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+    long = f"some words{end} don't {end} 12 " * 300
+    cut = [x for _, held in bpe.batched([long], 64) for x in held]
+    assert len(cut) > 50 and own.encode(cut)[0].tolist() == library.encode(long, add_special_tokens=False).ids
+
+
 def test_long_texts_are_cut_where_pieces_end(reference):
     text = "some words, don't they've  12 34 " * 400
     b = bpe.ranks(P.path("byte_bpe_50k.tiktoken"))
