@@ -235,8 +235,10 @@ class Bpe:
         if self.whole is not None:
             h, ids = self.whole
             at = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
-            hit = h[at] == hashes
-            single[hit] = ids[at[hit]]
+            hit = np.flatnonzero(h[at] == hashes)
+            of = ids[at[hit]]
+            ok = common.same_spans(data, start[hit], end[hit], self.bytes, self.offset[of], self.offset[of + 1])
+            single[hit[ok]] = of[ok]
         count[single >= 0] = 1
         done: list[tuple[np.ndarray, np.ndarray]] = []
         todo = np.flatnonzero(single < 0)
@@ -288,9 +290,14 @@ class Bpe:
         if len(at) < 2:
             return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
         data = np.frombuffer(raw, np.uint8)
-        hashes = common.span_hashes(data, at[:-1], at[1:])
-        kept, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        flat, offset = self.distinct(data, at[first], at[first + 1], kept)
+        start, end = at[:-1], at[1:]
+        hashes = common.span_hashes(data, start, end)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        # A piece whose bytes aren't those of the first one with its hash is a row of its own.
+        odd = np.flatnonzero(~common.same_spans(data, start, end, data, start[first[which]], end[first[which]]))
+        which[odd] = len(first) + np.arange(len(odd))
+        first = np.concatenate([first, odd])
+        flat, offset = self.distinct(data, start[first], end[first], hashes[first])
         ids, end = ragged(flat, offset, which)
         return ids, np.concatenate([[0], end])[before]
 

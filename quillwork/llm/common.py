@@ -1,11 +1,11 @@
 """What the operators of this subpackage share: reading, materialising, batching and hashing of words.
 
-A *word table* describes all words of a slice of texts as numpy arrays. Hashes are taken from prefix sums of
-``table[byte] * base**position`` modulo 2**64, so a slice costs a few passes over its bytes whatever its words are.
+A *word table* describes all words of a slice of texts as numpy arrays; hashes of all words are made together.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,20 +25,31 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
+#: Bytes of a table (Spark's own estimate) up to which it is dealt out to all cores before it is read by an operator.
+SMALL = 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one whose scan has fewer partitions than there are cores (one small file) is dealt out to all of them."""
+    """A table. One of at most SMALL bytes, whose files can't be split over the cores, is dealt out to them; a larger one,
+    which has more than one split, is never shuffled here."""
     df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the cluster's checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a folder of our own is used.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a session on one machine (tests) gets a folder
+    of its own; a cluster, whose machines share no such folder, gets an error.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillwork-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that the cluster shares")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillwork-"))
     return df.checkpoint(eager=True)
 
 
@@ -70,44 +81,55 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BASE = 0x9E3779B97F4A7C15
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_POWERS: list[np.ndarray] = []
+#: Spans of more bytes than these are hashed by a digest of their bytes, one by one; shorter ones eight bytes a round.
+CHUNKED = 64
+_ENDS = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers and their inverses, up to ``n``; kept while they are of a usual size."""
-    if _POWERS and len(_POWERS[0]) >= n:
-        return _POWERS[0], _POWERS[1]
-    size = max(n, 2 * SLICE_BYTES)
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        x = np.full(size, base, dtype=np.uint64)
-        x[0] = 1
-        out.append(np.cumprod(x, dtype=np.uint64))
-    if size <= 8 * SLICE_BYTES:
-        _POWERS[:] = out
-    return out[0], out[1]
+def _chunks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each ``data[start:end]``."""
-    return hash_spans(hash_sums(data), start, end)
-
+    """A 64-bit hash of each ``data[start:end]``: of eight bytes a round, each mixed into all bits before the next comes.
 
-def hash_sums(data: np.ndarray) -> np.ndarray:
-    power, _ = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-    return total
+    A hash only says that spans may be equal. Where results hang on it alone (shingles), texts are told apart by thousands
+    of hashes; where one hash decides (BPE), ``same_spans`` looks at the bytes.
+    """
+    size = end - start
+    chunk = _chunks(data)
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    live = np.arange(len(size)) if not len(size) or size.max() <= CHUNKED else np.flatnonzero(size <= CHUNKED)
+    for at in range(0, CHUNKED, 8):
+        if at:
+            live = live[size[live] > at]
+        if not len(live):
+            break
+        part = chunk[start[live] + at] & _ENDS[np.minimum(size[live] - at, 8)]
+        h[live] = mix((h[live] + part) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0xA0761D6478BD642F))
+    for i in np.flatnonzero(size > CHUNKED):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
-def hash_spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """As ``span_hashes``, from ``hash_sums`` of the bytes."""
-    _, inverse = _powers(len(sums))
-    h = (sums[end] - sums[start]) * inverse[start]
-    h += (end - start).astype(np.uint64)
-    return mix(h)
+def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether each ``data[start:end]`` has the bytes of ``other[at:to]``."""
+    size = end - start
+    same = size == to - at
+    a, b = _chunks(data), _chunks(other)
+    live, done = np.flatnonzero(same & (size <= CHUNKED)), 0
+    while len(live):
+        ends = _ENDS[np.minimum(size[live] - done, 8)]
+        ok = (a[start[live] + done] & ends) == (b[at[live] + done] & ends)
+        same[live[~ok]] = False
+        done += 8
+        live = live[ok & (size[live] > done)]
+    for i in np.flatnonzero(same & (size > CHUNKED)):
+        same[i] = np.array_equal(data[start[i] : end[i]], other[at[i] : to[i]])
+    return same
 
 
 @dataclass
@@ -118,7 +140,6 @@ class Words:
     end: np.ndarray
     doc: np.ndarray  # index of a word's text within the slice
     hash: np.ndarray
-    sums: np.ndarray  # for hash_spans
 
 
 def is_word(*more: bytes) -> np.ndarray:
@@ -156,8 +177,7 @@ def word_table(raw: list[bytes], kind: np.ndarray = WORD, lower: bool = True) ->
         data = LOWER[data]
     start, end = runs(kind[data])
     doc = np.searchsorted(first, start, side="right") - 1
-    sums = hash_sums(data)
-    return Words(data, first, start, end, doc, hash_spans(sums, start, end), sums)
+    return Words(data, first, start, end, doc, span_hashes(data, start, end))
 
 
 def grams(words: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

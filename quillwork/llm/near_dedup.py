@@ -1,8 +1,9 @@
 """Near-duplicates by BagMinHash on multisets of word shingles.
 
 Signatures. An element's weight is its count in the text. Each element has a Poisson process over time and weight: the
-weight axis is cut into dyadic blocks [0,1), [1,2), [2,4), ..., each a process of its own whose rate is the block's length,
-and a block that the weight ends in is thinned by halving it until an event's unit of weight is known. An event lands on
+weight axis is cut into dyadic blocks [0,1), [1,2), [2,4), ..., each a process of its own whose rate is the block's length.
+An event of a block is uniform over the block's units of weight; its unit is drawn at once (which is what halving the block
+bit by bit comes to), and events beyond the weight are dropped from the one block that the weight ends in. An event lands on
 one of the signature's slots, and a slot keeps its first event's mark. Two slots agree with the texts' weighted Jaccard
 similarity as probability. Events later than a text's horizon (by which all slots have one) are never made, so the work
 for a text is about its elements plus slots times the slots' logarithm.
@@ -17,6 +18,7 @@ minimum labels in Spark; nothing is gathered on the driver.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -92,7 +94,7 @@ def _events(h: np.ndarray, doc: np.ndarray, count: np.ndarray, horizon: np.ndarr
         live = np.flatnonzero(time <= horizon[doc[row]])
         row, low, size, state, time = row[live], low[live], size[live], state[live], time[live]
         mark = common.mix(draw[live] + np.uint64(0xA0761D6478BD642F))
-        # The event's unit of weight: the block is halved, half by half, as the mark's bits say.
+        # The event's unit of weight, uniform over the block; those beyond the element's weight don't count.
         unit = low + (_uniform(common.mix(mark ^ np.uint64(0xE7037ED1A0B428DB))) * size).astype(np.int64).clip(max=size - 1)
         ok = np.flatnonzero(unit < count[row])
         yield doc[row[ok]], time[ok], ((mark[ok] >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).astype(np.int64), mark[ok]
@@ -134,7 +136,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(keys[:, i], doc, mixed[i])
             total = np.bincount(doc, weights=count, minlength=n).astype(np.int64)
             for i in np.flatnonzero(total == 0):
-                keys[i] = [_chain(np.frombuffer(raw[i].ljust(-(-len(raw[i]) // 8) * 8), np.uint64)), len(raw[i])]
+                keys[i] = np.frombuffer(hashlib.blake2b(raw[i], digest_size=16).digest(), np.uint64)
             bands = np.zeros((n, BANDS), np.uint64)
             for j in range(ROWS):
                 bands = common.mix(bands * np.uint64(0x9FB21C651E98DF25) + marks[:, j::ROWS])

@@ -50,7 +50,7 @@ def _instances(raw: list[bytes]) -> tuple[common.Words, np.ndarray, np.ndarray,
     size = w.end - w.start
     for k in HEADS:
         long = np.flatnonzero(size > k)
-        hashes.append(common.mix(common.hash_spans(w.sums, w.start[long], w.start[long] + k) + np.uint64(k)))
+        hashes.append(common.mix(common.span_hashes(w.data, w.start[long], w.start[long] + k) + np.uint64(k)))
         places.append(instance[long])
     return w, (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(places), w.doc[first], first
 

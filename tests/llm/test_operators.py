@@ -274,6 +274,32 @@ def test_added_tokens_are_the_librarys():
     assert len(cut) > 50 and own.encode(cut)[0].tolist() == library.encode(long, add_special_tokens=False).ids
 
 
+def _twins(rounds=11):
+    """Two texts of one word that sums of powers of an odd base modulo 2**64 can't tell apart."""
+    s = "a"
+    for _ in range(rounds):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_texts_of_structured_bytes_stay_apart(spark, reference):
+    twins = _twins()
+    for b in (bpe.ranks(P.path("byte_bpe_50k.tiktoken")), packing.merges(P.path("byte_bpe_50k.json"))):
+        ids, at = b.encode([*twins])
+        assert [ids[: at[1]].tolist(), ids[at[1] :].tolist()] == [reference.encode_ordinary(x) for x in twins]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(twins)], "doc_id long, text string").coalesce(1)
+    assert [r.decoded_sha256 for r in bpe.round_trip(df, P.path("byte_bpe_50k.tiktoken")).sort("doc_id").collect()] == [hashlib.sha256(x.encode()).hexdigest() for x in twins]
+    assert near_dedup.similarity(*twins) == 0 and sorted(r.class_size for r in near_dedup.near_duplicates(df).collect()) == [1, 1]
+
+
+def test_equal_hashes_are_told_apart_by_bytes(reference, monkeypatch):
+    whole = common.span_hashes
+    monkeypatch.setattr(common, "span_hashes", lambda *x: whole(*x) & np.uint64(3))
+    text = "Some words, don't they've  12 34 " + "x" * 200 + " some words " + "x" * 199 + "y"
+    ids, _ = bpe.Bpe.of_ranks(P.path("byte_bpe_50k.tiktoken")).encode([text])
+    assert ids.tolist() == reference.encode_ordinary(text)
+
+
 def test_long_texts_are_cut_where_pieces_end(reference):
     text = "some words, don't they've  12 34 " * 400
     b = bpe.ranks(P.path("byte_bpe_50k.tiktoken"))
