@@ -27,6 +27,8 @@ from . import common
 SLICE = 1 << 20
 #: Widths of the matrices; longer pieces get matrices of their own powers of two.
 WIDTHS = (4, 8, 12, 16, 24, 32, 64)
+#: Bytes of a piece from which on it is encoded alone.
+LONG = 256
 # The characters that \s stands for.
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -226,6 +228,34 @@ class Bpe:
                 rank[ok, s] = np.where(b >= 0, self.merged(a, np.maximum(b, 0)), NONE)
         return out, count
 
+    def _long(self, raw: np.ndarray) -> np.ndarray:
+        """Ids of one piece of any length: each round merges the least pair at all its places, from the left, and closes the
+        gaps. A place after which one place a round would have a lesser pair ends the round, so that the ids are the same."""
+        ids = self.byte[raw]
+        rank = self.merged(ids[:-1], ids[1:])
+        while len(rank) and (best := rank.min()) < NONE:
+            at = np.flatnonzero(rank == best)
+            first = np.flatnonzero(np.diff(at, prepend=-2) > 1)  # of neighbours that overlap, every other one, from the left
+            at = at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0]
+            made = best & ((1 << 20) - 1)
+            before = np.where(np.diff(at, prepend=-2) == 2, made, ids[at - 1])
+            here = np.full(len(at), made)
+            lesser = (at > 0) & (self.merged(before, here) <= best)
+            inner = at + 2 < len(ids)
+            lesser[inner] |= self.merged(here[inner], ids[at[inner] + 2]) <= best
+            if lesser.any():
+                at = at[: lesser.argmax() + 1]
+            ids[at] = made
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            place = np.cumsum(keep) - 1
+            rank = np.append(rank, NONE)[keep][:-1] if keep[-1] else rank[keep[:-1]][:-1]
+            ids = ids[keep]
+            side = np.unique(np.concatenate([place[at] - 1, place[at]]))
+            side = side[(side >= 0) & (side < len(rank))]
+            rank[side] = self.merged(ids[side], ids[side + 1])
+        return ids
+
     def distinct(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, concatenated, and the offsets."""
         size = end - start
@@ -243,6 +273,11 @@ class Bpe:
         done: list[tuple[np.ndarray, np.ndarray]] = []
         todo = np.flatnonzero(single < 0)
         lower, widths = 0, [*WIDTHS]
+        for i in todo[size[todo] > LONG]:
+            ids = self._long(data[start[i] : end[i]])
+            count[i] = len(ids)
+            done.append((np.array([i]), ids[None, :]))
+        todo = todo[size[todo] <= LONG]
         while widths[-1] < (size[todo].max() if len(todo) else 0):
             widths.append(2 * widths[-1])
         for width in widths:

@@ -292,6 +292,13 @@ def test_texts_of_structured_bytes_stay_apart(spark, reference):
     assert near_dedup.similarity(*twins) == 0 and sorted(r.class_size for r in near_dedup.near_duplicates(df).collect()) == [1, 1]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["a", "aa", "aaaa", "ing", "tion", "the", "x", "ß", "qu", "zzz", "s", "er", "re"]), min_size=90, max_size=400).map("".join))
+def test_long_pieces_are_the_librarys(reference, text):
+    for b in (bpe.ranks(P.path("byte_bpe_50k.tiktoken")), packing.merges(P.path("byte_bpe_50k.json"))):
+        assert b.encode([text])[0].tolist() == reference.encode_ordinary(text)
+
+
 def test_equal_hashes_are_told_apart_by_bytes(reference, monkeypatch):
     whole = common.span_hashes
     monkeypatch.setattr(common, "span_hashes", lambda *x: whole(*x) & np.uint64(3))
