@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -418,6 +420,47 @@ def test_battery_sees_tokens_with_few_digits_or_none(spark):
     assert not any(got[1000 + i] for i in range(40))
 
 
+def test_discoveries_are_benjamini_and_hochbergs(spark):
+    """Mixed classes, one of them with a hundredth of ordinary runs and one with a hundredth of random ones."""
+    rng = random.Random(8)
+    b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = lambda n: "".join(rng.choice(b62) for _ in range(n))
+    words = ["account", "user", "report", "server", "update", "history", "first", "value", "name", "state", "order", "index"]
+    plain = lambda n: ("".join(rng.choice(words).capitalize() for _ in range(12)))[:n]
+    rows = [(i, token(40) if i % 100 else "a" * 20 + plain(20)) for i in range(1000)] + [(1000 + i, plain(24) if i % 100 else token(24)) for i in range(1000)]
+    df = spark.createDataFrame([(i, f"see {x} there") for i, x in rows], "doc_id long, text string")
+    runs = secret_scan.scan(df, "doc_id", "text", ["doc_id"]).selectExpr("doc_id", "inline(runs)")
+    tested = {r.doc_id: r for r in secret_scan._battery(runs).select("doc_id", "encoding", "length_class", "p", "p_random").collect()}
+    want = set()
+    for c in {(r.encoding, r.length_class) for r in tested.values()}:
+        edge = {i: 10 ** (-min(secret_scan.BINS * secret_scan.POWERS, math.floor(-math.log10(max(r.p, 1e-12)) * secret_scan.BINS)) / secret_scan.BINS) for i, r in tested.items() if (r.encoding, r.length_class) == c}
+        ranked = sorted(edge.values())
+        bar = max((p for k, p in enumerate(ranked, 1) if p <= secret_scan.RATE * k / len(ranked)), default=-1)
+        want |= {i for i, p in edge.items() if p <= bar}
+    got = {r.doc_id for r in secret_scan.spans(df).collect() if r.random}
+    assert got == want
+    assert not [i for i in got if i < 1000 and i % 100 == 0] and sum(i < 1000 for i in got) > 960
+    assert sum(i >= 1000 and i % 100 == 0 for i in got) >= 7 and sum(i >= 1000 and i % 100 > 0 for i in got) <= 2
+
+
+def test_many_secrets_in_one_text(spark):
+    rng = random.Random(9)
+    parts = ["".join(rng.choice("0123456789abcdef") for _ in range(16)) for _ in range(16_000)]
+    text = "é" + " ".join(parts)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = secret_scan.scan(df, "doc_id", "text", ["doc_id"])
+    start = time.monotonic()
+    (row,) = found.collect()
+    assert time.monotonic() - start < 8  # in proportion to the matches, not to their square
+    assert [(x.s, x.e, x.m) for x in row.hex] == [(1 + 17 * i, 17 + 17 * i, p) for i, p in enumerate(parts)]
+    assert secret_scan.redacted(df).first().text == "é" + " ".join(["[SECRET]"] * 16_000)
+
+
+def test_overlapping_secrets_are_one(spark):
+    df = spark.createDataFrame([(1, "é token=0123456789abcdef01234567 x 00112233445566778899")], "doc_id long, text string")
+    assert secret_scan.redacted(df).first().text == "é [SECRET] x [SECRET]"
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é token=abcdefghijklmnop1 end"), (2, "nothing"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secret_scan.redacted(df).collect()}
