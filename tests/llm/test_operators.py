@@ -208,6 +208,57 @@ def test_labelled_spans_pass_their_checks():
     assert not pii._checked("phone", "3782 822463 10005") and not pii._checked("phone", "12-34-5")
 
 
+#: Rows that the field has not seen: phones without a plus, social security numbers, broken marks, and numbers that are neither.
+HELD_OUT = """
+Ask for extension two at [phone:(646) 555-0107] after lunch
+my cell is [phone:718-555-0163] thanks
+ring [phone:(302) 555-0191]%%% soon
+fax to [phone:604.555.0128], attention sales
+the helpline [phone:1-888-555-0143] is free of charge
+Telefon [phone:040 3456 7890] ab neun Uhr
+appelez le [phone:02 41 77 81 09] avant midi
+inger [phone:(519) 555-0116]&&& thonre was
+edand [phone:+1 (771) 555-1655] On nter
+reach us on [phone:+44 161 4960 321] or by post
+his number was [ssn:219-45-1187] at the time
+SSN [ssn:402-33-6125], issued in March
+erthat ssn: [ssn:611-08-4471]### of
+the form said [ssn:530-77-2094] in box four
+mail [email:peter.k@shop7.example.com] about it
+ndan [email:thwhhe.68@mail2.example.com]!! ndan
+von [email:zu.50@mail6.example.com] auach
+write to [email:help-desk@lib.example.ac.uk].
+the host [ip:10.11.12.13] is down
+le [ip:224.145.138.68]### therble
+und [ip:8.196.197.208], achßtz
+visa [card:4556737586899855] on file
+thonin [card:4929804463622139]%%% er
+paid with [card:5425 2334 3010 9903] online
+the total of 1,204.50 was due on 2023-11-05 at 09:15
+chapters 12-14 and pages 201-219 , see 4.2.1
+version 10.4.2 of build 20230817 on port 5432
+isbn 978-1-4028-9462-6 costs 29.95
+invoice 2023-0042 , order 10023456 , lot 77-B
+the range 100-250 , 300-450 and 2 x 4
+ththe$$$ oron###, 12!! 99%%% was&&&
+on 12/11/2019 and 01.02.2020 at 52.37 north
+"""
+
+
+def test_field_on_rows_it_has_not_seen():
+    """Recall and precision of the field's own spans, patterns aside."""
+    w, t = pii.fit()
+    want, got = set(), set()
+    for i, row in enumerate(HELD_OUT.strip().splitlines()):
+        text = ""
+        for kind, span, plain in re.findall(r"\[(\w+):([^\]]+)\]|([^\[\]]+)", row):
+            if kind:
+                want.add((i, kind, len(text), len(text) + len(span)))
+            text += span or plain
+        got |= {(i, k, a, b) for _, k, a, b in pii.field_spans([text.encode()], w, t)}
+    assert len(want) == 24 and len(got & want) >= 0.85 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
 def test_viterbi_is_best_path():
     rng = np.random.default_rng(2)
     k = len(pii.TAGS)
