@@ -167,6 +167,67 @@ def test_diagonals_find_changed_templates(spark):
     assert sorted(x[0] for x in got[5]) == ["gpl", "isc"]
 
 
+def _diagonals(text, templates):
+    """Labels by brute force: every pair of places with four equal words votes; votes are merged, and words compared."""
+    word = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.lower())
+    w, found = word(text), []
+    for label, t in templates:
+        t = word(t)
+        votes = {}
+        for i in range(len(w) - 3):
+            for j in range(len(t) - 3):
+                if w[i : i + 4] == t[j : j + 4]:
+                    votes.setdefault(i - j, []).append(i)
+        bands = []
+        for d in sorted(votes):
+            if bands and d - bands[-1][-1] <= license_scan.APART:
+                bands[-1].append(d)
+            else:
+                bands.append([d])
+        for band in bands:
+            chains = []
+            for start, d, end in sorted((min(votes[d]), d, max(votes[d]) + 4) for d in band):
+                if chains and start - chains[-1][1] <= 4 * license_scan.APART:
+                    chains[-1] = (chains[-1][0], max(end, chains[-1][1]), [*chains[-1][2], d])
+                else:
+                    chains.append((start, end, [d]))
+            for start, end, ds in chains:
+                n = len({j for d in ds for j in range(len(t)) if start <= j + d < end and w[j + d] == t[j]})
+                if n >= min(12, len(t)) and n >= 0.3 * len(t):
+                    found.append((label, start, end, round(n / len(t), 9), n))
+    best = []
+    for x in sorted(found, key=lambda x: (-x[4], -x[3], x[0], x[1], x[2])):
+        if all(x[2] <= b[1] or x[1] >= b[2] for b in best):
+            best.append(x)
+    return sorted(x[:4] for x in best)
+
+
+def test_license_spans_against_brute_force(spark):
+    rng, rows = random.Random(3), []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(license_scan.known_templates())[1].split()
+            for _ in range(rng.randint(0, 6)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = rng.choice([["other"], [], ["new", "words"]])
+            parts += [*rng.choices(["lorem", "the", "license", "of", "ipsum"], k=rng.randint(0, 40)), *w[rng.randint(0, 5) :]]
+        rows.append((i, " ".join(parts)))
+    got = {r.doc_id: [(s.label, s.start, s.end, round(s.score, 9)) for s in r.found] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: _diagonals(t, license_scan.known_templates()) for i, t in rows} and sum(map(bool, got.values())) > 20
+
+
+def test_insertions_leave_a_license_whole(spark):
+    """Passages that a template repeats don't break the chain of an edited copy."""
+    w = license_scan.TEMPLATES["bsd"].split()
+    for at in (50, 38, 26, 13):
+        w[at:at] = ["inserted"]
+    rows = [(1, " ".join(w)), (2, "Licensed under CC BY-NC 4.0."), (3, "Licensed under CC"), (4, "Licensed under the Apache License, Version 2.0.")]
+    got = {r.doc_id: [(s.label, s.score) for s in r.found] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert ("bsd", 1.0) in got[1] and {x for x, _ in got[1]} == {"bsd"}
+    assert got[2] == [("cc-by-nc", 1.0)] and not got[3] and got[4] == [("apache", 1.0)]
+
+
 # Personal data
 
 
