@@ -20,7 +20,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, s
     of it, or (not ``even``) in the proportion that the labels have.
 
     The bound is drawn from the small table of labels before any text is joined, so only the sample's texts move. A
-    document whose labels contradict each other counts as labelled by the larger one.
+    document whose labels contradict each other counts as labelled by the larger one. Of several texts with one identifier
+    the one of the least digest is taken.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -30,7 +31,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, s
         chosen = F.broadcast(each[0].unionByName(each[1]))  # SAMPLE rows of two numbers
     else:
         chosen = F.broadcast(known.orderBy(order, "doc_id").limit(sample))
-    return docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    return texts.groupBy("doc_id", "y").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
 
 
 def fitted(sample: DataFrame, fit: Callable[[list[str], np.ndarray], np.ndarray]) -> np.ndarray:

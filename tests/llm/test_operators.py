@@ -87,6 +87,50 @@ def test_training_finds_the_offending_sentence():
     assert b"vilework" in bad[t.start[first[at]] : t.end[last]] and last - first[at] < toxicity.WINDOW
 
 
+def test_scores_and_sentences_against_plain_python(spark):
+    """Noisy-or over instances by hand; sentences are whole and in code points of the text as it is."""
+    w = np.zeros((1 << toxicity.BITS) + 1)
+    w[-1] = -4.0
+    feature = lambda word: int(common.word_table([word.encode()]).hash[0] >> np.uint64(64 - toxicity.BITS))
+    for word, x in (("vile", 7.0), ("bad", 3.0), ("ünfug", 5.0)):
+        w[feature(word)] = x
+    long = "word " * 30 + "Vile " + "word " * 40
+    texts = ["İİ Straße. A VILE thing, so bad! Fine.", "bad bad bad.", long + "end", "", "Nothing here. İ ÜNFUG 😀 ja.", None]
+    rows = toxicity.scored(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), w, ["doc_id"]).sort("doc_id").collect()
+    p = lambda *z: 1 - math.prod(1 - 1 / (1 + math.exp(-x)) for x in z)
+    assert [round(r.score, 6) for r in rows] == [round(x, 6) for x in (p(6.0), p(-1.0), rows[2].score, 0.0, p(1.0), 0.0)]
+    assert rows[2].score >= p(3.0)
+    at = [[(r.doc_id, texts[r.doc_id][x.start : x.end]) for x in r.offending] for r in rows]
+    assert at == [[(0, "A VILE thing, so bad")], [], [(2, long + "end")], [], [(4, "İ ÜNFUG 😀 ja")], []]
+
+
+def _area(pairs):
+    """Share of (positive, negative) pairs that the scores put in order."""
+    good, bad = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    return sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad))
+
+
+@pytest.mark.parametrize("name,label,modulus,rest,recall,area", [("op2_toxicity", "toxic", 5, 0, 0.65, 0.93), ("op8_quality", "quality", 4, 2, 0.85, 0.95)])
+def test_held_out_recall_and_order(spark, name, label, modulus, rest, recall, area):
+    """Better than what the majority gets: recall of label 1 at the threshold, and the area under the curve."""
+    rows = catalog.QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+    y = {r.doc_id: r[label] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    held = [(r.score, r.predicted, y[r.doc_id]) for r in rows if r.held_out and y.get(r.doc_id) is not None]
+    major = max(sum(v for *_, v in held), sum(1 - v for *_, v in held)) / len(held)
+    assert sum(p == v for _, p, v in held) / len(held) > major
+    assert sum(p for _, p, v in held if v) >= recall * sum(v for *_, v in held)
+    assert _area([(s, v) for s, _, v in held]) >= area
+
+
+def test_repeated_identifiers_give_the_same_model(spark):
+    docs = spark.createDataFrame([(i, f"text {i} of {j}") for i in range(40) for j in range(3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    from quillwork.llm import learn
+
+    got = [{(r.doc_id, r.text, r.y) for r in learn.labelled(d, labels, "toxic", learn.F.lit(False)).collect()} for d in (docs, docs.repartition(5, "text"))]
+    assert got[0] == got[1] and len(got[0]) == 40 and all(t == min((f"text {i} of {j}" for j in range(3)), key=lambda x: hashlib.sha256(x.encode()).hexdigest()) for i, t, _ in got[0])
+
+
 @pytest.mark.parametrize("name,label,modulus,rest,least", [("op2_toxicity", "toxic", 5, 0, 0.85), ("op8_quality", "quality", 4, 2, 0.9)])
 def test_held_out_accuracy(spark, name, label, modulus, rest, least):
     """On the table of a thousand documents: the smallest one has too few labels to learn from."""
