@@ -18,8 +18,8 @@ from . import common, learn
 
 BITS, SCALE = 18, 12.0
 ALPHA, BETA, L1, L2 = 0.15, 1.0, 0.002, 0.001
-#: Passes over the sample, and the updates that small samples get at least by more passes.
-EPOCHS, UPDATES = 3, 18_000
+#: Passes over the sample, whatever its size.
+EPOCHS = 6
 
 _MARK = np.zeros(256, bool)
 _MARK[33:127] = True
@@ -61,7 +61,7 @@ def fit(texts: list[str], y: np.ndarray) -> np.ndarray:
             vectors.append((np.append(key[k] - i * size, size), np.append(count[k] * (SCALE / max(1, n[i])), 1.0)))
     z, g2 = np.zeros(size + 1), np.zeros(size + 1)
     order = np.random.default_rng(11)
-    for _ in range(max(EPOCHS, -(-UPDATES // len(texts)))):
+    for _ in range(EPOCHS):
         for i in order.permutation(len(texts)):
             k, x = vectors[i]
             zk, nk = z[k], g2[k]
