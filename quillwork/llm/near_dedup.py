@@ -37,6 +37,8 @@ SLOTS = BANDS * ROWS
 SEEMING = THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SLOTS)
 #: Pairs with the same first identifier that are compared in one task, as a rule.
 PART = 256
+#: Keys that a join by key takes apart, at most: the most frequent ones, so that no other has more than a HOT-th of the rows.
+HOT = 1000
 #: A text's horizon leaves each slot empty with probability exp(-SPAN) / SLOTS; texts with empty slots get longer ones.
 SPAN = 4.0
 
@@ -176,6 +178,20 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).take(pa.array(keep))
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key) where a few keys may have most of the rows.
+
+    The HOT most frequent keys' rows stay where they are and get the table's rows (HOT at most) by broadcast; all others
+    are shuffled by key, and none of these keys has more than a HOT-th of the rows.
+    """
+    often = rows.groupBy(on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
+    keys = [r[0] for r in often.where(F.col(on).isNotNull()).orderBy(F.desc("n"), on).limit(HOT).collect()]
+    if not keys:
+        return rows.join(table, on, how)
+    hot = F.coalesce(F.col(on).isin(keys), F.lit(False))
+    return rows.where(hot).join(F.broadcast(table.where(hot)), on, how).unionByName(rows.where(~hot).join(table, on, how))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are near-duplicates. Only texts of some pair are moved.
 
@@ -183,7 +199,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     PART each, and its text goes to each of them.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+    dealt = _looked_up(pairs, parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
     one = dealt.join(texts.withColumnRenamed("id", "b").withColumnRenamed("text", "tb"), "b")
     first = texts.withColumnRenamed("id", "a").withColumnRenamed("text", "ta").join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     both = one.join(first, ["a", "part"])
@@ -200,10 +216,10 @@ def components(links: DataFrame) -> DataFrame:
     both = common.cut(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("id", "to"))
     label = common.cut(both.groupBy("id").agg(F.least("id", F.min("to")).alias("label")))
     while True:
-        heard = both.join(label.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("label").alias("heard"))
-        met = label.join(heard, "id").select("id", F.least("label", "heard").alias("new"), F.col("label").alias("old"))
+        heard = _looked_up(both, label.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("label").alias("heard"))
+        met = common.cut(label.join(heard, "id").select("id", F.least("label", "heard").alias("new"), F.col("label").alias("old")))
         jump = label.select(F.col("id").alias("new"), F.col("label").alias("far"))
-        step = common.cut(met.join(jump, "new", "left").select("id", F.coalesce("far", "new").alias("label"), "old"))
+        step = common.cut(_looked_up(met, jump, "new", "left").select("id", F.coalesce("far", "new").alias("label"), "old"))
         label = step.select("id", "label")
         if step.where("label <> old").isEmpty():
             return label
@@ -290,9 +306,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = known.join(ends, ["band", "h"], "left_semi").select("id", "label").distinct()
     held = common.cut(near.join(open_, "id"))
     joined = components(_bridges(common.cut(_prefix_pairs(held)), held)).toDF("label", "root")
-    whole = star.join(joined, "label", "left").select("key", F.coalesce("root", "label").alias("label"), "copies")
+    whole = common.cut(_looked_up(star, joined, "label", "left").select("key", F.coalesce("root", "label").alias("label"), "copies"))
     sizes = whole.groupBy("label").agg(F.sum("copies").alias("class_size"))
-    classed = common.cut(whole.join(sizes, "label").select("key", "label", "class_size"))
+    classed = common.cut(_looked_up(whole, sizes, "label").select("key", "label", "class_size"))
     null = F.col("id").isNull()
     return member.select("id", "key").join(classed, "key", "left").select(
         F.col("id").alias("doc_id"), F.when(~null, F.col("label")).alias("class_id"), F.when(null, 1).otherwise(F.col("class_size")).cast("bigint").alias("class_size"),
@@ -312,7 +328,7 @@ def _bridges(pairs: DataFrame, held: DataFrame) -> DataFrame:
     one = placed.groupBy("la", "lb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
     first = common.cut(edge(_verified(one, texts)))
     roots = components(first.toDF("a", "b"))
-    up = lambda df, c: df.join(roots.toDF(c, f"r{c}"), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    up = lambda df, c: _looked_up(df, roots.toDF(c, f"r{c}"), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
     rest = up(up(placed.join(one, ["a", "b"], "left_anti"), "la"), "lb").where("rla <> rlb").select("a", "b")
     second = edge(_verified(common.cut(rest), texts))
     return first.union(second).toDF("a", "b")
