@@ -1,7 +1,7 @@
 """Trees as adjacency lists (id, parent_id, ord, ...), walked level by level.
 
-A level is one join with the nodes below the last one, so a walk has as many joins as the tree is deep; ``depth`` bounds it
-and ``problems`` says which nodes a walk can't reach (cycles, missing parents, too deep).
+A level is one join with the nodes below the last one, so a walk has as many joins as the tree is deep, whatever that is. Each
+level is kept in the shared folder, so no level is computed twice. ``problems`` says which nodes a walk can't reach.
 """
 
 from __future__ import annotations
@@ -9,21 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 8
+from ..sources import shared
 
 
-def walk(nodes: DataFrame, depth: int = DEPTH, inherit: str | None = None) -> DataFrame:
+def walk(nodes: DataFrame, inherit: str | None = None) -> DataFrame:
     """Each reachable node with depth (from 0), path (titles joined by " / "), order (sorts as a preorder), ancestors (ids
-    from the root), and ``inherit`` from the nearest ancestor that has it."""
+    from the root), and ``inherit`` from the nearest ancestor that has it. A row that would be its own ancestor (identifiers
+    that repeat) ends its branch."""
     place = lambda: F.array(F.struct(F.col("ord"), F.col("id")))
     carried = [F.col(inherit).alias("_carried")] if inherit else []
     level = nodes.where("parent_id IS NULL").select("id", F.lit(0).alias("depth"), F.col("title").alias("path"), place().alias("order"), F.array("id").alias("ancestors"), *carried)
-    out = level
-    for d in range(1, depth + 1):
+    level = out = shared.cut(level)
+    d = 0
+    while True:
+        d += 1
         up = level.toDF(*(f"_{c}" for c in level.columns))
         own = [F.coalesce(F.col(inherit), F.col("__carried")).alias("_carried")] if inherit else []
-        level = nodes.join(up, F.col("parent_id") == F.col("_id")).select(
+        below = nodes.join(up, (F.col("parent_id") == F.col("_id")) & ~F.array_contains("_ancestors", F.col("id"))).select(
             "id", F.lit(d).alias("depth"), F.concat_ws(" / ", "_path", "title").alias("path"), F.concat("_order", place()).alias("order"), F.concat("_ancestors", F.array("id")).alias("ancestors"), *own)
+        level = shared.cut(below)
         if level.isEmpty():
             break
         out = out.union(level)
@@ -42,8 +46,8 @@ def closure(walked: DataFrame) -> DataFrame:
     return walked.select(F.explode("ancestors").alias("ancestor"), "id")
 
 
-def problems(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Nodes that no walk from a root reaches: their parent is missing, or they are on or below a cycle, or too deep."""
-    lost = nodes.join(walk(nodes, depth).select("id"), "id", "left_anti")
+def problems(nodes: DataFrame) -> DataFrame:
+    """Nodes that no walk from a root reaches: their parent is missing, or they are on or below a cycle or such a node."""
+    lost = nodes.join(walk(nodes).select("id"), "id", "left_anti")
     known = nodes.select(F.col("id").alias("parent_id")).withColumn("_known", F.lit(True))
     return lost.join(known, "parent_id", "left").select("id", F.when(F.col("_known").isNull(), "missing_parent").otherwise("unreachable").alias("problem"))

@@ -11,7 +11,9 @@ def files(spark: SparkSession, path: str, suffixes: str = "*", most: int | None
     df = spark.read.format("binaryFile").option("pathGlobFilter", suffixes).option("recursiveFileLookup", "true").load(path)
     df = df.where(F.col("length") <= most) if most else df
     rows = df.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
-    return rows.groupBy("sha256").agg(F.min_by(F.struct("path", "size", "content"), "path").alias("f")).select("f.path", "f.size", "sha256", "f.content")
+    # Only digests and paths are grouped; contents are joined back to the paths that stay.
+    first = rows.groupBy("sha256").agg(F.min("path").alias("path")).select("path")
+    return rows.join(first, "path", "left_semi").select("path", "size", "sha256", "content")
 
 
 def unknown(found: DataFrame, known: DataFrame) -> DataFrame:
