@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-import math
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import vectorised as V
+from ..sources import tables as T
 
 
 def blocks(lines: DataFrame, key: str, pos: str, heading: Column) -> DataFrame:
@@ -18,59 +15,6 @@ def blocks(lines: DataFrame, key: str, pos: str, heading: Column) -> DataFrame:
     return lines.withColumn("block", F.sum(heading.cast("int")).over(Window.partitionBy(key).orderBy(pos)))
 
 
-def atoms(text: str, target: int) -> list[str]:
-    """Paragraphs of a text; one that is longer than ``target`` tokens is cut at sentences, and a longer sentence at words."""
-    out: list[str] = []
-    for paragraph in filter(str.strip, re.split(r"\n+", text)):
-        if _count(paragraph) <= target:
-            out.append(paragraph)
-            continue
-        for sentence in re.split(r"(?<=[.!?…])\s+", paragraph):
-            words = sentence.split()
-            while words:
-                take, n = 0, 0
-                while take < len(words) and (take == 0 or n + _count(words[take]) <= target):
-                    n += _count(words[take])
-                    take += 1
-                out.append(" ".join(words[:take]))
-                words = words[take:]
-    return out
-
-
-_COUNTED = re.compile(r"\w+|[^\w\s]")
-
-
-def _count(text: str) -> int:
-    return len(_COUNTED.findall(text))
-
-
-def chunked(docs: DataFrame, id_col: str, text_col: str, target: int = 200, overlap: int = 1) -> DataFrame:
-    """Chunks (id, chunk, text, tokens, first_atom, last_atom): a document's atoms are dealt out to as many chunks as its
-    tokens need at ``target``, of about equal sizes, each repeating the last ``overlap`` atoms of the one before.
-
-    A document is one row, so nothing is grouped or shuffled.
-    """
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                parts = atoms(text or "", target)
-                sizes = [_count(p) for p in parts]
-                want = max(1, math.ceil(sum(sizes) / target))
-                share, first, used, chunk = sum(sizes) / want, 0, 0, 0
-                for a, n in enumerate(sizes):
-                    used += n
-                    if a + 1 == len(sizes) or used >= share and chunk + 1 < want:
-                        begin = max(0, first - (overlap if first else 0))
-                        rows.append((i, chunk, "\n".join(parts[begin : a + 1]), sum(sizes[begin : a + 1]), begin, a))
-                        first, used, chunk = a + 1, 0, chunk + 1
-            yield pd.DataFrame(rows, columns=["id", "chunk", "text", "tokens", "first_atom", "last_atom"])
-
-    df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return df.mapInPandas(run, f"id {df.dtypes[0][1]}, chunk int, text string, tokens int, first_atom int, last_atom int")
-
-
 def running_edges(lines: DataFrame, key: str, pos: str, page_lines: int, share: float) -> DataFrame:
     """(key, line, pages): first or last lines of pages (``page_lines`` lines each) that a ``share`` of a document's pages
     have, digits put aside; four pages at least."""
@@ -92,32 +36,31 @@ def numbered_series(lines: DataFrame, key: str, pos: str) -> DataFrame:
     return runs.where("items >= 2")
 
 
-def similarity(a: str, b: str) -> float:
-    """Share of characters in matching blocks, with the cheap upper bounds first."""
-    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-    return m.ratio() if m.real_quick_ratio() >= 0.45 and m.quick_ratio() >= 0.45 else 0.0
-
-
 def heading_matches(titles: DataFrame, headings: DataFrame, least: float = 0.45, sure: float = 0.86, margin: float = 0.04, most: int = 5) -> DataFrame:
     """Candidates (title_id, heading_id, score, place, auto) of titles (title_id, title) among headings (heading_id, heading).
 
-    Only pairs with two stems (six characters of a word) in common are scored: the blocking join is on stems, and counts of
-    shared stems are made before any text is looked at. A first candidate is taken by itself if it is ``sure`` and ``margin``
-    ahead of the next.
+    Headings of the same form are all taken by themselves, with a score of 1. A title without any is compared with the
+    headings that share a word with it: the first is taken by itself if it is ``sure`` and ``margin`` ahead of the next,
+    else up to ``most`` of ``least`` are candidates. Titles of no words have none.
+
+    A pair is scored once, at the least word that both have, so words needn't be grouped before pairs are; pairs whose
+    lengths and numbers of words already rule ``least`` out aren't scored. Titles are broadcast only while they are few.
     """
-    stems = lambda c: F.array_distinct(F.transform(F.filter(X.tokens(F.col(c)), lambda t: F.length(t) >= 4), lambda t: F.substring(t, 1, 6)))
-    left = titles.select("title_id", "title", F.explode(stems("title")).alias("stem"))
-    right = headings.select("heading_id", "heading", F.explode(stems("heading")).alias("stem"))
-    pairs = left.join(right, "stem").groupBy("title_id", "heading_id").agg(F.first("title").alias("title"), F.first("heading").alias("heading"), F.count(F.lit(1)).alias("shared")).where("shared >= 2")
-
-    @F.pandas_udf("double")
-    def scored(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x.lower(), y.lower()) for x, y in zip(a, b, strict=True)])
-
-    w = Window.partitionBy("title_id").orderBy(F.desc("score"), "heading_id")
-    ranked = pairs.withColumn("score", scored("title", "heading")).where(F.col("score") >= least).withColumn("place", F.row_number().over(w)).withColumn("next", F.coalesce(F.lead("score").over(w), F.lit(0.0)))
-    auto = (F.col("place") == 1) & (F.col("score") >= sure) & (F.col("score") - F.col("next") >= margin)
-    return ranked.where(F.col("place") <= most).select("title_id", "heading_id", F.round("score", 6).alias("score"), "place", auto.alias("auto"))
+    words = lambda c: F.array_distinct(X.tokens(F.col(c)))
+    left = titles.select("title_id", V.heading_form(F.col("title")).alias("form")).where("form <> ''").withColumn("terms", words("form"))
+    right = headings.select("heading_id", "heading", V.heading_form(F.col("heading")).alias("other")).where("other <> ''").withColumn("others", words("other"))
+    exact = right.join(T.bounded(left), F.col("other") == F.col("form")).select("title_id", "heading_id", F.lit(1.0).alias("score"), F.row_number().over(Window.partitionBy("title_id").orderBy("heading_id")).alias("place"), F.lit(True).alias("auto"))
+    open_ = left.join(exact.select("title_id").distinct(), "title_id", "left_anti").withColumn("word", F.explode("terms"))
+    met = right.withColumn("word", F.explode("others")).join(T.bounded(open_), "word").where(F.col("word") == F.array_min(F.array_intersect("terms", "others")))
+    share = lambda a, b: F.least(a, b) / F.greatest(a, b)
+    size, chars = (share(F.size("terms"), F.size("others")), 2 * F.least(F.length("form"), F.length("other")) / (F.length("form") + F.length("other")))
+    scored = met.where(0.5 * size + 0.5 * chars >= least).withColumn("score", V.heading_score(F.col("form"), F.col("terms"), F.col("other"), F.col("others"))).where(F.col("score") >= least)
+    w = Window.partitionBy("title_id").orderBy(F.desc("score"), "heading", "heading_id")
+    ranked = scored.withColumn("place", F.row_number().over(w)).withColumn("next", F.coalesce(F.lead("score").over(w), F.lit(0.0)))
+    ranked = ranked.where(F.col("place") <= most).withColumn("auto", (F.col("place") == 1) & (F.col("score") >= sure) & (F.col("score") - F.col("next") >= margin))
+    taken = F.max("auto").over(Window.partitionBy("title_id"))
+    fuzzy = ranked.withColumn("taken", taken).where(F.col("auto") | ~F.col("taken")).select("title_id", "heading_id", F.round("score", 6).alias("score"), "place", "auto")
+    return exact.unionByName(fuzzy)
 
 
 def transferred(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

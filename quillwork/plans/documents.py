@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import text as X
+from ..operators import chunking as C
 from ..operators import grading as G
 from ..operators import structure as S
 from ..sources import html
@@ -27,8 +28,54 @@ def block_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = S.chunked(T.spread(T.read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
-    return c.select(F.col("id").alias("doc_id"), "chunk", "tokens", "first_atom", "last_atom", F.sha2("text", 256).alias("text_sha"))
+    c = C.chunked(T.spread(T.read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+    return c.select(F.col("id").alias("doc_id"), "chunk", "tokens", "first_piece", "last_piece", F.sha2("text", 256).alias("text_sha"))
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their section, page (40 lines) and quality; sources are hard borders."""
+    heading = (F.length("line") < 60) & ~F.col("line").rlike("[.!?,]$")
+    b = S.blocks(T.lines(spark, sf_dir), "doc_id", "pos", heading).withColumnRenamed("block", "section")
+    quality = F.when(F.col("pos") % 11 == 0, 2).when(F.col("pos") % 7 == 0, 1).otherwise(0)
+    return b.select("doc_id", "pos", "line", "section", heading.alias("heading"), F.floor(F.col("pos") / 400).cast("string").alias("group"), F.floor(F.col("pos") / 40).alias("page"), quality.alias("quality"))
+
+
+@query()
+def section_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of a document are in which chunk, sections kept together where they fit."""
+    p = C.packed_sections(_sections(spark, sf_dir), "doc_id")
+    return p.groupBy("doc_id", "chunk").agg(F.min("pos").alias("first_line"), F.max("pos").alias("last_line"), F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"))
+
+
+@query()
+def chunk_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _sections(spark, sf_dir)
+    titles = lines.groupBy("doc_id", "section").agg(F.min_by(F.when(F.col("heading"), F.col("line")), "pos").alias("title"), F.bool_and("heading").alias("heading_only"))
+    pieces = C.packed_sections(lines, "doc_id").join(lines.select("doc_id", "pos", "page", "quality"), ["doc_id", "pos"])
+    d = C.drafts(pieces, C.parents(titles, "doc_id", "section"), "doc_id", F.concat(F.lit("document "), F.col("doc_id").cast("string")))
+    return d.select("doc_id", "chunk", "title", "tokens", "page_from", "page_to", "quality", "line_from", "line_to", F.size("blocks").alias("blocks"), "content_hash", F.sha2("embedding_text", 256).alias("embedding_hash"))
+
+
+_TITLES = """titles AS (SELECT p_brand AS doc, p_partkey AS place, p_size % 3 = 0 AS heading_only, CASE p_partkey % 13 WHEN 0 THEN 'Part II ' || p_name WHEN 1 THEN 'Chapter ' || (p_size % 9 + 1) || ' ' || p_name WHEN 2 THEN 'Chapter ' || (p_size % 9 + 1)
+    WHEN 3 THEN (p_size % 3 + 1) || '.' WHEN 4 THEN (p_size % 3 + 1) || '. ' || p_name WHEN 5 THEN (p_size % 3 + 1) || '. ' || p_name WHEN 6 THEN (p_size % 3 + 1) || '.' || (p_size % 2 + 1) || ' ' || p_name WHEN 7 THEN (p_size % 3 + 1) || '.' || (p_size % 2 + 1) || '. ' || p_name
+    WHEN 8 THEN (p_size % 3 + 1) || '.' || (p_size % 2 + 1) || '.' || (p_size % 4 + 1) || ' ' || p_name WHEN 9 THEN 'Пример.' ELSE p_name END AS title FROM part)"""
+
+
+@query(f"""WITH {_TITLES}, n AS (SELECT *, regexp_extract(title, '^\\s*(\\d{{1,3}}(?:\\.\\d{{1,3}})*)\\.?(?:\\s|$)', 1) AS num, row_number() OVER (PARTITION BY doc ORDER BY place) AS i FROM titles),
+  r AS (SELECT *, CASE WHEN title LIKE 'Part %' THEN 0 WHEN regexp_matches(title, '^Chapter \\d') THEN 1 WHEN num <> '' THEN 1 + len(string_split(num, '.')) END AS rank FROM n)
+  SELECT r.doc, r.place, max(c.place) AS parent FROM r LEFT JOIN r c ON c.doc = r.doc AND c.i < r.i AND c.title <> 'Пример.' AND NOT (c.i = r.i - 1 AND regexp_matches(c.title, '^\\d+\\.$'))
+    AND (CASE WHEN r.rank IS NULL THEN c.rank IS NOT NULL OR c.heading_only ELSE coalesce(c.rank < r.rank AND (c.rank < 2 OR starts_with(r.num || '.', c.num || '.')), false) END) GROUP BY r.doc, r.place""")
+def parent_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headings above headings, by their form: parts over chapters over numbers, 2.2 over 2.2.6."""
+    k, n, name = F.col("p_partkey") % 13, F.col("p_size"), F.col("p_name")
+    a, b, c, ch = ((n % m + 1).cast("string") for m in (3, 2, 4, 9))
+    forms = [F.concat(F.lit("Part II "), name), F.concat(F.lit("Chapter "), ch, F.lit(" "), name), F.concat(F.lit("Chapter "), ch), F.concat(a, F.lit(".")), F.concat(a, F.lit(". "), name), F.concat(a, F.lit(". "), name),
+             F.concat(a, F.lit("."), b, F.lit(" "), name), F.concat(a, F.lit("."), b, F.lit(". "), name), F.concat(a, F.lit("."), b, F.lit("."), c, F.lit(" "), name), F.lit("Пример.")]
+    title = name
+    for i, form in enumerate(forms):
+        title = F.when(k == i, form).otherwise(title)
+    t = T.read(spark, sf_dir, "part").select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("place"), (n % 3 == 0).alias("heading_only"), title.alias("title"))
+    return C.parents(t, "doc", "place").select("doc", "place", "parent")
 
 
 @query(f"""WITH {T.LINES}, p AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) // 5 AS page FROM lines), e AS (SELECT *, min(pos) OVER (PARTITION BY doc_id, page) AS f, max(pos) OVER (PARTITION BY doc_id, page) AS l, max(page) OVER (PARTITION BY doc_id) + 1 AS n FROM p)
@@ -37,10 +84,16 @@ def header_footer_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.running_edges(T.lines(spark, sf_dir), "doc_id", "pos", 5, 0.6)
 
 
-@query(f"""WITH {T.LINES}, n AS (SELECT doc_id, pos, CAST(regexp_extract(line, '^\\s*(\\d{{1,4}})[.)]\\s+\\S', 1) AS INT) AS n FROM lines WHERE regexp_extract(line, '^\\s*(\\d{{1,4}})[.)]\\s+\\S', 1) <> ''),
-  r AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS series FROM n) SELECT doc_id, min(n) AS first, max(n) AS last, count(*) AS items FROM r GROUP BY doc_id, series HAVING count(*) >= 2""")
+@query("""WITH lines AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos, CASE WHEN l_partkey % 5 = 0 THEN 'a line between' ELSE (l_linenumber + CASE WHEN l_partkey % 7 = 0 THEN 3 ELSE 0 END) || CASE WHEN l_partkey % 2 = 0 THEN ') ' ELSE '. ' END || l_returnflag END AS line FROM lineitem),
+  n AS (SELECT doc, pos, CAST(regexp_extract(line, '^\\s*(\\d{1,4})[.)]\\s+\\S', 1) AS INT) AS n FROM lines WHERE regexp_extract(line, '^\\s*(\\d{1,4})[.)]\\s+\\S', 1) <> ''),
+  r AS (SELECT *, n - row_number() OVER (PARTITION BY doc ORDER BY pos) AS series FROM n) SELECT doc, min(n) AS first, max(n) AS last, count(*) AS items FROM r GROUP BY doc, series HAVING count(*) >= 2""")
 def numbered_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.numbered_series(T.lines(spark, sf_dir), "doc_id", "pos").select("doc_id", "first", "last", "items")
+    """Runs of numbered lines; lines are made of orders' items, some out of order and some without a number."""
+    n = F.col("l_linenumber") + F.when(F.col("l_partkey") % 7 == 0, 3).otherwise(0)
+    line = F.when(F.col("l_partkey") % 5 == 0, "a line between").otherwise(F.concat(n.cast("string"), F.when(F.col("l_partkey") % 2 == 0, ") ").otherwise(". "), "l_returnflag"))
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    lines = T.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), pos.alias("pos"), line.alias("line"))
+    return S.numbered_series(lines, "doc", "pos").select("doc", "first", "last", "items")
 
 
 @query()

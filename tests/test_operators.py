@@ -1,13 +1,17 @@
 """Small cases with known answers."""
 
 import math
+import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillwork.functions import arrays as A
 from quillwork.functions import text as X
 from quillwork.functions import vectorised as V
+from quillwork.operators import chunking as C
 from quillwork.operators import grading as G
 from quillwork.operators import memory as M
 from quillwork.operators import planning as P
@@ -107,17 +111,82 @@ def test_plan(spark):
     assert [r.batch for r in b] == [0, 0, 1, 2, 3]
 
 
-def test_chunks_cover_their_documents(spark, sf_dir):
+def _chunks_hold(chunks, expected, bounds):
+    """No chunk is over the bound, nothing is lost, repeated pieces fit the overlap and are the last ones of the chunk before."""
+    fresh = []
+    for before, chunk in zip([[], *chunks], chunks):
+        assert C.size(chunk) <= bounds.most
+        n = next((k for k in range(min(len(before), len(chunk)), 0, -1) if before[-k:] == chunk[:k]), 0)
+        assert C.size(chunk[:n]) <= bounds.overlap
+        fresh += chunk[n:]
+    assert " ".join(p.text for p in fresh).split() == expected.split()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 45), min_size=1, max_size=14), min_size=1, max_size=9), st.integers(0, 30))
+def test_chunks_keep_all_within_bounds(paragraphs, overlap):
+    bounds, n = C.Bounds(40, 60, overlap), iter(range(10_000))
+    texts = [" ".join(" ".join(f"w{next(n)}" for _ in range(k)) + "." for k in p) for p in paragraphs]
+    pieces = [C.Piece(t, C.count(t), i, i, False) for i, t in enumerate(texts)]
+    _chunks_hold(bounds.dealt(pieces), " ".join(texts), bounds)
+    sections = [C.Section(None, [C.Piece(f"H{i}", 1, 2 * i, i, True), p._replace(pos=2 * i + 1)], False) for i, p in enumerate(pieces)]
+    _chunks_hold(bounds.packed(sections), " ".join(f"H{i} {t}" for i, t in enumerate(texts)), bounds)
+
+
+def test_sections_are_packed():
+    b = C.Bounds(20, 30, 5)
+    piece = lambda n, s, h=False: C.Piece(" ".join([f"s{s}"] * n), n, s, s, h)
+    one = lambda n, s, group=None, h=False: C.Section(group, [piece(n, s, h)], h)
+    placed = lambda *x: [[p.section for p in c] for c in b.packed([*x])]
+    assert placed(one(4, 0), one(5, 1), one(6, 2)) == [[0, 1, 2]]  # short sections go together
+    assert placed(one(12, 0), one(12, 1)) == [[0], [1]]  # two that are long enough don't
+    assert placed(one(8, 0), one(1, 1, h=True), one(12, 2)) == [[0], [1, 2]]  # a heading begins its own text's chunk
+    assert placed(one(8, 0, "a"), one(8, 1, "b")) == [[0], [1]]  # a group ends
+    assert placed(one(18, 0), one(12, 1), one(4, 2)) == [[0], [1, 2]]
+    assert placed(one(18, 0), one(4, 1)) == [[0, 1]]  # a short tail joins
+    assert len(b.packed([one(90, 0)])) == 6  # six pieces of half the bound; two would be further from the goal than one
+
+
+def test_chunks_of_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    texts = dict(docs.collect())
-    by: dict = {}
-    for r in S.chunked(docs, "doc_id", "text", 100, 1).collect():
+    texts, by = dict(docs.collect()), {}
+    for r in C.chunked(docs, "doc_id", "text", C.Bounds(100, 150, 20)).collect():
         by.setdefault(r.id, []).append(r)
     for i, chunks in by.items():
         chunks.sort(key=lambda r: r.chunk)
-        n = len(S.atoms(texts[i], 100))
-        assert chunks[0].first_atom == 0 and chunks[-1].last_atom == n - 1
-        assert all(a.last_atom + 1 >= b.first_atom >= a.first_atom and b.last_atom > a.last_atom for a, b in zip(chunks, chunks[1:]))
+        assert chunks[0].first_piece == 0 and all(r.tokens <= 150 or r.first_piece == r.last_piece for r in chunks)
+        assert all(a.last_piece + 1 >= b.first_piece >= a.first_piece and b.last_piece > a.last_piece for a, b in zip(chunks, chunks[1:]))  # a short chunk may be repeated whole
+        assert set(texts[i].split()) == {w for r in chunks for w in r.text.split()}
+    assert set(by) == {i for i, t in texts.items() if (t or "").strip()}
+
+
+def test_drafts(spark):
+    lines = [(1, 0, "Chapter 1 Sets", 1, True, 0, 0), (1, 1, "one two three four five six", 1, False, 0, 1), (1, 2, "1.1 Unions", 2, True, 1, 0), (1, 3, "seven eight nine ten eleven twelve more", 2, False, 1, 2)]
+    df = spark.createDataFrame(lines, "k int, pos int, line string, section int, heading boolean, page int, quality int").withColumn("group", F.lit(None).cast("string"))
+    pieces = C.packed_sections(df, "k", C.Bounds(40, 60, 5)).join(df.select("k", "pos", "page", "quality"), ["k", "pos"])
+    titles = df.where("heading").select("k", "section", F.col("line").alias("title"), F.lit(False).alias("heading_only"))
+    (d,) = C.drafts(pieces, C.parents(titles, "k", "section"), "k", F.lit("book")).collect()
+    assert (d.title, d.page_from, d.page_to, d.quality, d.line_from, d.line_to, d.blocks) == ("Chapter 1 Sets › 1.1 Unions", 0, 1, 2, 0, 3, [1, 2])
+    assert d.text.split("\n\n") == [x[2] for x in lines] and d.embedding_text == f"book — {d.title}\n\n{d.text}" and d.tokens == C.count(d.text)
+
+
+def test_heading_matches_are_those_of_all_pairs(spark, sf_dir):
+    """The blocking loses nothing: every pair that shares a word, scored in plain Python."""
+    titles = {r.item_id: r.text.split(".")[0] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(25).collect()} | {900: "Transactions", 901: "2. Sets, and maps", 902: "Sets & maps of the first sort", 903: "..."}
+    heads = {r.doc_id: (r.text or "").split("\n")[0].split(".")[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()} | {9000: "3) TRANSACTIONS", 9001: "sets and maps", 9002: "Set and map of the first sort", 9003: "Poetry"}
+    words = lambda s: sorted(set(re.findall(X.TOKEN, s)))
+    want = set()
+    for i, title in titles.items():
+        form = V._heading(title)
+        same = sorted(h for h, t in heads.items() if form and V._heading(t) == form)
+        if same:
+            want |= {(i, h, 1.0, n, True) for n, h in enumerate(same, 1)}
+            continue
+        scored = sorted((-s, t, h) for h, t in heads.items() if form and set(words(form)) & set(words(V._heading(t))) and (s := V.score_headings(form, words(form), V._heading(t), words(V._heading(t)))) >= 0.45)
+        auto = scored and -scored[0][0] >= 0.86 and -scored[0][0] - (-scored[1][0] if len(scored) > 1 else 0) >= 0.04
+        want |= {(i, h, round(-s, 6), n, bool(auto)) for n, (s, _, h) in enumerate(scored[: 1 if auto else 5], 1)}
+    got = S.heading_matches(spark.createDataFrame([*titles.items()], "title_id long, title string"), spark.createDataFrame([*heads.items()], "heading_id long, heading string"))
+    assert {tuple(r) for r in got.collect()} == want and {(900, 9000), (901, 9001)} <= {(x[0], x[1]) for x in want if x[4]}
 
 
 def test_headings(spark):
@@ -127,10 +196,22 @@ def test_headings(spark):
     assert got[0].heading_id == 10 and got[0].auto and all(r.heading_id != 12 for r in got)
 
 
+def test_trees_of_any_depth(spark):
+    rows = [("n0", None, 0, "t0")] + [(f"n{i}", f"n{i - 1}", i, f"t{i}") for i in range(1, 21)]
+    nodes = spark.createDataFrame(rows, "id string, parent_id string, ord int, title string")
+    got = {r.id: r for r in trees.walk(nodes).collect()}
+    assert len(got) == 21 and got["n20"].depth == 20 and got["n20"].path == " / ".join(f"t{i}" for i in range(21))
+    assert trees.problems(nodes).collect() == []
+    twice = nodes.union(spark.createDataFrame([("n0", "n2", 0, "again")], nodes.schema))
+    assert max(r.depth for r in trees.walk(twice).collect()) == 20  # a row that would be its own ancestor
+
+
 def test_html():
     title, text = html.readable('<html><title>A &amp; B</title><script>var t="</p>";</script><body><p>One<b>two</b><br>three</p><style>p{}</style><ul><li> x  y </li></ul>')
-    assert title == "A & B" and text == "Onetwo\nthree\nx y"
+    assert title == "A & B" and text == "One two\nthree\n\nx y"  # stretches stand apart; an end and a beginning leave an empty line
     assert html.readable(None) == ("", "")
+    assert html.readable("<title>Page</title><svg><title>Icon</title><path/></svg><p>a<p>b") == ("Page", "a\nb")
+    assert html.readable("<div>one</div>\n\n<div></div><div></div>two <i>three</i>") == ("", "one\n\ntwo three")
 
 
 def test_lines_round_trip(spark, tmp_path):
