@@ -178,14 +178,19 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).take(pa.array(keep))
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def _frequent(rows: DataFrame, on: str) -> list:
+    """The HOT most frequent values of a key that more than PART rows have; no other has more than a HOT-th of the rows."""
+    often = rows.groupBy(on).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > PART) & F.col(on).isNotNull())
+    return [r[0] for r in often.orderBy(F.desc("n"), on).limit(HOT).collect()]
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, on: str, how: str = "inner", keys: list | None = None) -> DataFrame:
     """``rows`` joined with ``table`` (one row a key) where a few keys may have most of the rows.
 
-    The HOT most frequent keys' rows stay where they are and get the table's rows (HOT at most) by broadcast; all others
-    are shuffled by key, and none of these keys has more than a HOT-th of the rows.
+    The rows of frequent ``keys`` (counted here unless they are known) stay where they are and get the table's rows, HOT at
+    most, by broadcast; all others are shuffled by key.
     """
-    often = rows.groupBy(on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
-    keys = [r[0] for r in often.where(F.col(on).isNotNull()).orderBy(F.desc("n"), on).limit(HOT).collect()]
+    keys = _frequent(rows, on) if keys is None else keys
     if not keys:
         return rows.join(table, on, how)
     hot = F.coalesce(F.col(on).isin(keys), F.lit(False))
@@ -198,8 +203,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     An identifier may be the first of very many pairs (a star's centre): its pairs are dealt out to as many parts as hold
     PART each, and its text goes to each of them.
     """
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    dealt = _looked_up(pairs, parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+    parts = common.cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")))
+    hot = [r["a"] for r in parts.where("parts > 1").orderBy(F.desc("parts"), "a").limit(HOT).collect()]
+    dealt = _looked_up(pairs, parts, "a", keys=hot).withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
     one = dealt.join(texts.withColumnRenamed("id", "b").withColumnRenamed("text", "tb"), "b")
     first = texts.withColumnRenamed("id", "a").withColumnRenamed("text", "ta").join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     both = one.join(first, ["a", "part"])
@@ -214,9 +220,12 @@ def components(links: DataFrame) -> DataFrame:
     before it shuffles.
     """
     both = common.cut(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("id", "to"))
-    label = common.cut(both.groupBy("id").agg(F.least("id", F.min("to")).alias("label")))
+    near = common.cut(both.groupBy("id").agg(F.least("id", F.min("to")).alias("label"), F.count(F.lit(1)).alias("n")))
+    label = near.select("id", "label")
+    # Each link is there both ways, so a node is as often a link's end as it is its beginning.
+    ends = [r["id"] for r in near.where(F.col("n") > PART).orderBy(F.desc("n"), "id").limit(HOT).collect()]
     while True:
-        heard = _looked_up(both, label.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("label").alias("heard"))
+        heard = _looked_up(both, label.withColumnRenamed("id", "to"), "to", keys=ends).groupBy("id").agg(F.min("label").alias("heard"))
         met = common.cut(label.join(heard, "id").select("id", F.least("label", "heard").alias("new"), F.col("label").alias("old")))
         jump = label.select(F.col("id").alias("new"), F.col("label").alias("far"))
         step = common.cut(_looked_up(met, jump, "new", "left").select("id", F.coalesce("far", "new").alias("label"), "old"))
@@ -307,8 +316,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = common.cut(near.join(open_, "id"))
     joined = components(_bridges(common.cut(_prefix_pairs(held)), held)).toDF("label", "root")
     whole = common.cut(_looked_up(star, joined, "label", "left").select("key", F.coalesce("root", "label").alias("label"), "copies"))
-    sizes = whole.groupBy("label").agg(F.sum("copies").alias("class_size"))
-    classed = common.cut(_looked_up(whole, sizes, "label").select("key", "label", "class_size"))
+    sizes = common.cut(whole.groupBy("label").agg(F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n")))
+    large = [r["label"] for r in sizes.where(F.col("n") > PART).orderBy(F.desc("n"), "label").limit(HOT).collect()]
+    classed = _looked_up(whole, sizes, "label", keys=large).select("key", "label", "class_size")
     null = F.col("id").isNull()
     return member.select("id", "key").join(classed, "key", "left").select(
         F.col("id").alias("doc_id"), F.when(~null, F.col("label")).alias("class_id"), F.when(null, 1).otherwise(F.col("class_size")).cast("bigint").alias("class_size"),
