@@ -178,38 +178,37 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).take(pa.array(keep))
 
 
-def _frequent(rows: DataFrame, on: str) -> list:
-    """The HOT most frequent values of a key that more than PART rows have; no other has more than a HOT-th of the rows."""
-    often = rows.groupBy(on).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > PART) & F.col(on).isNotNull())
-    return [r[0] for r in often.orderBy(F.desc("n"), on).limit(HOT).collect()]
+def _frequent(counted: DataFrame, on: str, n: str, more: int) -> list:
+    """The HOT most frequent values of a key of which there are ``more`` than that; no other has more than a HOT-th of the rows."""
+    often = counted.where((F.col(n) > more) & F.col(on).isNotNull())
+    return [r[on] for r in often.orderBy(F.desc(n), on).limit(HOT).collect()]
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, on: str, how: str = "inner", keys: list | None = None) -> DataFrame:
+def _looked_up(rows: DataFrame, table: DataFrame, on: str, keys: list) -> DataFrame:
     """``rows`` joined with ``table`` (one row a key) where a few keys may have most of the rows.
 
-    The rows of frequent ``keys`` (counted here unless they are known) stay where they are and get the table's rows, HOT at
-    most, by broadcast; all others are shuffled by key.
+    The rows of the frequent ``keys`` stay where they are and get the table's rows, HOT at most, by broadcast; all others
+    are shuffled by key.
     """
-    keys = _frequent(rows, on) if keys is None else keys
     if not keys:
-        return rows.join(table, on, how)
+        return rows.join(table, on)
     hot = F.coalesce(F.col(on).isin(keys), F.lit(False))
-    return rows.where(hot).join(F.broadcast(table.where(hot)), on, how).unionByName(rows.where(~hot).join(table, on, how))
+    return rows.where(hot).join(F.broadcast(table.where(hot)), on).unionByName(rows.where(~hot).join(table, on))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are near-duplicates. Only texts of some pair are moved.
+    """The pairs (a, b) whose texts are near-duplicates, each once (identifiers that repeat: more often). Only texts of some pair
+    are moved.
 
     An identifier may be the first of very many pairs (a star's centre): its pairs are dealt out to as many parts as hold
     PART each, and its text goes to each of them.
     """
     parts = common.cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")))
-    hot = [r["a"] for r in parts.where("parts > 1").orderBy(F.desc("parts"), "a").limit(HOT).collect()]
-    dealt = _looked_up(pairs, parts, "a", keys=hot).withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+    dealt = _looked_up(pairs, parts, "a", _frequent(parts, "a", "parts", 1)).withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
     one = dealt.join(texts.withColumnRenamed("id", "b").withColumnRenamed("text", "tb"), "b")
     first = texts.withColumnRenamed("id", "a").withColumnRenamed("text", "ta").join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     both = one.join(first, ["a", "part"])
-    return both.select("a", "b", "ta", "tb").mapInArrow(_compared, "a bigint, b bigint").distinct()
+    return both.select("a", "b", "ta", "tb").mapInArrow(_compared, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -219,16 +218,16 @@ def components(links: DataFrame) -> DataFrame:
     travel twice as far each round; rounds end when none changes. Groups are aggregated by node, where Spark combines
     before it shuffles.
     """
-    both = common.cut(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("id", "to"))
+    both = common.cut(links.select("a", "b").union(links.select("b", "a")).toDF("id", "to"))
     near = common.cut(both.groupBy("id").agg(F.least("id", F.min("to")).alias("label"), F.count(F.lit(1)).alias("n")))
     label = near.select("id", "label")
     # Each link is there both ways, so a node is as often a link's end as it is its beginning.
-    ends = [r["id"] for r in near.where(F.col("n") > PART).orderBy(F.desc("n"), "id").limit(HOT).collect()]
+    ends = _frequent(near, "id", "n", PART)
     while True:
-        heard = _looked_up(both, label.withColumnRenamed("id", "to"), "to", keys=ends).groupBy("id").agg(F.min("label").alias("heard"))
-        met = common.cut(label.join(heard, "id").select("id", F.least("label", "heard").alias("new"), F.col("label").alias("old")))
+        heard = _looked_up(both, label.withColumnRenamed("id", "to"), "to", ends).groupBy("id").agg(F.min("label").alias("heard"))
+        met = label.join(heard, "id").select("id", F.least("label", "heard").alias("new"), F.col("label").alias("old"))
         jump = label.select(F.col("id").alias("new"), F.col("label").alias("far"))
-        step = common.cut(_looked_up(met, jump, "new", "left").select("id", F.coalesce("far", "new").alias("label"), "old"))
+        step = common.cut(met.join(jump, "new", "left").select("id", F.coalesce("far", "new").alias("label"), "old"))
         label = step.select("id", "label")
         if step.where("label <> old").isEmpty():
             return label
@@ -315,10 +314,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = known.join(ends, ["band", "h"], "left_semi").select("id", "label").distinct()
     held = common.cut(near.join(open_, "id"))
     joined = components(_bridges(common.cut(_prefix_pairs(held)), held)).toDF("label", "root")
-    whole = common.cut(_looked_up(star, joined, "label", "left").select("key", F.coalesce("root", "label").alias("label"), "copies"))
+    whole = common.cut(star.join(joined, "label", "left").select("key", F.coalesce("root", "label").alias("label"), "copies"))
     sizes = common.cut(whole.groupBy("label").agg(F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n")))
-    large = [r["label"] for r in sizes.where(F.col("n") > PART).orderBy(F.desc("n"), "label").limit(HOT).collect()]
-    classed = _looked_up(whole, sizes, "label", keys=large).select("key", "label", "class_size")
+    classed = _looked_up(whole, sizes, "label", _frequent(sizes, "label", "n", PART)).select("key", "label", "class_size")
     null = F.col("id").isNull()
     return member.select("id", "key").join(classed, "key", "left").select(
         F.col("id").alias("doc_id"), F.when(~null, F.col("label")).alias("class_id"), F.when(null, 1).otherwise(F.col("class_size")).cast("bigint").alias("class_size"),
@@ -338,7 +336,7 @@ def _bridges(pairs: DataFrame, held: DataFrame) -> DataFrame:
     one = placed.groupBy("la", "lb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
     first = common.cut(edge(_verified(one, texts)))
     roots = components(first.toDF("a", "b"))
-    up = lambda df, c: _looked_up(df, roots.toDF(c, f"r{c}"), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    up = lambda df, c: df.join(roots.toDF(c, f"r{c}"), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
     rest = up(up(placed.join(one, ["a", "b"], "left_anti"), "la"), "lb").where("rla <> rlb").select("a", "b")
     second = edge(_verified(common.cut(rest), texts))
     return first.union(second).toDF("a", "b")
@@ -353,5 +351,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their group of near-duplicates, as ``near_duplicates`` says of nulls, ties and repeated rows; an empty
+    table gives no rows."""
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
