@@ -415,6 +415,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded. Null texts count as empty: no tokens, digests of nothing; repeated rows are alike; an
+    empty table gives no rows."""
     import public_tokenizers
 
     return round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))

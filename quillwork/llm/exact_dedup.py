@@ -129,6 +129,8 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their group of equal texts, as ``memberships`` says of nulls, ties and repeated rows; an empty table
+    gives no rows."""
     return memberships(common.table(spark, sf_dir, "documents"))
 
 

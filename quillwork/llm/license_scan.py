@@ -219,6 +219,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and verified spans of all documents. Null and empty texts have no words, labels or spans and a score of 0; of
+    spans that overlap the one with most matched words counts; repeated rows get a row each; an empty table gives none."""
     found = scan(common.table(spark, sf_dir, "documents"))
     more = F.coalesce(F.transform("found", lambda x: x["label"]), F.array().cast("array<string>"))
     best = F.coalesce(F.array_max(F.transform("found", lambda x: x["score"])), F.lit(0.0))

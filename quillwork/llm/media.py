@@ -119,4 +119,6 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", want
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as progressive JPEG and read back. Null texts count as empty, whose payload is 192 spaces; equal texts get
+    equal values; an empty table gives no rows."""
     return stored(common.table(spark, sf_dir, "documents"))

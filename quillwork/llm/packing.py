@@ -224,6 +224,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in pieces of sequences of at most 1024 tokens. Null texts count as empty: a piece of the end id alone. Ties of
+    patterns go to the longer lengths; repeated rows are documents of their own; an empty table gives no pieces."""
     import public_tokenizers
 
     return pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -404,6 +404,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labell
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all documents. Null and empty texts have none (the digest is that of nothing); repeated rows get equal spans; an
+    empty table gives no rows."""
     found = scan(common.table(spark, sf_dir, "documents"))
     order = F.array(*map(F.lit, (*KINDS, "ssn")))
 

@@ -107,6 +107,8 @@ def model(docs: DataFrame, labels: DataFrame, sample: int = learn.SAMPLE) -> np.
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents. Null, empty and blank texts get the bias's score; a score of exactly 0.7 predicts 1; repeated
+    rows score alike; an empty table gives no rows, one of labels scores of 0.5."""
     docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
     common.tune(spark)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2

@@ -200,6 +200,8 @@ def model(docs: DataFrame, labels: DataFrame, sample: int = learn.SAMPLE) -> np.
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents and their offending sentences. Null and empty texts score 0; a score of exactly 0.5 predicts 1;
+    repeated rows score alike; an empty table of documents gives no rows, one of labels a model that scores nothing toxic."""
     docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
     common.tune(spark)
     found = scored(docs, model(docs, labels), ["doc_id"])
