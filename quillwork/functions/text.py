@@ -67,6 +67,40 @@ def content_hash(x: Column) -> Column:
     return F.sha2(squeezed(x), 256)
 
 
+# Fixed value: the standard's namespace for addresses.
+URL_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+
+
+def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
+    """The UUID of version 5 that a name has in a namespace; null stays null."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.when(h.isNotNull(), F.substring(h, 21, 12)))
+
+
+# formulas' commands and the symbols that they stand for in queries.
+SYMBOLS = {"∀": "forall", "∃": "exists", "¬": "neg", "∧": "land", "∨": "lor", "→": "to", "↔": "leftrightarrow"}
+
+
+def symbols_spelt(x: Column) -> Column:
+    """A query whose logical symbols are spelt as formulas' commands, each a word of its own."""
+    for symbol, name in SYMBOLS.items():
+        x = F.replace(x, F.lit(symbol), F.lit(f" {name} "))
+    return x
+
+
+def specific_terms(x: Column) -> Column:
+    """Names, abbreviations and identifiers of Latin script as they are written, in order, once whatever their case: with a
+    capital, a digit or an underscore, of three characters or with a digit. Parts joined by hyphens are one name unless
+    one of them is a single character."""
+    names = F.regexp_extract_all(x, F.lit(r"[0-9A-Za-z]+(?:[-_][0-9A-Za-z]+)*"), F.lit(0))
+    whole = lambda w: F.forall(F.split(w, "-"), lambda p: F.length(p) >= 2)
+    parts = F.flatten(F.transform(names, lambda w: F.when(whole(w), F.array(w)).otherwise(F.split(w, "-"))))
+    digit = lambda w: w.rlike("[0-9]")
+    kept = F.filter(parts, lambda w: ~w.rlike("^[0-9]+$") & ((F.length(w) >= 3) | digit(w)) & (digit(w) | w.contains("_") | w.rlike("[A-Z]")))
+    return F.aggregate(kept, F.array().cast("array<string>"), lambda out, w: F.when(F.exists(out, lambda y: fold(y) == fold(w)), out).otherwise(F.concat(out, F.array(w))))
+
+
 def excerpt(x: Column, most: int) -> Column:
     s = squeezed(x)
     return F.when(F.length(s) <= most, s).otherwise(F.concat(F.rtrim(F.substring(s, 1, most - 1)), F.lit("…")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import difflib
 import functools
 import re
@@ -41,6 +42,24 @@ def token_positions(x: Column) -> Column:
     return f(x)
 
 
+def frequent_terms(x: Column, asked: Column, least: int, most: int) -> Column:
+    """The ``most`` most frequent tokens of ``least`` characters and more that ``asked`` doesn't have, with their numbers, the
+    alphabetically first of equals; null as an empty text."""
+    found = lambda t: [m[0].lower().replace("ё", "е") for m in _TOKEN.finditer(t or "")]
+
+    @F.pandas_udf("array<struct<term:string,n:bigint>>")
+    def f(s: pd.Series, q: pd.Series) -> pd.Series:
+        out = []
+        for text, question in zip(s, q, strict=True):
+            counts = collections.Counter(t for t in found(text) if len(t) >= least)
+            for t in found(question):
+                counts.pop(t, None)
+            out.append([{"term": t, "n": n} for t, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]])
+        return pd.Series(out)
+
+    return f(x, asked)
+
+
 def soft_overlap(a: Column, b: Column, least: float = 0.8) -> Column:
     """How many of the first array's words have a partner in the second, best pairs first, each word once; partners are alike
     by ``least`` of their characters."""
@@ -99,6 +118,16 @@ def heading_score(form: Column, terms: Column, other_form: Column, other_terms:
     return f(form, terms, other_form, other_terms)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """Share of characters in matching blocks."""
+
+    @F.pandas_udf("double")
+    def f(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, s, t).ratio() for s, t in zip(x, y, strict=True)])
+
+    return f(a, b)
+
+
 @functools.lru_cache(1 << 16)
 def _alike(a: str, b: str) -> float:
     return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()

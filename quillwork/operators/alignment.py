@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..sources import tables as T
+
 
 def outline(items: DataFrame, key: str, order: str, level: str, page: str, last_page: str, deepest: int = 6) -> DataFrame:
     """Each outline item with its parent (the last item before it of a lower level) and its last page (one before the page of
@@ -88,3 +91,35 @@ def passages(rows: DataFrame, key: str, pos: str, wanted: str, gap: int = 2) ->
     fresh = F.coalesce(F.col("_n") - F.lag("_n").over(w) - 1 > gap, F.lit(True)).cast("int")
     runs = hits.withColumn("_f", fresh).withColumn("passage", F.sum("_f").over(w))
     return runs.groupBy(key, "passage").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.count(F.lit(1)).alias("wanted"))
+
+
+def quoted(docs: DataFrame, quotes: DataFrame, id_col: str, text_col: str, k: int = 4) -> DataFrame:
+    """(quote_id, id, text, quote): documents that may have quotations (quote_id, quote), by ``k`` neighbouring tokens.
+
+    A quotation's first token may be the end of a longer word, so the key is its second to its ``k + 1``-th one. Documents'
+    runs of ``k`` tokens meet keys, and only the pairs that do are joined with texts; quotations of fewer than ``k + 2``
+    tokens, which have no such key, are looked for in all documents.
+    """
+    toks = X.tokens(F.col("quote"))
+    q = quotes.withColumn("_n", F.size(toks)).withColumn("_key", F.xxhash64(*(F.try_element_at(toks, F.lit(i + 2)) for i in range(k))))
+    runs = F.arrays_zip(*(F.slice(X.tokens(F.col(text_col)), F.lit(i + 1), F.greatest(F.lit(0), F.size(X.tokens(F.col(text_col))) - k + 1)).alias(f"t{i}") for i in range(k)))
+    grams = docs.select(id_col, F.explode(runs).alias("g")).select(id_col, F.xxhash64(*(F.col("g")[f"t{i}"] for i in range(k))).alias("_key"))
+    long = T.bounded(q.where(F.col("_n") >= k + 2).select("quote_id", "_key"))
+    pairs = grams.join(long, "_key").select(id_col, "quote_id").distinct()
+    met = docs.select(id_col, text_col).join(pairs, id_col).join(T.bounded(quotes), "quote_id")
+    short = docs.select(id_col, text_col).join(T.bounded(q.where(F.col("_n") < k + 2).select("quote_id", "quote")), X.fold(F.col(text_col)).contains(F.element_at(F.concat(toks, F.array(F.lit(""))), 1)))
+    columns = ["quote_id", F.col(id_col), F.col(text_col), "quote"]
+    return met.select(*columns).unionByName(short.select(*columns))
+
+
+def located(candidates: DataFrame, text_col: str) -> DataFrame:
+    """Adds start, end (characters) and how to candidates (quote, text) and drops the rest: where the quotation stands as it
+    is, else where its tokens stand one after the other, whatever is between them and whatever their case."""
+    text, quote = F.col(text_col), F.col("quote")
+    exact = F.instr(text, quote).cast("bigint")
+    pattern = F.concat(F.lit("(?<![0-9a-zа-я])"), F.array_join(X.tokens(quote), "[^0-9a-zа-я]+"), F.lit("(?![0-9a-zа-я])"))
+    at = F.when(F.size(X.tokens(quote)) > 0, F.regexp_instr(X.fold(text), pattern)).otherwise(0).cast("bigint")
+    found = candidates.withColumn("_e", exact).withColumn("_t", F.when(exact > 0, 0).otherwise(at)).where("_e > 0 OR _t > 0")
+    size = F.when(F.col("_e") > 0, F.length(quote)).otherwise(F.length(F.regexp_substr(X.fold(text), pattern)))
+    start = F.greatest("_e", "_t") - 1
+    return found.withColumn("start", start).withColumn("end", start + size).withColumn("how", F.when(F.col("_e") > 0, "exact").otherwise("tokens")).drop("_e", "_t")

@@ -47,6 +47,38 @@ def distributed(items: DataFrame, days: DataFrame, key: str) -> DataFrame:
     return items.groupBy(key).cogroup(days.groupBy(key)).applyInPandas(place, f"{key} {kind[key]}, id {kind['id']}, on_day bigint")
 
 
+def recovered(items: DataFrame, days: DataFrame, key: str, today: int, mode: str, most_new: int = 3) -> DataFrame:
+    """(key, id, on_day) of plans after what was missed is dealt with: ``mode`` is dismiss (missed items go), catch_up (each to
+    the earliest day that takes it) or spread (to the day with most room, the earliest of equals).
+
+    ``items`` has (key, id, ord, on_day, need, done, pinned), ``days`` (key, on_day, minutes). Missed are items before ``today``
+    that are neither done nor pinned. A day takes an item if it isn't before today, had nothing on it, has room for it, and
+    has got fewer than ``most_new`` of them; what no day takes stays where it was. A key's plan is one person's.
+    """
+    if mode not in ("dismiss", "catch_up", "spread"):
+        raise ValueError(f"no way of recovery is called {mode}")
+
+    def place(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        missed = (left.on_day < today) & ~left.done & ~left.pinned
+        if mode == "dismiss":
+            left = left[~missed]
+        taken = set(left.on_day)
+        room = {d: m for d, m in zip(right.on_day, right.minutes, strict=True) if d >= today and d not in taken}
+        got = dict.fromkeys(room, 0)
+        moved = {}
+        for i, need in left[missed.reindex(left.index)].sort_values(["ord", "id"])[["id", "need"]].itertuples(index=False):
+            free = [d for d in room if room[d] >= need and got[d] < most_new]
+            if free:
+                day = min(free) if mode == "catch_up" else min(free, key=lambda d: (-room[d], d))
+                moved[i] = day
+                room[day] -= need
+                got[day] += 1
+        return pd.DataFrame({key: [k[0]] * len(left), "id": left.id.tolist(), "on_day": [moved.get(i, d) for i, d in zip(left.id, left.on_day, strict=True)]})
+
+    kind = dict(items.dtypes)
+    return items.groupBy(key).cogroup(days.groupBy(key)).applyInPandas(place, f"{key} {kind[key]}, id {kind['id']}, on_day bigint")
+
+
 def batches(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
     """Next-fit batches: rows in order, a new batch where the next row would exceed the budget (a row may exceed it alone)."""
     step = lambda s, x: F.struct(

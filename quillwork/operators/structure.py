@@ -79,3 +79,37 @@ def transferred(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     placed = lost.join(free.select(key, "r", "k", F.col("pos").alias("at_pos")), [key, "r", "k"], "left").select(key, "pos", "at_pos")
     how = F.when(F.col("new_pos").isNotNull(), "same").when(F.col("at_pos").isNotNull(), "position").otherwise("orphaned")
     return exact.join(placed, [key, "pos"], "left").select(key, "pos", F.coalesce("new_pos", "at_pos").alias("new_pos"), how.alias("how"))
+
+
+def title_fan_out(sections: DataFrame, nodes: DataFrame, section: str, node: str, title: str) -> DataFrame:
+    """(section, node): each section on all nodes that have the title of one of its nodes, case folded. ``sections`` has
+    (section, node), ``nodes`` (node, title)."""
+    t = nodes.select(node, F.lower(title).alias("_t"))
+    return sections.join(t, node).select(section, "_t").distinct().join(t, "_t").select(section, node).distinct()
+
+
+def same_questions(rows: DataFrame, key: str, order: str, text: str, least: float = 0.9) -> DataFrame:
+    """(key, order, of, how): questions that are an earlier one of their key, by words alone (equal) or by ``least`` of their
+    characters (alike); the earliest counts. A key's questions are its cards or messages, and those whose lengths rule
+    likeness out aren't compared."""
+    form = F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), " ")
+    q = rows.select(key, F.col(order).alias("_o"), form.alias("_f"))
+    earlier = q.select(key, F.col("_o").alias("of"), F.col("_f").alias("_g"))
+    short, long = F.least(F.length("_f"), F.length("_g")), F.greatest(F.length("_f"), F.length("_g"))
+    pairs = q.join(earlier, key).where((F.col("of") < F.col("_o")) & (2 * short >= least * (short + long)))
+    alike = pairs.withColumn("equal", F.col("_f") == F.col("_g")).where(F.col("equal") | (V.ratio(F.col("_f"), F.col("_g")) >= least))
+    first = alike.groupBy(key, "_o").agg(F.min(F.struct("of", F.when(F.col("equal"), "equal").otherwise("alike").alias("how"))).alias("m"))
+    return first.select(key, F.col("_o").alias(order), "m.of", "m.how")
+
+
+#: Sides in pixels, and share of the page, under which an image is tiny or small.
+TINY, SMALL, SMALL_AREA = 24, 96, 0.04
+
+
+def image_role(side: Column, area: Column, repeated: Column, margin: Column, caption: Column, page_sized: Column) -> Column:
+    """content, decorative, service or unknown, by an image's shorter side, its share of the page, whether it repeats, stands
+    in a margin, has a caption, or fills the page. A caption makes it content whatever else is true."""
+    small = (side < SMALL) | (area < SMALL_AREA)
+    return (
+        F.when(caption, "content").when(side < TINY, "decorative").when(repeated & margin & small, "service").when(repeated, "unknown")
+        .when(page_sized, "unknown").otherwise("content"))

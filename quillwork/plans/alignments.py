@@ -96,14 +96,23 @@ def visible_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.where(F.col("moment") <= at).groupBy("session").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("outcome").isNotNull() & known).alias("graded_by_then"), F.count_if(F.col("outcome").isNotNull() & ~known).alias("hidden"))
 
 
-@query("""WITH q AS (SELECT item_id, left(text, 30) AS quote FROM benchmark), h AS (SELECT item_id, doc_id, instr(text, quote) - 1 AS start FROM q JOIN documents ON contains(text, quote))
-  SELECT item_id, doc_id, start, start + 30 AS "end" FROM h""")
+#: Passages as they are quoted: every third as it is, others in capitals or with other marks between words.
+_QUOTES = """q AS (SELECT item_id AS quote_id, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN upper(text) ELSE replace(text, ' ', ' -- ') END AS quote FROM benchmark)"""
+
+
+def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = F.when(F.col("item_id") % 3 == 0, F.col("text")).when(F.col("item_id") % 3 == 1, F.upper("text")).otherwise(F.replace("text", F.lit(" "), F.lit(" -- ")))
+    return T.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), form.alias("quote"))
+
+
+@query(f"""WITH {_QUOTES}, p AS (SELECT *, '(?:^|[^0-9a-zа-я])(' || array_to_string(regexp_extract_all(replace(lower(quote), 'ё', 'е'), '[0-9a-zа-я]+'), '[^0-9a-zа-я]+') || ')(?:$|[^0-9a-zа-я])' AS pattern FROM q),
+  d AS (SELECT doc_id, text, replace(lower(text), 'ё', 'е') AS t FROM documents),
+  m AS (SELECT quote_id, doc_id, instr(text, quote) AS e, length(quote) AS n, regexp_extract(t, pattern, 1) AS found, t FROM p JOIN d ON contains(text, quote) OR regexp_matches(t, pattern))
+  SELECT quote_id, doc_id, CAST(CASE WHEN e > 0 THEN e ELSE instr(t, found) END AS BIGINT) - 1 AS start, CAST(CASE WHEN e > 0 THEN e + n ELSE instr(t, found) + length(found) END AS BIGINT) - 1 AS "end", CASE WHEN e > 0 THEN 'exact' ELSE 'tokens' END AS how FROM m""")
 def quote_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where documents have quotations (a stated set of questions), in characters."""
-    q = T.read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 30).alias("quote"))
-    hits = T.read(spark, sf_dir, "documents").select("doc_id", "text").join(T.bounded(q), F.contains("text", F.col("quote")))
-    start = F.expr("instr(text, quote)").cast("bigint") - 1
-    return hits.select("item_id", "doc_id", start.alias("start"), (start + 30).alias("end"))
+    """Where documents have whole quotations, in characters: as they are, else token after token."""
+    docs = T.spread(T.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return A.located(A.quoted(docs, _quotes(spark, sf_dir), "doc_id", "text"), "text").select("quote_id", "doc_id", "start", "end", "how")
 
 
 @query("""SELECT doc_id, greatest(5, CAST(round_even(n_chars / 1200.0::DOUBLE / 5, 0) AS INT) * 5) AS minutes, CAST(greatest(1, ceil(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) * 1.35::DOUBLE)) AS BIGINT) AS model_tokens,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import text as X
+from ..operators import alignment as L
 from ..operators import chunking as C
 from ..operators import grading as G
 from ..operators import structure as S
@@ -138,17 +139,18 @@ def grade_key_term_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(hits, ["item_id", "lang"], "left").select("item_id", "lang", F.round(c, 6).alias("coverage"), G.outcome(c).alias("outcome"))
 
 
-@query("""WITH q AS (SELECT item_id, left(text, 40) AS quote FROM benchmark), e AS (SELECT item_id, min(doc_id) AS doc FROM q JOIN documents ON contains(text, quote) GROUP BY 1),
-  n AS (SELECT item_id, min(doc_id) AS doc FROM q JOIN documents ON contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(quote, '\\s+', ' ', 'g')))) GROUP BY 1)
-  SELECT q.item_id, coalesce(e.doc, n.doc, -1) AS doc_id, CASE WHEN e.doc IS NOT NULL THEN 'exact' WHEN n.doc IS NOT NULL THEN 'normalized' ELSE 'lost' END AS how FROM q LEFT JOIN e ON q.item_id = e.item_id LEFT JOIN n ON q.item_id = n.item_id""")
+@query("""WITH q AS (SELECT item_id, text AS quote, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS nq FROM benchmark), b AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN quote ELSE upper(replace(quote, ' ', '  ')) END AS quote, nq FROM q),
+  d AS (SELECT doc_id, text, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS nt FROM documents), m AS (SELECT item_id, min(CASE WHEN contains(text, quote) THEN doc_id END) AS e, min(doc_id) AS n FROM b JOIN d ON contains(nt, nq) OR contains(text, quote) GROUP BY 1)
+  SELECT b.item_id, coalesce(e, n, -1) AS doc_id, CASE WHEN e IS NOT NULL THEN 'exact' WHEN n IS NOT NULL THEN 'normalized' ELSE 'lost' END AS how FROM b LEFT JOIN m ON b.item_id = m.item_id""")
 def evidence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first document that has a quotation: as it is, else after normalisation, else -1. The questions are a stated set; one pass
-    over the documents holds each against all of them."""
-    q = T.read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("quote"), F.lower(X.squeezed(F.substring("text", 1, 40))).alias("nq"))
-    docs = T.read(spark, sf_dir, "documents").select("doc_id", "text", F.lower(X.squeezed(F.col("text"))).alias("nt"))
-    hits = docs.join(T.bounded(q), F.contains("nt", F.col("nq")) | F.contains("text", F.col("quote"))).groupBy("item_id").agg(F.min(F.when(F.contains("text", F.col("quote")), F.col("doc_id"))).alias("e"), F.min(F.when(F.contains("nt", F.col("nq")), F.col("doc_id"))).alias("n"))
+    """The first document that has a whole quotation: as it is, else after normalisation, else -1."""
+    quote = F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.upper(F.replace("text", F.lit(" "), F.lit("  "))))
+    q = T.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), quote.alias("quote"))
+    met = L.quoted(T.spread(T.read(spark, sf_dir, "documents").select("doc_id", "text")), q, "doc_id", "text")
+    same, normal = F.contains("text", F.col("quote")), F.contains(F.lower(X.squeezed(F.col("text"))), F.lower(X.squeezed(F.col("quote"))))
+    hits = met.groupBy("quote_id").agg(F.min(F.when(same, F.col("doc_id"))).alias("e"), F.min(F.when(normal, F.col("doc_id"))).alias("n"))
     how = F.when(F.col("e").isNotNull(), "exact").when(F.col("n").isNotNull(), "normalized").otherwise("lost")
-    return q.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("e", "n", F.lit(-1)).alias("doc_id"), how.alias("how"))
+    return q.select("quote_id").join(hits, "quote_id", "left").select(F.col("quote_id").alias("item_id"), F.coalesce("e", "n", F.lit(-1)).alias("doc_id"), how.alias("how"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, 'see [S' || (turn + 1) || ', S' || (conv_id % 4 + 1) || '] and [S' || (turn + 1) || ']' AS t, turn + 1 AS a, conv_id % 4 + 1 AS b FROM conversations),

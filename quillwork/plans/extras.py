@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import relational as R
+from ..operators import structure as S
 from ..sources import tables as T
 from .registry import query
 
@@ -106,10 +107,51 @@ def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).cast("bigint").alias("sentences"))
 
 
-@query("SELECT event_id, sha1('event:' || user_id || ':' || event_type || ':' || event_id) AS key FROM events")
+@query("""WITH h AS (SELECT event_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('event:' || user_id || ':' || event_type || ':' || event_id)) AS h FROM events)
+  SELECT event_id, left(h, 8) || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', CAST('0x' || h[17] AS INT) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS key FROM h""")
 def deterministic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that the same event always gets."""
-    return T.read(spark, sf_dir, "events").select("event_id", F.sha1(F.concat_ws(":", F.lit("event"), "user_id", "event_type", "event_id")).alias("key"))
+    """Keys that the same event always gets: UUIDs of version 5."""
+    return T.read(spark, sf_dir, "events").select("event_id", X.uuid5(F.concat_ws(":", F.lit("event"), "user_id", "event_type", "event_id")).alias("key"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, 'Use ' || split_part(text, ' ', 1) || ' with Wi-Fi, io_' || lower(split_part(text, ' ', 2)) || ' and SHA-' || turn || ', A-B, v' || conv_id % 7 || ' ∀ x → ' || conv_id AS q FROM conversations),
+  n AS (SELECT conv_id, turn, q, list_filter(flatten(list_transform(regexp_extract_all(q, '[0-9A-Za-z]+(?:[-_][0-9A-Za-z]+)*'), lambda w: CASE WHEN len(list_filter(string_split(w, '-'), lambda p: length(p) < 2)) = 0 THEN [w] ELSE string_split(w, '-') END)),
+    lambda w: NOT regexp_full_match(w, '[0-9]+') AND (length(w) >= 3 OR regexp_matches(w, '[0-9]')) AND (regexp_matches(w, '[0-9A-Z]') OR contains(w, '_'))) AS ws FROM t)
+  SELECT conv_id, turn, array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda i: list_position(list_transform(ws, lambda w: lower(w)), lower(ws[i])) = i), lambda i: ws[i]), ',') AS terms,
+    trim(regexp_replace(replace(replace(q, '∀', ' forall '), '→', ' to '), '\\s+', ' ', 'g')) AS spelt FROM n""")
+def specific_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What questions name, and the questions with their symbols spelt; questions are made around messages' first words."""
+    word = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
+    q = F.concat(F.lit("Use "), word(1), F.lit(" with Wi-Fi, io_"), F.lower(word(2)), F.lit(" and SHA-"), F.col("turn").cast("string"), F.lit(", A-B, v"), (F.col("conv_id") % 7).cast("string"), F.lit(" ∀ x → "), F.col("conv_id").cast("string"))
+    t = T.read(spark, sf_dir, "conversations").select("conv_id", "turn", q.alias("q"))
+    return t.select("conv_id", "turn", F.array_join(X.specific_terms(F.col("q")), ",").alias("terms"), X.squeezed(X.symbols_spelt(F.col("q"))).alias("spelt"))
+
+
+@query("""WITH n AS (SELECT p_partkey AS id, p_name AS title FROM part), s AS (SELECT p_partkey AS section, p_partkey AS node FROM part WHERE p_size % 5 = 0), g AS (SELECT lower(title) AS t, list(id ORDER BY id) AS ids FROM n GROUP BY 1)
+  SELECT section, len(ids) AS nodes, ids[1] AS first, CAST(list_sum(ids) AS BIGINT) AS total FROM s JOIN n ON n.id = s.node JOIN g ON g.t = lower(n.title)""")
+def duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections that hang on a node hang on all nodes of the same title, whatever its case."""
+    p = T.read(spark, sf_dir, "part")
+    n = p.select(F.col("p_partkey").alias("id"), "p_name")
+    s = p.where("p_size % 5 = 0").select(F.col("p_partkey").alias("section"), F.col("p_partkey").alias("id"))
+    found = S.title_fan_out(s, n, "section", "id", "p_name")
+    return found.groupBy("section").agg(F.count(F.lit(1)).alias("nodes"), F.min("id").alias("first"), F.sum("id").alias("total"))
+
+
+@query()
+def near_duplicate_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a conversation that ask the same as an earlier one of it, punctuation and case aside."""
+    c = T.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return S.same_questions(c.groupBy("conv_id", "turn").agg(F.min("text").alias("text")), "conv_id", "turn", "text")
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_size % 6 = 0 THEN 'content' WHEN least(p_size * 8, p_retailprice) < 24 THEN 'decorative' WHEN p_partkey % 4 = 0 AND p_partkey % 3 = 0 THEN CASE WHEN least(p_size * 8, p_retailprice) < 96 OR p_size < 4 THEN 'service' ELSE 'unknown' END
+  WHEN p_partkey % 4 = 0 THEN 'unknown' WHEN p_partkey % 7 = 0 THEN 'unknown' ELSE 'content' END AS role FROM part""")
+def image_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of images by size, repetition, place and caption; images are made of parts."""
+    side = F.least(F.col("p_size") * 8, F.col("p_retailprice"))
+    k = F.col("p_partkey")
+    return T.read(spark, sf_dir, "part").select(k.alias("id"), S.image_role(side, F.col("p_size") / 100, k % 4 == 0, k % 3 == 0, F.col("p_size") % 6 == 0, k % 7 == 0).alias("role"))
 
 
 @query("""SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderpriority, o_orderkey) AS place FROM orders""")

@@ -154,6 +154,17 @@ def plan_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.distributed(items, days, "project")
 
 
+@query()
+def plan_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans after a missed week, in the two ways that move items; half of what is planned is done."""
+    items = T.read(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("project"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("ord"), (F.col("p_partkey") % 10).alias("on_day"), F.col("p_size").cast("bigint").alias("need"),
+        (F.col("p_size") % 2 == 0).alias("done"), (F.col("p_partkey") % 13 == 0).alias("pinned"))
+    days = items.select("project").distinct().withColumn("on_day", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(59).cast("bigint")))).withColumn("minutes", F.when(F.col("on_day") % 7 >= 5, 30).otherwise(90))
+    ways = [P.recovered(items, days, "project", 7, mode).withColumn("mode", F.lit(mode)) for mode in ("catch_up", "spread")]
+    return ways[0].unionByName(ways[1])
+
+
 @query("""WITH RECURSIVE o AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part),
   f AS (SELECT p_brand, p_partkey, rn, CAST(p_size AS BIGINT) AS used, CAST(0 AS BIGINT) AS batch FROM o WHERE rn = 1
     UNION ALL SELECT o.p_brand, o.p_partkey, o.rn, CASE WHEN used + p_size > 100 THEN p_size ELSE used + p_size END, CASE WHEN used + p_size > 100 THEN batch + 1 ELSE batch END FROM f JOIN o ON o.p_brand = f.p_brand AND o.rn = f.rn + 1)

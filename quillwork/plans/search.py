@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import text as X
+from ..functions import vectorised as V
 from ..operators import retrieval as Q
+from ..operators import structure as S
 from ..sources import tables as T
 from .registry import query
 
@@ -18,13 +20,13 @@ _T = "[0-9a-zA-Zа-яА-ЯёЁ]+"
 _TOK = f"tok AS (SELECT doc_id AS id, regexp_extract_all(translate(lower(text), 'ё', 'е'), '{_T}') AS ts FROM documents)"
 
 
-def _bm25(terms: list[str], phrases: list[tuple[str, str]] = ()) -> str:
+def _bm25(terms: list[str], phrases: list[tuple[str, str]] = (), tok: str = _TOK) -> str:
     keys = [*terms, *(" ".join(p) for p in phrases)]
     one = lambda k: f"len(list_filter(ts, lambda t: t = '{k}'))" if " " not in k else f"len(list_filter(list_zip(ts[:-2], ts[2:]), lambda z: z[1] = '{k.split()[0]}' AND z[2] = '{k.split()[1]}'))"
     tf = ", ".join(f"{one(k)} AS f{i}" for i, k in enumerate(keys))
     df = ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(len(keys)))
     part = lambda i: f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2::DOUBLE / (f{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))"
-    return f"""{_TOK}, tf AS (SELECT id, len(ts) AS length, {tf} FROM tok), st AS (SELECT count(*) AS n, avg(length) AS mean, {df} FROM tf),
+    return f"""{tok}, tf AS (SELECT id, len(ts) AS length, {tf} FROM tok), st AS (SELECT count(*) AS n, avg(length) AS mean, {df} FROM tf),
   lex AS (SELECT id, {' + '.join(part(i) for i in range(len(keys)))} AS score FROM tf, st WHERE {' OR '.join(f'f{i} > 0' for i in range(len(keys)))})"""
 
 
@@ -45,6 +47,22 @@ def lex_bigram_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.orderBy(F.desc(F.round("score", 9)), "id").limit(10).where("score > 0").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+_LINE_TOK = f"""{T.LINES}, blocks AS (SELECT *, CAST(sum(CASE WHEN length(line) < 60 AND NOT regexp_matches(line, '[.!?,]$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS block FROM lines),
+  tok AS (SELECT {{'d': doc_id, 'b': block, 'p': pos}} AS id, regexp_extract_all(translate(lower(line), 'ё', 'е'), '{_T}') AS ts FROM blocks)"""
+
+
+@query(f"""WITH {_bm25(TERMS, tok=_LINE_TOK)}, r AS (SELECT id.d AS doc_id, id.b AS block, id.p AS pos, round(score, 9) AS s FROM lex)
+  SELECT doc_id, block, count(*) AS hits, round(max(s), 6) AS score, arg_min(pos, struct_pack(a := -s, b := pos)) AS best_line FROM r GROUP BY 1, 2 ORDER BY max(s) DESC, doc_id, block LIMIT 10""")
+def lex_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best blocks by their best line, with that line's place and how many of their lines have a term."""
+    heading = (F.length("line") < 60) & ~F.col("line").rlike("[.!?,]$")
+    lines = S.blocks(T.lines(spark, sf_dir), "doc_id", "pos", heading)
+    hits = Q.lexical(lines.select(F.struct("doc_id", "block", "pos").alias("id"), "line"), "id", "line", TERMS)
+    s = hits.select("id.*", F.round("score", 9).alias("s")).where("s > 0")
+    g = s.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("hits"), F.max("s").alias("s"), F.min_by("pos", F.struct(-F.col("s"), "pos")).alias("best_line"))
+    return g.orderBy(F.desc("s"), "doc_id", "block").limit(10).select("doc_id", "block", "hits", F.round("s", 6).alias("score"), "best_line")
+
+
 @query(f"WITH {_TOK} SELECT id AS doc_id, len(list_filter(ts, lambda t: starts_with(t, 'entio'))) AS matches FROM tok WHERE len(list_filter(ts, lambda t: starts_with(t, 'entio'))) > 0")
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.size(F.filter(X.tokens(F.col("text")), lambda t: t.startswith("entio")))
@@ -231,13 +249,13 @@ def search_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("p.k", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,2)")).cast("double"), 2).alias("total"))
 
 
-@query(f"""WITH {_TOK}, w AS (SELECT id, unnest(ts) AS term FROM tok), c AS (SELECT id, term, count(*) AS n FROM w WHERE length(term) > 3 GROUP BY 1, 2)
+@query(f"""WITH {_TOK}, asked AS (SELECT doc_id AS id, regexp_extract_all(replace(lower(split_part(text, '.', 1)), 'ё', 'е'), '[0-9a-zA-Zа-яА-ЯёЁ]+') AS q FROM documents), w AS (SELECT id, unnest(ts) AS term FROM tok), c AS (SELECT id, term, count(*) AS n FROM w JOIN asked USING (id) WHERE length(term) > 3 AND NOT list_contains(q, term) GROUP BY 1, 2)
   SELECT id AS doc_id, term, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, term) AS place FROM c QUALIFY place <= 12""")
 def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twelve most frequent longer terms of each document."""
-    c = Q.postings(_docs(spark, sf_dir), "doc_id", "text").where(F.length("token") > 3)
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("tf"), "token"))
-    return c.select(F.col("id").alias("doc_id"), F.col("token").alias("term"), F.col("tf").alias("n"), place.cast("bigint").alias("place")).where("place <= 12")
+    """The twelve most frequent longer terms of each document, without those of its question (its first sentence). A document
+    is one row, so its terms are counted where it is read."""
+    docs = _docs(spark, sf_dir).select("doc_id", V.frequent_terms(F.col("text"), F.split_part("text", F.lit("."), F.lit(1)), 4, 12).alias("terms"))
+    return docs.select("doc_id", F.posexplode("terms").alias("p", "t")).select("doc_id", "t.term", "t.n", (F.col("p") + 1).cast("bigint").alias("place"))
 
 
 @query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents) SELECT doc_id, source, rn FROM r WHERE rn <= 3""")

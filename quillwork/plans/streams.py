@@ -39,6 +39,16 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drained(S.once(twice, "event_id", "ts", "30 days"), ["event_id"], "append").select("event_id", F.col("event_type").alias("kind"))
 
 
+@query("""WITH b AS (SELECT user_id, min(ts) + INTERVAL 2 DAY AS begin FROM events WHERE user_id % 3 > 0 GROUP BY 1) SELECT event_id FROM events LEFT JOIN b USING (user_id)
+  WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 3 DAY + INTERVAL 60 SECOND AND (begin IS NULL OR ts >= begin)""")
+def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that are neither more than a minute after a given time nor before their reader's day began."""
+    static = T.read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    begins = static.where("user_id % 3 > 0").groupBy("user_id").agg((F.min("ts") + F.expr("INTERVAL 2 DAYS")).alias("begin"))
+    now = static.agg((F.max("ts") - F.expr("INTERVAL 3 DAYS")).cast("string").alias("now")).head()["now"]
+    return S.drained(S.gated(_events(spark, sf_dir), begins, "user_id", "ts", now), ["event_id"], "append").select("event_id")
+
+
 @query("SELECT * FROM (SELECT user_id, event_id AS last_id, event_type AS kind FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)")
 def stream_last_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last mark of each reader: an aggregate that every batch updates."""

@@ -2,6 +2,7 @@
 
 import math
 import re
+import uuid
 
 import pytest
 from hypothesis import given, settings
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from quillwork.functions import arrays as A
 from quillwork.functions import text as X
 from quillwork.functions import vectorised as V
+from quillwork.operators import alignment as A2
 from quillwork.operators import chunking as C
 from quillwork.operators import grading as G
 from quillwork.operators import memory as M
@@ -196,6 +198,41 @@ def test_headings(spark):
     assert got[0].heading_id == 10 and got[0].auto and all(r.heading_id != 12 for r in got)
 
 
+def test_identifiers_are_the_standards(spark):
+    names = ["", "a", "événement:7", "x" * 300]
+    got = [r.k for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", X.uuid5(F.col("n")).alias("k")).sort("i").collect()]
+    assert got == [str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names] and values(spark, X.uuid5(F.lit(None).cast("string"))) == (None,)
+
+
+def test_recovery_of_plans(spark):
+    items = spark.createDataFrame([("k", 1, 1, 2, 20, False, False), ("k", 2, 2, 3, 50, False, False), ("k", 3, 3, 1, 10, True, False), ("k", 4, 4, 4, 10, False, True), ("k", 5, 5, 11, 10, False, False), ("k", 6, 6, 4, 500, False, False)],
+                                  "k string, id int, ord int, on_day bigint, need bigint, done boolean, pinned boolean")
+    days = spark.createDataFrame([("k", d, m) for d, m in ((9, 90), (10, 60), (11, 90), (12, 30), (13, 100))], "k string, on_day bigint, minutes bigint")
+    got = {m: {r.id: r.on_day for r in P.recovered(items, days, "k", 10, m).collect()} for m in ("dismiss", "catch_up", "spread")}
+    kept = {3: 1, 4: 4, 5: 11}
+    assert got["dismiss"] == kept
+    assert got["catch_up"] == kept | {1: 10, 2: 13, 6: 4}  # day 11 had something on it, day 10 has 40 minutes left, nothing takes 500
+    assert got["spread"] == kept | {1: 13, 2: 13, 6: 4}
+
+
+def test_specific_terms(spark):
+    assert values(spark, X.specific_terms(F.lit("What is io_uring, IS-LM or B-tree in v2 of ZFC and zfc? x 12 A-B")))[0] == ["io_uring", "IS-LM", "v2", "ZFC"]
+
+
+def test_same_questions(spark):
+    rows = [("k", 1, "What is a group?"), ("k", 2, "what is a GROUP"), ("k", 3, "What is a groups?"), ("k", 4, "Why?"), ("j", 1, "What is a group?"), ("k", 5, "")]
+    got = {(r.k, r.o): (r.of, r.how) for r in S.same_questions(spark.createDataFrame(rows, "k string, o int, t string"), "k", "o", "t").collect()}
+    assert got == {("k", 2): (1, "equal"), ("k", 3): (1, "alike")}
+
+
+def test_quotations_that_differ_late_are_told_apart(spark):
+    start = "the same forty characters and more of a quotation that goes on "
+    docs = spark.createDataFrame([(1, f"x {start}to one end here. y"), (2, f"x {start}to another end. y"), (3, "thee cat sat"), (4, "The -- CAT, sat")], "d long, t string")
+    quotes = spark.createDataFrame([(1, start + "to one end here."), (2, (start + "to another end").upper()), (3, "the cat sat"), (4, "absent words of no document at all")], "quote_id long, quote string")
+    got = {(r.quote_id, r.d): (r.how, r.start, r.end) for r in A2.located(A2.quoted(docs, quotes, "d", "t"), "t").collect()}
+    assert got == {(1, 1): ("exact", 2, 2 + len(start) + 16), (2, 2): ("tokens", 2, 2 + len(start) + 14), (3, 4): ("tokens", 0, 15)}
+
+
 def test_trees_of_any_depth(spark):
     rows = [("n0", None, 0, "t0")] + [(f"n{i}", f"n{i - 1}", i, f"t{i}") for i in range(1, 21)]
     nodes = spark.createDataFrame(rows, "id string, parent_id string, ord int, title string")
