@@ -538,14 +538,7 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {r.doc_id: r.class_id for r in got} == _groups(rows)
 
 
-def test_hot_keys_are_joined_as_any_other(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "HOT", 2)
-    monkeypatch.setattr(near_dedup, "PART", 3)
-    rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 9), (3, 7), (4, 1), (5, 1), (None, 9)) for i in range(n)], "k long, i long")
-    table = spark.createDataFrame([(k, k * 10) for k in (1, 3, 4, 9)], "k long, v long")
-    keys = near_dedup._frequent(rows.groupBy("k").count(), "k", "count", 3)
-    assert keys == [1, 2] and near_dedup._looked_up(rows, table, "k", keys).count() == 58
-    assert sorted(map(str, near_dedup._looked_up(rows, table, "k", keys).collect())) == sorted(map(str, rows.join(table, "k").collect()))
+def test_components_of_stars_and_chains(spark):
     edges = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(39, 40), (41, 42)], "a long, b long")
     assert {r.id: r.label for r in near_dedup.components(edges).collect()} == {i: 0 if i < 41 else 41 for i in range(43)}
 
