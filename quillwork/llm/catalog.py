@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, media, near_dedup, packing, pii, quality, secret_scan, toxicity
+from . import bpe, exact_dedup, license_scan, media, near_dedup, packing, pii, quality, secret_scan, substring_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_substring_dedup": substring_dedup.op11_substring_dedup,
 }
 SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op11_substring_dedup": substring_dedup.OP11_SQL,
 }
