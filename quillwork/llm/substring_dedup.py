@@ -162,9 +162,9 @@ def met(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy(F.lit(0)).orderBy("part", F.col("_first").desc())
     level = lambda step: F.when(step("anchor").over(order) == F.col("anchor"), 1 + (step("inner").over(order) == F.col("inner")).cast("int")).otherwise(0)
     border = border.select("part", "_first", "_last", level(F.lag).alias("_before"), level(F.lead).alias("_after"))
-    first = F.broadcast(border.where("_first").select("part", F.lit(True).alias("_first"), "_before"))
-    last = F.broadcast(border.where("_last").select("part", F.lit(True).alias("_last"), "_after"))
-    whole = found.join(first, (found.part == first.part) & found.before.isNull(), "left").drop(first.part).join(last, (found.part == last.part) & found.after.isNull(), "left").drop(last.part)
+    first = F.broadcast(border.where("_first").select(F.col("part").alias("_p"), "_before"))
+    last = F.broadcast(border.where("_last").select(F.col("part").alias("_q"), "_after"))
+    whole = found.join(first, (F.col("part") == F.col("_p")) & F.col("before").isNull(), "left").join(last, (F.col("part") == F.col("_q")) & F.col("after").isNull(), "left")
     return whole.select(*rows.columns, F.coalesce("before", "_before").alias("before"), F.coalesce("after", "_after").alias("after")).where("before > 0 OR after > 0")
 
 
