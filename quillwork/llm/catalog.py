@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, media, near_dedup, packing, pii, quality, secret_scan, substring_dedup, toxicity
+from . import bpe, exact_dedup, license_scan, media, near_dedup, packing, periodic_runs, pii, quality, secret_scan, substring_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_substring_dedup": substring_dedup.op11_substring_dedup,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
 SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
