@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, media, near_dedup, packing, periodic_runs, pii, quality, secret_scan, substring_dedup, toxicity
+from . import bpe, exact_dedup, license_scan, media, near_dedup, packing, periodic_runs, pii, quality, secret_scan, spelling, substring_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_substring_dedup": substring_dedup.op11_substring_dedup,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
