@@ -75,7 +75,8 @@ def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
     """The UUID of version 5 that a name has in a namespace; null stays null."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
     variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.when(h.isNotNull(), F.substring(h, 21, 12)))
+    parts = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    return F.when(name.isNotNull(), parts)
 
 
 # formulas' commands and the symbols that they stand for in queries.

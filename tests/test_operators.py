@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import uuid
 
 import pytest
@@ -216,7 +217,7 @@ def test_recovery_of_plans(spark):
 
 
 def test_specific_terms(spark):
-    assert values(spark, X.specific_terms(F.lit("What is io_uring, IS-LM or B-tree in v2 of ZFC and zfc? x 12 A-B")))[0] == ["io_uring", "IS-LM", "v2", "ZFC"]
+    assert values(spark, X.specific_terms(F.lit("What is io_uring, IS-LM or B-tree in v2 of ZFC and zfc? x 12 A-B")))[0] == ["What", "io_uring", "IS-LM", "v2", "ZFC"]
 
 
 def test_same_questions(spark):
@@ -249,6 +250,10 @@ def test_html():
     assert html.readable(None) == ("", "")
     assert html.readable("<title>Page</title><svg><title>Icon</title><path/></svg><p>a<p>b") == ("Page", "a\nb")
     assert html.readable("<div>one</div>\n\n<div></div><div></div>two <i>three</i>") == ("", "one\n\ntwo three")
+    assert html.readable("a<br>b</br>c<br/>d</svg>e") == ("", "a\nb c\nde".replace("de", "d e"))
+    assert html.readable("<svg><svg>x</svg>y</svg>z<svg><p>never ends<div>") == ("", "z")
+    begun = time.time()
+    assert len(html.readable("<p>x<li>" * 50_000)[1]) > 100_000 and time.time() - begun < 10
 
 
 def test_lines_round_trip(spark, tmp_path):
