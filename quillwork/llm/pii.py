@@ -22,8 +22,9 @@ from . import common
 
 # The contract's kinds and patterns.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: The field's tags: outside, one-token kinds, and first and further tokens of kinds of several.
@@ -320,12 +321,36 @@ def _is_card(text: str) -> bool:
     return 13 <= len(d) <= 19 and luhn(d)
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses that don't overlap, found from their signs: what stands before a sign belongs to no other, so a text is
+    read once, however long its runs of letters are."""
+    at, done = text.find("@"), 0
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            yield start, domain.end()
+        done = domain.end() if domain else at + 1
+        at = text.find("@", done)
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost fours of numbers joined by points: of each chain of numbers the first four, the next four, and so on."""
+    for chain in NUMBERS.finditer(text):
+        parts, at = chain[0].split("."), chain.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            size = sum(map(len, four)) + 3
+            if all(int(x[-9:]) <= 255 and not x[:-9].strip("0") for x in four):
+                yield at, at + size
+            at += size + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """The patterns' spans: kind's place, start, end; by kind and start."""
-    out = []
-    if "@" in text:
-        out += [(0, *m.span()) for m in EMAIL.finditer(text)]
-    out += [(1, *m.span()) for m in IP.finditer(text) if all(int(x[-9:]) <= 255 and not x[:-9].strip("0") for x in m[0].split("."))]
+    out = [(0, *x) for x in _emails(text)] + [(1, *x) for x in _addresses(text)]
     out += [(2, *m.span()) for m in CARD.finditer(text) if m.end() - m.start() >= 13 and _is_card(m[0])]
     if "+" in text:
         out += [(3, *m.span()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]

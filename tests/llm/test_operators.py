@@ -100,6 +100,9 @@ def test_scores_and_sentences_against_plain_python(spark):
     p = lambda *z: 1 - math.prod(1 - 1 / (1 + math.exp(-x)) for x in z)
     assert [round(r.score, 6) for r in rows] == [round(x, 6) for x in (p(6.0), p(-1.0), rows[2].score, 0.0, p(1.0), 0.0)]
     assert rows[2].score >= p(3.0)
+    many = " ".join("word " * 14 + "bad." for _ in range(5))
+    (whole,) = toxicity.scored(spark.createDataFrame([(9, many)], "doc_id long, text string"), w, ["doc_id"]).collect()
+    assert whole.score >= 0.5 and len(whole.offending) == 1 and whole.offending[0].score < 0.5
     at = [[(r.doc_id, texts[r.doc_id][x.start : x.end]) for x in r.offending] for r in rows]
     assert at == [[(0, "A VILE thing, so bad")], [], [(2, long + "end")], [], [(4, "İ ÜNFUG 😀 ja")], []]
 
@@ -298,6 +301,19 @@ def test_pii_patterns(text):
     assert got == _spans(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab1.2@-_%+ 9é", max_size=40))
+def test_pii_patterns_on_any_text(text):
+    assert [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in pii.base_spans(text)] == _spans(text)
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "a" * 1_000_000 + " x@y.z", "1." * 500_000, "@" * 500_000, "a@" * 400_000, "a@b" * 300_000 + ".c", "+" * 500_000, "1.2.3." * 200_000])
+def test_pii_patterns_take_time_in_proportion(text):
+    begun = time.time()
+    pii.base_spans(text)
+    assert time.time() - begun < 4
+
+
 def test_field_adds_what_patterns_miss():
     w, t = pii.fit()
     found = lambda s: [(k, s[a:b]) for _, k, a, b in pii.field_spans([s.encode()], w, t)]
