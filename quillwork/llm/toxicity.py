@@ -78,11 +78,13 @@ def _lowered(texts: list[str]) -> list[str]:
     return [t.replace("\u0130", "i").lower() for t in texts]
 
 
-def _located(bags: Bags, raw: list[bytes], weights: np.ndarray, z: np.ndarray, least: float) -> Iterator[tuple[int, int, int, float]]:
+def _located(bags: Bags, raw: list[bytes], weights: np.ndarray, z: np.ndarray, over: np.ndarray, least: float) -> Iterator[tuple[int, int, int, float]]:
     """(text, start, end, score) of the offending sentences, in code points, by place: of each instance whose own score is
-    ``least`` or more, the whole sentence whose words add most to it."""
+    ``least`` or more, and of the worst instance of each text that is ``over`` the bar as a whole, the sentence whose words add
+    most to it."""
     w = bags.words
-    bad = np.flatnonzero(z >= np.log(least / (1 - least)))
+    worst = np.lexsort((-z, bags.doc))[np.searchsorted(bags.doc, np.unique(bags.doc))]
+    bad = np.union1d(np.flatnonzero(z >= np.log(least / (1 - least))), worst[over[bags.doc[worst]]])
     if not len(bad):
         return
     said = np.zeros(len(w.start))
@@ -152,7 +154,8 @@ def score_schema() -> str:
 
 def scored(docs: DataFrame, weights: np.ndarray, keep: list[str], text_col: str = "text", least: float = 0.5) -> DataFrame:
     """Columns ``keep`` of ``docs`` with score (0 to 1) and offending: whole sentences, as code points of the text from the
-    first word to the end of the last, by place, each with the score of the instance that it offends in (``least`` or more).
+    first word to the end of the last, by place, each with the score of the instance that it offends in (``least`` or more; where
+    only all instances together reach that, the worst one's sentence stands).
 
     Null and empty texts, and texts without words, have a document score of 0 and no sentences. Each row is scored alone,
     so repeated rows get equal scores; no rows give no rows. Whole texts are read, in slices of whole texts.
@@ -177,7 +180,7 @@ def scored(docs: DataFrame, weights: np.ndarray, keep: list[str], text_col: str
                 live = live[_first_of_pair(instance[live], bags.feature[live])]
                 z = bias + np.bincount(instance[live], weights=w[bags.feature[live]], minlength=len(doc))
                 score[at : at + len(raw)] = -np.expm1(-np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(raw)))
-                for i, start, end, own in _located(bags, raw, w, z, least):
+                for i, start, end, own in _located(bags, raw, w, z, score[at : at + len(raw)] >= least, least):
                     places[at + i].append({"start": start, "end": end, "score": own})
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
