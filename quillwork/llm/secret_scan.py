@@ -29,7 +29,7 @@ RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Rate of false discoveries, the level under which the battery refutes a random draw, and length classes in characters.
 RATE, REFUTED, CLASSES = 0.05, 0.001, (20, 32, 48, 96)
 #: P-values are counted in bins, so many a power of ten, down to 10**-POWERS; a bin counts as its largest p-value.
-BINS, POWERS = 20, 12
+BINS, POWERS = 20, 300
 LEAST = 10.0**-POWERS
 #: Ordinary text: chances that two, and three, of its letters are equal (sums of squares and cubes of the letters' shares in
 #: English), and changes of the sort of character a step where letters are of one case (a word and a number of six each),
@@ -209,7 +209,8 @@ def scan(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFr
 
 
 def _secret(tested: DataFrame) -> DataFrame:
-    """The runs that are discoveries; the bars are a table of fixed size."""
+    """The runs that are discoveries; the bars are a table of fixed size. The battery is computed once, for both uses."""
+    tested = common.cut(tested)
     return tested.join(F.broadcast(_bars(tested)), ["encoding", "length_class"]).where(F.col("bin") >= F.col("bar"))
 
 

@@ -610,7 +610,7 @@ def test_discoveries_are_benjamini_and_hochbergs(spark):
     tested = {r.doc_id: r for r in secret_scan._battery(runs).select("doc_id", "encoding", "length_class", "p", "p_random").collect()}
     want = set()
     for c in {(r.encoding, r.length_class) for r in tested.values()}:
-        edge = {i: 10 ** (-min(secret_scan.BINS * secret_scan.POWERS, math.floor(-math.log10(max(r.p, 1e-12)) * secret_scan.BINS)) / secret_scan.BINS) for i, r in tested.items() if (r.encoding, r.length_class) == c}
+        edge = {i: 10 ** (-min(secret_scan.BINS * secret_scan.POWERS, math.floor(-math.log10(max(r.p, secret_scan.LEAST)) * secret_scan.BINS)) / secret_scan.BINS) for i, r in tested.items() if (r.encoding, r.length_class) == c}
         ranked = sorted(edge.values())
         bar = max((p for k, p in enumerate(ranked, 1) if p <= secret_scan.RATE * k / len(ranked)), default=-1)
         want |= {i for i, p in edge.items() if p <= bar}
