@@ -196,10 +196,11 @@ def planted(doc_id: Column, text: Column) -> Column:
     words = F.regexp_extract_all(text, F.lit(r"[^ \t-\r]+"), F.lit(0))
     h = F.crc32(doc_id.cast("string"))
     g, n = F.floor(h / 10), F.size(words)
-    first = (g % n).cast("int")
+    first = (g % F.nullif(n, F.lit(0))).cast("int")
     period = (1 + F.floor((n - first) / (3 + g % 8))).cast("int")
-    of = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(words, 1 + F.when(i < first, i).otherwise(first + (i - first) % period)))
-    return F.when((h % 10 == 0) & (F.length(F.regexp_replace(text, r"[ \t-\r]+", "")) > 0), F.array_join(of, " ")).otherwise(text)
+    unit = F.flatten(F.array_repeat(F.slice(words, first + 1, period), F.ceil((n - first) / period).cast("int")))
+    of = F.concat(F.slice(words, F.lit(1), first), F.slice(unit, F.lit(1), n - first))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(of, " ")).otherwise(text)
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
