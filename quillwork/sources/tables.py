@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -103,3 +103,55 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES = """lines AS (SELECT * FROM (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS pos, unnest(string_split(text, chr(10))) AS line
   FROM documents) WHERE trim(line) <> '')"""
+
+
+def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of pages with their boxes, in shares of the page: page, id (from 0), x0, y0, x1, y1, and the upper edge's run and
+    rise (dx, dy). A page is an order, its elements are the order's items; a third of the pages have one column, a third two,
+    a third a line across two columns; two fifths are tilted by 1.5 or -2 degrees, a fifth by 9."""
+    k = F.col("page")
+    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), i.alias("id"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    across, column, row = (k % 3 == 2) & (F.col("id") == 0), F.when(k % 3 == 0, 0).otherwise(F.col("id") % 2), F.when(k % 3 == 0, F.col("id")).otherwise(F.floor((F.col("id") + 1) / 2))
+    x0 = F.when(across, 80).otherwise(80 + column * 460 + F.col("s") % 5)
+    x1 = F.when(across, 920).otherwise(F.col("_x0") + F.when(k % 3 == 0, 300 + F.col("p") % 500).otherwise(300 + F.col("p") % 80))
+    y0 = 120 + row * 90 + column * 25 + F.col("p") % 7
+    slope = F.element_at(F.array(*map(F.lit, (0.0, 0.0, 0.026, -0.035, 0.158))), (k % 5 + 1).cast("int"))
+    flat = items.withColumn("_x0", x0).withColumn("_x1", x1).withColumn("_y0", y0).withColumn("_m", slope)
+    lift = (F.col("_x0") - 500) * F.col("_m")
+    up = flat.withColumn("_u", F.round(F.col("_y0") + lift).cast("bigint")).withColumn("_h", 22 + F.col("p") % 13)
+    return up.select("page", "id", (F.col("_x0") / 1000).alias("x0"), (F.col("_u") / 1000).alias("y0"), (F.col("_x1") / 1000).alias("x1"), ((F.col("_u") + F.col("_h")) / 1000).alias("y1"),
+                     ((F.col("_x1") - F.col("_x0")) / 1000).alias("dx"), ((F.col("_x1") - F.col("_x0")) / 1000 * F.col("_m")).alias("dy"))
+
+
+ELEMENTS = """items AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS id, l_partkey AS p, l_suppkey AS s FROM lineitem),
+  col AS (SELECT *, page % 3 = 2 AND id = 0 AS across, CASE WHEN page % 3 = 0 THEN 0 ELSE id % 2 END AS c, CASE WHEN page % 3 = 0 THEN id ELSE (id + 1) // 2 END AS r, [0.0, 0.0, 0.026, -0.035, 0.158][page % 5 + 1]::DOUBLE AS m FROM items),
+  wide AS (SELECT *, CASE WHEN across THEN 80 ELSE 80 + c * 460 + s % 5 END AS ix, 120 + r * 90 + c * 25 + p % 7 AS iy FROM col),
+  flat AS (SELECT *, CASE WHEN across THEN 920 ELSE ix + CASE WHEN page % 3 = 0 THEN 300 + p % 500 ELSE 300 + p % 80 END END AS jx, CAST(round(iy + (ix - 500) * m) AS BIGINT) AS u FROM wide),
+  elements AS (SELECT page, id, ix / 1000.0::DOUBLE AS x0, u / 1000.0::DOUBLE AS y0, jx / 1000.0::DOUBLE AS x1, (u + 22 + p % 13) / 1000.0::DOUBLE AS y1, (jx - ix) / 1000.0::DOUBLE AS dx, (jx - ix) / 1000.0::DOUBLE * m AS dy FROM flat)"""
+
+
+def margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of materials' pages, margins above all: material, page, id, kind, text, image (hash), x0, y0, x1, y1. A material
+    is a customer, its pages are the customer's orders. Pages have a title in two pieces (odd) or a chapter (even), which is
+    misread or missing now and then, a number outside by parity, an ornament, a heading and a line of their own."""
+    page = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    k, m, p = F.col("o_orderkey"), F.col("material"), F.col("page")
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("material"), page.alias("page"), "o_orderkey", "o_orderpriority", "o_totalprice")
+    odd = p % 2 == 1
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    none, n = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    number = F.when(k % 7 == 0, p + 1).otherwise(p).cast("string")
+    hashed = (m * 7919) % 1000003 * 4096 + F.element_at(F.array(*map(F.lit, (0, 1, 5, 255, 4095))), (k % 5 + 1).cast("int"))
+    box = lambda x, y, w, h: [(v / 1000).alias(c) for c, v in (("x0", x), ("y0", y), ("x1", x + w), ("y1", y + h))]
+    piece = lambda i, kind, text, image, b: F.struct(F.lit(i).alias("id"), F.lit(kind).alias("kind"), text.alias("text"), image.alias("image"), *b)
+    pieces = [
+        F.when(k % 6 > 0, piece(0, "paragraph", F.when(odd, F.concat(F.lit("Course reader "), F.when(k % 4 == 0, F.lit("n0.")).otherwise("no."))).otherwise(F.concat(F.lit("Chapter of part "), (m % 7).cast("string"))), n, box(200 + k % 9, 40 + k % 5, F.lit(180), F.lit(16)))),
+        F.when((k % 6 > 0) & odd, piece(1, "paragraph", m.cast("string"), n, box(410 + k % 9, 42 + k % 5, F.lit(40), F.lit(16)))),
+        piece(2, "paragraph", F.when(m % 2 == 0, F.concat(F.lit("Page "), number)).otherwise(F.concat(F.lit("– "), number, F.lit(" –"))), n, box(F.when(odd, 880).otherwise(90) + k % 4, F.lit(950), F.lit(30), F.lit(14))),
+        F.when(m % 4 == 0, piece(3, "image", none, hashed, box(450 + k % 3, F.lit(900), F.lit(60), F.lit(40)))),
+        piece(4, "heading", F.lit("Exercises"), n, box(F.lit(100), F.lit(100), F.lit(300), F.lit(20))),
+        piece(5, "paragraph", F.concat(F.col("o_orderpriority"), F.lit(" "), price), n, box(300 + k % 400, F.lit(70), F.lit(200), F.lit(14))),
+        piece(6, "paragraph", F.lit("The text of the page."), n, box(F.lit(100), F.lit(400), F.lit(700), F.lit(60))),
+    ]
+    return orders.select("material", "page", F.explode(F.array(*pieces)).alias("e")).where("e IS NOT NULL").select("material", "page", "e.*")
