@@ -103,3 +103,12 @@ def metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
                                  F.aggregate(F.array_sort(F.collect_list("rank")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1.0)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("targets"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1.0))
     return g.select("query", "targets", (F.col("found") / F.col("targets")).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), (F.col("dcg") / ideal).alias("ndcg"))
+
+
+def hit_pages(hits: DataFrame, block: list[str], page: str, place: str, score: str, most: int) -> DataFrame:
+    """``block`` columns, ``page``, hits, lines (``place`` of the hits, best first), score (the page's best): the ``most`` best
+    blocks (by their best hit, then by name), in pages. A report's length is its limit."""
+    best = hits.groupBy(*block).agg(F.max(score).alias("_top")).orderBy(F.desc("_top"), *block).limit(most).select(*block)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(place).alias("p"))))
+    pages = hits.join(F.broadcast(best), block, "left_semi").groupBy(*block, page).agg(ranked.alias("_r"), F.max(score).alias("score"))
+    return pages.select(*block, page, F.size("_r").cast("bigint").alias("hits"), F.transform("_r", lambda x: x["p"]).alias("lines"), "score")

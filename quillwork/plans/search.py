@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import text as X
 from ..functions import vectorised as V
+from ..operators import postings as P
 from ..operators import retrieval as Q
 from ..operators import structure as S
 from ..sources import tables as T
@@ -34,17 +35,36 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.spread(T.read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
+def document_index(spark: SparkSession, sf_dir: str) -> P.Index:
+    """The postings of documents, built where they aren't there yet."""
+    docs = T.read(spark, sf_dir, "documents")
+    return P.kept(spark, docs, T.spread(docs.select(F.col("doc_id").alias("id"), "text")), "documents")
+
+
+#: Lines of a page.
+PAGE = 40
+
+
+def _line_index(spark: SparkSession, sf_dir: str) -> P.Index:
+    """The postings of lines, whose identifiers are document, block, page and line."""
+    heading = (F.length("line") < 60) & ~F.col("line").rlike("[.!?,]$")
+    lines = S.blocks(T.lines(spark, sf_dir), "doc_id", "pos", heading)
+    id_ = F.struct("doc_id", "block", F.floor(F.col("pos") / PAGE).cast("int").alias("page"), "pos").alias("id")
+    return P.kept(spark, T.read(spark, sf_dir, "documents"), lines.select(id_, F.col("line").alias("text")), "lines")
+
+
 @query(f"WITH {_bm25(TERMS)} SELECT id AS doc_id, round(score, 6) AS score FROM lex ORDER BY round(lex.score, 9) DESC, id LIMIT 10")
 def lex_bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = Q.lexical(_docs(spark, sf_dir), "doc_id", "text", TERMS)
-    return hits.orderBy(F.desc(F.round("score", 9)), "id").limit(10).where("score > 0").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    """The ten best documents, from the buckets of the question's terms."""
+    hits = document_index(spark, sf_dir).scored(TERMS)
+    return hits.orderBy(F.desc(F.round("score", 9)), "id").limit(10).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_bm25(['tion'], [PHRASE])} SELECT id AS doc_id, round(score, 6) AS score FROM lex ORDER BY round(lex.score, 9) DESC, id LIMIT 10")
 def lex_bigram_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A term and a phrase as one more branch."""
-    hits = Q.lexical(_docs(spark, sf_dir), "doc_id", "text", ["tion"], [PHRASE])
-    return hits.orderBy(F.desc(F.round("score", 9)), "id").limit(10).where("score > 0").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    hits = document_index(spark, sf_dir).scored(["tion"], [PHRASE])
+    return hits.orderBy(F.desc(F.round("score", 9)), "id").limit(10).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 _LINE_TOK = f"""{T.LINES}, blocks AS (SELECT *, CAST(sum(CASE WHEN length(line) < 60 AND NOT regexp_matches(line, '[.!?,]$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS block FROM lines),
@@ -55,18 +75,23 @@ _LINE_TOK = f"""{T.LINES}, blocks AS (SELECT *, CAST(sum(CASE WHEN length(line)
   SELECT doc_id, block, count(*) AS hits, round(max(s), 6) AS score, arg_min(pos, struct_pack(a := -s, b := pos)) AS best_line FROM r GROUP BY 1, 2 ORDER BY max(s) DESC, doc_id, block LIMIT 10""")
 def lex_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best blocks by their best line, with that line's place and how many of their lines have a term."""
-    heading = (F.length("line") < 60) & ~F.col("line").rlike("[.!?,]$")
-    lines = S.blocks(T.lines(spark, sf_dir), "doc_id", "pos", heading)
-    hits = Q.lexical(lines.select(F.struct("doc_id", "block", "pos").alias("id"), "line"), "id", "line", TERMS)
-    s = hits.select("id.*", F.round("score", 9).alias("s")).where("s > 0")
+    s = _line_index(spark, sf_dir).scored(TERMS).select("id.*", F.round("score", 9).alias("s"))
     g = s.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("hits"), F.max("s").alias("s"), F.min_by("pos", F.struct(-F.col("s"), "pos")).alias("best_line"))
     return g.orderBy(F.desc("s"), "doc_id", "block").limit(10).select("doc_id", "block", "hits", F.round("s", 6).alias("score"), "best_line")
 
 
+@query(f"""WITH {_bm25(TERMS, tok=_LINE_TOK)}, r AS (SELECT id.d AS doc_id, id.b AS block, id.p // {PAGE} AS page, id.p AS pos, round(score, 9) AS s FROM lex), g AS (SELECT doc_id, block, max(s) AS top FROM r GROUP BY 1, 2 ORDER BY top DESC, doc_id, block LIMIT 10)
+  SELECT doc_id, block, CAST(page AS INT) AS page, count(*) AS hits, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY s DESC, pos) AS lines, arg_min(pos, struct_pack(a := -s, b := pos)) AS best_line, round(max(s), 6) AS score FROM r JOIN g USING (doc_id, block) GROUP BY 1, 2, 3""")
+def lex_hit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best blocks by page: the lines with a term, best first, and the best one of each page."""
+    s = _line_index(spark, sf_dir).scored(TERMS).select("id.*", F.round("score", 9).alias("s"))
+    return Q.hit_pages(s, ["doc_id", "block"], "page", "pos", "s", 10).select("doc_id", "block", "page", "hits", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"), F.element_at("lines", 1).alias("best_line"), F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_TOK} SELECT id AS doc_id, len(list_filter(ts, lambda t: starts_with(t, 'entio'))) AS matches FROM tok WHERE len(list_filter(ts, lambda t: starts_with(t, 'entio'))) > 0")
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.size(F.filter(X.tokens(F.col("text")), lambda t: t.startswith("entio")))
-    return _docs(spark, sf_dir).select("doc_id", found.cast("bigint").alias("matches")).where("matches > 0")
+    """Documents with terms that begin with a prefix: the vocabulary names the terms, their buckets have the documents."""
+    return document_index(spark, sf_dir).prefixed("entio").select(F.col("id").alias("doc_id"), F.col("tf").alias("matches"))
 
 
 @query(f"""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{_T}')) AS ts FROM benchmark), t AS (SELECT item_id, unnest(ts) AS term FROM q),
@@ -104,7 +129,7 @@ _RRF = f"""WITH {_bm25(TERMS)}, {_KNN}, a AS (SELECT id, row_number() OVER (ORDE
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = Q.top(Q.lexical(_docs(spark, sf_dir), "doc_id", "text", TERMS), [F.desc(F.round("score", 9)), F.col("id")], 50).where("score > 0")
+    lex = Q.top(document_index(spark, sf_dir).scored(TERMS), [F.desc(F.round("score", 9)), F.col("id")], 50)
     sem = Q.top(_knn(spark, sf_dir), [F.col("distance"), F.col("id")], 50)
     return Q.fused({"lexical": lex, "semantic": sem})
 
