@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import collections
 import difflib
-import functools
 import re
 import unicodedata
 
@@ -66,25 +65,31 @@ def soft_overlap(a: Column, b: Column, least: float = 0.8) -> Column:
 
     @F.pandas_udf("int")
     def f(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([_pairs(list(x if x is not None else []), list(y if y is not None else []), least) for x, y in zip(left, right, strict=True)])
+        return pd.Series([len(_partners(list(x if x is not None else []), list(y if y is not None else []), least)) for x, y in zip(left, right, strict=True)])
 
     return f(a, b)
 
 
-def _pairs(a: list[str], b: list[str], least: float) -> int:
-    scored = []
+def _partners(a: list[str], b: list[str], least: float) -> list[float]:
+    """How alike the words of ``a`` and their partners in ``b`` are: the most alike two first, each word once."""
+    same = {w for w in set(a) & set(b) if a.count(w) == b.count(w) == 1}
+    letters = {w: collections.Counter(w) for w in {*a, *b} - same}
+    scored = [(-1.0, a.index(w), b.index(w)) for w in same]
     for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            if 2 * min(len(x), len(y)) >= least * (len(x) + len(y)):
+        for j, y in enumerate(b) if x not in same else ():
+            enough = least * (len(x) + len(y)) / 2
+            # Common letters bound the matching ones.
+            if y not in same and min(len(x), len(y)) >= enough and (letters[x] & letters[y]).total() >= enough:
                 r = 1.0 if x == y else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
                 if r >= least:
                     scored.append((-r, i, j))
-    used_a, used_b = set(), set()
-    for _, i, j in sorted(scored):
+    used_a, used_b, out = set(), set(), []
+    for r, i, j in sorted(scored):
         if i not in used_a and j not in used_b:
             used_a.add(i)
             used_b.add(j)
-    return len(used_a)
+            out.append(-r)
+    return out
 
 
 # What a heading may begin with, and the marks that don't count when headings are compared.
@@ -128,21 +133,11 @@ def ratio(a: Column, b: Column) -> Column:
     return f(a, b)
 
 
-@functools.lru_cache(1 << 16)
-def _alike(a: str, b: str) -> float:
-    return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
-
-
 def score_headings(a: str, s: list[str], b: str, t: list[str]) -> float:
-    free, shared = sorted(t), 0.0
-    for word in sorted(s):
-        near = [(_alike(word, x), -i) for i, x in enumerate(free) if 2 * min(len(word), len(x)) >= 0.8 * (len(word) + len(x))]
-        best, place = max(near, default=(0.0, 0))
-        if best >= 0.8:
-            shared += best
-            free.pop(-place)
-    union = len(s) + len(t) - shared
-    return 0.5 * (shared / union if union else 0.0) + 0.5 * difflib.SequenceMatcher(None, a, b).ratio()
+    """Half the share of words in common, half the share of characters in common; no words or characters at all: 0 of them."""
+    shared = sum(_partners(s, t, 0.8))
+    words = shared / (len(s) + len(t) - shared) if s or t else 0.0
+    return (words + difflib.SequenceMatcher(None, a, b).ratio()) / 2
 
 
 def with_synonyms(x: Column, synonyms: dict[str, str]) -> Column:

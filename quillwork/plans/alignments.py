@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import alignment as A
+from ..operators import answers as W
 from ..sources import tables as T
 from .registry import query
 
@@ -185,3 +186,15 @@ def rejected_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(d, (a.fragment == d.f) & ((a.print == d.p) | (a.rev != d.r)), "left_anti").select("id")
 
 
+
+
+@query()
+def answer_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each question of each exam gets out of its file of answers: its section, bindings and answer, or a suggestion."""
+    t = T.answer_files(spark, sf_dir)
+    got = W.linked(t["fragments"], t["questions"], t["resolved"], t["manual"], t["edited"])
+    bound = got.bindings.groupBy("key", "ord").agg(F.count_if(F.col("origin") == "auto").alias("auto"), F.count_if(F.col("origin") == "manual").alias("manual"))
+    sections = got.sections.select("key", "ord", "method", (F.col("end") - F.col("anchor")).cast("bigint").alias("fragments"))
+    suggested = got.suggestions.select("key", "ord", F.round("score", 6).alias("suggested"))
+    rows = t["questions"].select("key", "ord").join(sections, ["key", "ord"], "left").join(bound, ["key", "ord"], "left").join(got.answers, ["key", "ord"], "left").join(suggested, ["key", "ord"], "left")
+    return rows.select("key", "ord", "method", "fragments", F.coalesce("auto", F.lit(0)).alias("auto"), F.coalesce("manual", F.lit(0)).alias("manual"), "action", F.sha2("text", 256).alias("answer"), "suggested")

@@ -155,3 +155,35 @@ def margins(spark: SparkSession, sf_dir: str) -> DataFrame:
         piece(6, "paragraph", F.lit("The text of the page."), n, box(F.lit(100), F.lit(400), F.lit(700), F.lit(60))),
     ]
     return orders.select("material", "page", F.explode(F.array(*pieces)).alias("e")).where("e IS NOT NULL").select("material", "page", "e.*")
+
+
+def answer_files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A file of answers for each customer's exam: fragments, questions, resolved, manual and edited, as ``answers.linked`` reads
+    them. A question is an order; its header is written in one of seven ways (as it is, numbered, misspelt, over two
+    paragraphs, in capitals, by its number alone, not at all) and its answer has a fragment for each of the order's items."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", F.lower("p_type"), F.lit("of brand"), F.regexp_replace("p_brand", "\\D", "")).alias("name"))
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))).alias("i"))
+    title = F.concat(F.initcap(F.col("name")), F.lit(", supply and "), F.element_at(F.array(*map(F.lit, ("demand", "storage", "pricing", "transport", "quality"))), (F.col("k") % 5 + 1).cast("int")))
+    order = F.row_number().over(Window.partitionBy("key").orderBy("k"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("key"))
+    first = items.where("i = 1").join(part, "l_partkey").select(F.col("l_orderkey").alias("k"), "name")
+    asked = orders.join(first, "k").withColumn("ord", order).withColumn("title", title)
+    way, n, t = F.col("k") % 7, F.col("ord").cast("string"), F.col("title")
+    cut = F.instr("title", ",").cast("int")
+    piece = lambda j, kind, text: F.struct(F.lit(j).alias("j"), F.lit(kind).alias("kind"), text.alias("text"))
+    head = (
+        F.when(way == 0, F.array(piece(0, "heading", t))).when(way == 1, F.array(piece(0, "heading", F.concat(n, F.lit(". "), t))))
+        .when(way == 2, F.array(piece(0, "paragraph", F.translate(t, "oS", "0s"))))
+        .when(way == 3, F.array(piece(0, "paragraph", t.substr(F.lit(1), cut)), piece(1, "paragraph", t.substr(cut + 1, F.lit(100)))))
+        .when(way == 4, F.array(piece(0, "heading", F.upper(t)))).when(way == 5, F.array(piece(0, "heading", F.concat(n, F.lit(") About something else entirely"))))))
+    heads = asked.where("k % 7 < 6").select("key", "ord", F.explode(head).alias("h")).select("key", (F.col("ord") * 100 + F.col("h.j")).alias("pos"), "h.kind", "h.text")
+    body = items.join(asked.select(F.col("k").alias("l_orderkey"), "key", "ord"), "l_orderkey")
+    said = F.when(F.col("l_partkey") % 5 == 0, F.concat(F.col("i").cast("string"), F.lit(") a step of the proof"))).otherwise(F.concat(F.lit("The answer says "), F.col("l_partkey").cast("string"), F.lit(" and goes on for a while.")))
+    fragments = heads.unionByName(body.select("key", (F.col("ord") * 100 + 10 + F.col("i")).alias("pos"), F.lit("paragraph").alias("kind"), said.alias("text")))
+    questions = asked.select("key", "ord", "title", F.col("ord").alias("root"), F.lit(None).cast("int").alias("child"))
+    return {
+        "fragments": fragments, "questions": questions,
+        "resolved": asked.where("k % 7 = 5 AND k % 2 = 0").select("key", F.lit("about something else entirely").alias("form"), "ord").groupBy("key", "form").agg(F.min("ord").alias("ord")),
+        "manual": body.where("l_partkey % 11 = 0").select("key", (F.col("ord") * 100 + 10 + F.col("i")).alias("pos"), "ord"),
+        "edited": asked.where("k % 13 = 0").select("key", "ord"),
+    }
