@@ -51,3 +51,20 @@ def problems(nodes: DataFrame) -> DataFrame:
     lost = nodes.join(walk(nodes).select("id"), "id", "left_anti")
     known = nodes.select(F.col("id").alias("parent_id")).withColumn("_known", F.lit(True))
     return lost.join(known, "parent_id", "left").select("id", F.when(F.col("_known").isNull(), "missing_parent").otherwise("unreachable").alias("problem"))
+
+
+def reachable(edges: DataFrame, roots: DataFrame, files: DataFrame) -> DataFrame:
+    """id, depth: what can be reached from ``roots`` (id) along ``edges`` (src, dst) between ``files`` (id), with the fewest steps.
+
+    The graph may have cycles and several ways to a place; each round joins only what the last one found, and what is known
+    already is taken away, so there are as many rounds as the longest shortest way. What isn't among the files is left out.
+    """
+    known = files.select("id").distinct()
+    front = shared.cut(roots.select("id").distinct().join(known, "id", "left_semi").withColumn("depth", F.lit(0)))
+    out, depth = front, 0
+    while not front.isEmpty():
+        depth += 1
+        ahead = edges.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        front = shared.cut(ahead.join(known, "id", "left_semi").join(out, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        out = out.unionByName(front)
+    return out
