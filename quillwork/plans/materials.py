@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectorised as V
+from ..operators import evidence as E
 from ..operators import series as N
 from ..operators import trees as R
 from ..sources import tables as T
@@ -81,3 +82,27 @@ def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = T.lines(spark, sf_dir).select("doc_id", "pos", V.highlights(F.col("line"), ["estion", "ndtion", "tionen"], "entio").alias("h")).where(F.size("h") > 0)
     spans = F.array_join(F.transform("h", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
     return found.select("doc_id", "pos", spans.alias("spans"), F.array_join(V.surface_forms(F.col("h")), ",").alias("forms"))
+
+
+_PLAIN = "trim(regexp_replace(lower(translate(regexp_replace(regexp_replace({}, '[$]|[{{}}*_`]', '', 'g'), '\\.{{2,}}|…|[-—]{{2,}}', ' ', 'g'), 'ABCEHKMOPTXYaceopxy', 'АВСЕНКМОРТХУасеорху')), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH {T.LINES}, u AS (SELECT doc_id * 1000 + pos AS ref, line AS text, doc_id, pos FROM lines WHERE pos < 1000), n AS (SELECT *, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w, coalesce(lead(ref) OVER (PARTITION BY doc_id ORDER BY pos), ref) AS after FROM u),
+  e AS (SELECT ref AS id, CASE (doc_id + pos) % 6 WHEN 4 THEN after ELSE ref END AS ref, CASE (doc_id + pos) % 6 WHEN 1 THEN upper(array_to_string(w[2:12], '  ')) WHEN 2 THEN array_to_string(list_transform(w[2:12], lambda x, i: CASE WHEN i % 5 = 0 THEN 'zzz' ELSE x END), ' ')
+    WHEN 3 THEN array_to_string(list_transform(w[2:12], lambda x, i: CASE WHEN i % 2 = 0 THEN 'zzz' ELSE x END), ' ') WHEN 5 THEN replace(array_to_string(w[2:12], ' '), 'e', 'е') ELSE array_to_string(w[2:12], ' ') END AS quote FROM n WHERE len(w) >= 14 AND pos % 3 = 0),
+  p AS (SELECT ref, text, {_PLAIN.format('text')} AS p FROM u), q AS (SELECT *, {_PLAIN.format('quote')} AS a FROM e),
+  o AS (SELECT q.*, text, p, regexp_extract_all(a, '[\\p{{L}}\\p{{N}}_]+') AS qw, regexp_extract_all(p, '[\\p{{L}}\\p{{N}}_]+') AS uw FROM q JOIN p USING (ref)),
+  s AS (SELECT *, list_sum(list_transform(list_distinct(qw), lambda x: least(len(list_filter(qw, lambda y: y = x)), len(list_filter(uw, lambda y: y = x))))) / CAST(len(qw) AS DOUBLE) AS share FROM o),
+  h AS (SELECT *, CASE WHEN contains(text, quote) THEN 'exact' WHEN contains(p, a) THEN 'normalized' WHEN share >= 0.75 THEN 'approximate' END AS how FROM s),
+  c AS (SELECT h.id, min(p.ref) AS other FROM h JOIN p ON h.how IS NULL AND p.ref <> h.ref AND contains(p.p, h.a) GROUP BY h.id)
+  SELECT id, CASE WHEN how IS NOT NULL THEN ref ELSE other END AS found, coalesce(how, CASE WHEN other IS NOT NULL THEN 'ref_corrected' ELSE 'lost' END) AS how FROM h LEFT JOIN c USING (id)""")
+def evidence_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotations of lines, as they are and changed in five ways, found again: exact, normalized, approximate or elsewhere."""
+    units = T.lines(spark, sf_dir).where("pos < 1000").select((F.col("doc_id") * 1000 + F.col("pos")).alias("ref"), F.col("line").alias("text"), "doc_id", "pos")
+    after = F.coalesce(F.lead("ref").over(Window.partitionBy("doc_id").orderBy("pos")), F.col("ref"))
+    n = units.withColumn("w", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).withColumn("after", after).where("size(w) >= 14 AND pos % 3 = 0")
+    eleven, way = F.slice("w", 2, 11), (F.col("doc_id") + F.col("pos")) % 6
+    every = lambda k: F.array_join(F.transform(eleven, lambda x, i: F.when((i + 1) % k == 0, "zzz").otherwise(x)), " ")
+    quote = F.when(way == 1, F.upper(F.array_join(eleven, "  "))).when(way == 2, every(5)).when(way == 3, every(2)).when(way == 5, F.translate(F.array_join(eleven, " "), "e", "е")).otherwise(F.array_join(eleven, " "))
+    evidence = n.select(F.col("ref").alias("id"), F.when(way == 4, F.col("after")).otherwise(F.col("ref")).alias("ref"), quote.alias("quote"))
+    return E.repaired(evidence, units.select("ref", "text")).select("id", "found", "how")
