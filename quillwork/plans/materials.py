@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectorised as V
 from ..operators import evidence as E
+from ..operators import ranges as G
 from ..operators import series as N
 from ..operators import trees as R
 from ..sources import tables as T
@@ -106,3 +107,54 @@ def evidence_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     quote = F.when(way == 1, F.upper(F.array_join(eleven, "  "))).when(way == 2, every(5)).when(way == 3, every(2)).when(way == 5, F.translate(F.array_join(eleven, " "), "e", "е")).otherwise(F.array_join(eleven, " "))
     evidence = n.select(F.col("ref").alias("id"), F.when(way == 4, F.col("after")).otherwise(F.col("ref")).alias("ref"), quote.alias("quote"))
     return E.repaired(evidence, units.select("ref", "text")).select("id", "found", "how")
+
+
+_PAGED = f"""{T.LINES}, fr AS (SELECT doc_id AS key, pos // 5 AS page, row_number() OVER (PARTITION BY doc_id, pos // 5 ORDER BY pos) - 1 AS place, pos, line AS text, length(line) % 3 = 0 AS heading, CASE WHEN length(line) % 4 < 3 THEN length(line) % 4 + 1 END AS level, length(line) % 9 > 0 AS content FROM lines),
+  tops AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS ord, lead(text) OVER (PARTITION BY key ORDER BY pos) AS next_title, lead(page) OVER (PARTITION BY key ORDER BY pos) AS next_page FROM fr WHERE heading AND pos % 2 = 0),
+  topics AS (SELECT key, ord, upper(text) AS title, page AS page_from, greatest(page, coalesce(next_page - 1 + pos % 3 // 2, page + 2)) AS page_to, next_title, next_page, CASE WHEN key % 3 = 0 THEN 3 END AS page_count FROM tops),
+  hd AS (SELECT * FROM (SELECT *, coalesce(max(CASE WHEN content THEN place END) OVER (PARTITION BY key, page ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 0) AS back, trim(regexp_replace(replace(lower(text), 'ё', 'е'), '\\s+', ' ', 'g')) AS form FROM fr) WHERE heading AND content),
+  own AS (SELECT t.*, h.back, h.level FROM topics t LEFT JOIN (SELECT t.key, t.ord, min({{'p': h.place, 'b': h.back, 'l': h.level}}) AS x FROM topics t JOIN hd h ON h.key = t.key AND h.page = t.page_from AND h.form = trim(regexp_replace(replace(lower(t.title), 'ё', 'е'), '\\s+', ' ', 'g')) GROUP BY 1, 2) o ON o.key = t.key AND o.ord = t.ord, LATERAL (SELECT o.x.b AS back, o.x.l AS level) h),
+  st AS (SELECT *, coalesce(back, 0) AS place_from, coalesce(next_page = page_from, false) AS same, CASE WHEN next_page = page_from OR (next_page = page_to + 1 AND (page_count IS NULL OR next_page <= page_count)) THEN next_page END AS cut FROM own),
+  ct AS (SELECT s.key, s.ord, coalesce(min({{'i': h.place, 'b': h.back}}) FILTER (h.form = trim(regexp_replace(replace(lower(s.next_title), 'ё', 'е'), '\\s+', ' ', 'g'))), min({{'i': h.place, 'b': h.back}}) FILTER (s.level IS NULL OR h.level IS NULL OR h.level <= s.level)) AS x
+    FROM st s JOIN hd h ON h.key = s.key AND h.page = s.cut AND h.place >= CASE WHEN s.same THEN s.place_from + 1 ELSE 0 END GROUP BY 1, 2),
+  pg AS (SELECT key, page, bool_or(content) AS content, count(*) AS size FROM fr GROUP BY 1, 2),
+  rg AS (SELECT s.*, CASE WHEN cut IS NULL THEN [page_to + 1, 0] WHEN same THEN CASE WHEN x IS NOT NULL THEN [cut, x.b] ELSE [page_to + 1, 0] END WHEN pg.content IS NULL THEN [cut + 1, 0] WHEN NOT pg.content THEN [page_to + 1, 0] WHEN x IS NOT NULL THEN [cut, x.b] ELSE [cut + 1, 0] END AS e
+    FROM st s LEFT JOIN ct USING (key, ord) LEFT JOIN pg ON pg.key = s.key AND pg.page = s.cut)"""
+
+
+def _paged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages of five lines, a third of them headings (by their length), and topics: every other heading, with a last page that is right, or one too far."""
+    line = F.col("line")
+    page = F.floor(F.col("pos") / 5).cast("int")
+    place = (F.row_number().over(Window.partitionBy("doc_id", page).orderBy("pos")) - 1).alias("place")
+    level = F.when(F.length(line) % 4 < 3, F.length(line) % 4 + 1)
+    fr = T.lines(spark, sf_dir).select(F.col("doc_id").alias("key"), page.alias("page"), place, "pos", line.alias("text"), (F.length(line) % 3 == 0).alias("heading"), level.alias("level"), (F.length(line) % 9 > 0).alias("content"))
+    w = Window.partitionBy("key").orderBy("pos")
+    tops = fr.where("heading AND pos % 2 = 0").withColumn("ord", F.row_number().over(w)).withColumn("next_title", F.lead("text").over(w)).withColumn("next_page", F.lead("page").over(w))
+    last = F.greatest(F.col("page"), F.coalesce(F.col("next_page") - 1 + F.floor(F.col("pos") % 3 / 2), F.col("page") + 2)).cast("int")
+    topics = tops.select("key", "ord", F.upper("text").alias("title"), F.col("page").alias("page_from"), last.alias("page_to"), "next_title", "next_page", F.when(F.col("key") % 3 == 0, 3).alias("page_count"))
+    return fr, topics
+
+
+@query(f"WITH {_PAGED} SELECT key, ord, page_from, place_from, e[1] AS page_end, e[2] AS place_end FROM rg")
+def refined_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics' ranges with their borders at headings."""
+    fr, topics = _paged(spark, sf_dir)
+    return G.refined(topics, fr).select("key", "ord", F.col("start.page").alias("page_from"), F.col("start.place").alias("place_from"), F.col("end.page").alias("page_end"), F.col("end.place").alias("place_end"))
+
+
+@query(f"""WITH {_PAGED}, kids AS (SELECT fr.key, rg.ord, fr.pos AS part, fr.text AS title, fr.page + CASE WHEN fr.pos % 7 = 0 THEN 1 ELSE 0 END AS page, rg.page_from * 1000 + rg.place_from AS s, rg.e[1] * 1000 + rg.e[2] AS e FROM fr JOIN rg ON fr.key = rg.key AND fr.heading AND fr.pos % 2 = 1 AND fr.page >= rg.page_from AND fr.page <= rg.page_to),
+  po AS (SELECT k.*, greatest(k.page * 1000 + coalesce((SELECT min({{'i': h.place, 'b': h.back}}).b FROM hd h WHERE h.key = k.key AND h.page = k.page AND h.form = trim(regexp_replace(replace(lower(k.title), 'ё', 'е'), '\\s+', ' ', 'g')) AND h.place >= CASE WHEN k.page = k.s // 1000 THEN k.s % 1000 + 1 ELSE 0 END), 0), s) AS a FROM kids k WHERE k.page >= k.s // 1000),
+  cu AS (SELECT key, ord, part, e, max(a) OVER (PARTITION BY key, ord ORDER BY page, part) AS f, row_number() OVER (PARTITION BY key, ord ORDER BY page, part) AS n FROM po WHERE a < e),
+  bo AS (SELECT key, ord, NULL AS part, e[1] * 1000 + e[2] AS e, page_from * 1000 + place_from AS f, 0 AS n FROM rg UNION ALL SELECT key, ord, part, e, f, n FROM cu),
+  se AS (SELECT *, coalesce(lead(f) OVER (PARTITION BY key, ord ORDER BY n), e) AS z FROM bo),
+  sg AS (SELECT se.*, CASE WHEN f % 1000 > 0 AND f % 1000 >= coalesce(size, 0) THEN (f // 1000 + 1) * 1000 ELSE f END AS b, CASE WHEN z % 1000 = 0 THEN z // 1000 - 1 ELSE z // 1000 END AS y FROM se LEFT JOIN pg ON pg.key = se.key AND pg.page = se.f // 1000)
+  SELECT key, ord, coalesce(part, -1) AS part, CASE WHEN ok THEN b // 1000 END AS page_from, CASE WHEN ok THEN b % 1000 END AS place_from, CASE WHEN ok THEN y END AS page_to, CASE WHEN ok THEN z % 1000 END AS place_to FROM (SELECT *, f < z AND y >= b // 1000 AND b < z AS ok FROM sg) WHERE part IS NOT NULL OR ok""")
+def child_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics' ranges cut at the headings of their parts; -1 is what stands before the first part."""
+    fr, topics = _paged(spark, sf_dir)
+    r = G.refined(topics, fr)
+    kids = fr.where("heading AND pos % 2 = 1").select("key", F.col("pos").alias("part"), F.col("text").alias("title"), "page")
+    within = kids.join(r.select("key", "ord", F.col("page_from").alias("_a"), F.col("page_to").alias("_z")), "key").where("page BETWEEN _a AND _z")
+    parts = within.select("key", "ord", "part", "title", (F.col("page") + F.when(F.col("part") % 7 == 0, 1).otherwise(0)).alias("page_from"))
+    return G.split_by_parts(r, parts, fr).withColumn("part", F.coalesce("part", F.lit(-1)))
