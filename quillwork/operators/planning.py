@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -89,3 +92,118 @@ def batches(rows: DataFrame, key: str, order: str, size: str, budget: int) -> Da
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("batch"), F.array().cast(f"array<struct<o:{kind},batch:bigint>>").alias("out"))
     listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("bigint").alias("n")))).alias("g"))
     return listed.select(key, F.inline(F.aggregate("g", start, step)["out"])).withColumnRenamed("o", order)
+
+
+def _utc(day: Column, minutes: Column, zone: Column) -> Column:
+    """The moment (UTC, without zone) at which it is ``minutes`` after midnight on a local day, on a day of any length."""
+    local = day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)
+    return F.convert_timezone(zone, F.lit("UTC"), local)
+
+
+def budget_minutes(day: Column) -> Column:
+    """What a configuration allows for a day: nothing on days of rest, after the deadline and, unless it is enabled, on the day of
+    the exam; else what the date, the weekday or the rule says; a share of it on the day before the deadline."""
+    c = F.col
+    own = c("date_minutes")[day]
+    usual = F.coalesce(c("weekday_minutes")[F.weekday(day)], c("daily_minutes"), F.lit(0))
+    off = F.array_contains("rest_dates", day) | (day > c("deadline")) | ((day == c("deadline")) & ~c("exam_day_enabled"))
+    last = day == F.date_sub("deadline", 1)
+    return F.when(F.coalesce(off, F.lit(False)), 0).otherwise(F.coalesce(own, F.when(F.coalesce(last, F.lit(False)), F.floor(usual * c("final_day_ratio"))).otherwise(usual))).cast("bigint")
+
+
+def free_minutes(days: DataFrame) -> DataFrame:
+    """``days`` with free (minutes without sleep and what is busy) and capacity (the budget, where that is less).
+
+    A row is a configuration and a study day (``on_date``): zone, boundary, sleep (struct from, to), busy (array of structs
+    weekday, on_date, from, to; null for any), deadline, exam_time (nulls: none), exam_reserve, exam_day_enabled, daily_minutes,
+    weekday_minutes, date_minutes, rest_dates, final_day_ratio, used_seconds, now (UTC, null: all of the day). Times are minutes
+    after midnight in the zone; what ends before it begins ends on the next day. A study day is as long as the clock makes it.
+    It ends where the reserve before an exam begins. Windows of the days before and after reach into it; what overlaps counts
+    once. All is in the row: nothing is shuffled.
+    """
+    c, day = F.col, F.col("on_date")
+    left = F.greatest(_utc(day, c("boundary"), c("zone")), c("now"))
+    midnight = _utc(c("deadline"), F.lit(0), c("zone"))
+    reserve = _utc(c("deadline"), c("exam_time"), c("zone")) - F.make_dt_interval(F.lit(0), F.lit(0), c("exam_reserve"))
+    no_day = c("exam_time").isNull() | ~c("exam_day_enabled")
+    right = F.least(_utc(F.date_add(day, 1), c("boundary"), c("zone")), reserve, F.when(no_day, midnight))
+    rows = days.withColumn("_left", left).withColumn("_right", right)
+
+    def on(offset: int) -> Column:
+        civil = F.date_add(day, offset)
+        fits = lambda w: F.when(w["on_date"].isNotNull(), w["on_date"] == civil).otherwise(w["weekday"].isNull() | (w["weekday"] == F.weekday(civil)))
+        times = lambda w: F.struct(w["from"].alias("from"), w["to"].alias("to"))
+        every = F.concat(F.array(times(c("sleep"))), F.transform(F.filter("busy", fits), times))
+        to = lambda w: F.when(w["to"] <= w["from"], w["to"] + 1440).otherwise(w["to"])
+        end = lambda w: _utc(F.date_add(civil, F.floor(to(w) / 1440).cast("int")), to(w) % 1440, c("zone"))
+        return F.transform(every, lambda w: F.struct(F.greatest(c("_left"), _utc(civil, w["from"], c("zone"))).alias("a"), F.least(c("_right"), end(w)).alias("z")))
+
+    blocked = F.array_sort(F.filter(F.concat(*(on(i) for i in (-1, 0, 1))), lambda w: w["z"] > w["a"]))
+    length = lambda a, z: F.timestamp_diff("SECOND", a, z)
+    start = F.struct(c("_left").alias("to"), F.lit(0).cast("bigint").alias("sum"))
+    step = lambda s, w: F.struct(F.greatest(s["to"], w["z"]).alias("to"), (s["sum"] + F.greatest(F.lit(0), length(F.greatest(s["to"], w["a"]), w["z"]))).alias("sum"))
+    taken = F.aggregate(blocked, start, step)["sum"]
+    free = F.when(c("_right") > c("_left"), F.greatest(F.lit(0), length(c("_left"), c("_right")) - taken)).otherwise(0)
+    rest = F.greatest(F.lit(0), budget_minutes(day) * 60 - F.coalesce("used_seconds", F.lit(0)))
+    rows = rows.withColumn("_free", free)
+    return rows.withColumn("free", F.floor(c("_free") / 60).cast("bigint")).withColumn("capacity", F.floor(F.least("_free", rest) / 60).cast("bigint")).drop("_left", "_right", "_free")
+
+
+def runs_within(rows: DataFrame, key: str, order: str, block: str, size: str, most: int) -> DataFrame:
+    """``key``, ``order``, run, part: neighbouring rows of the same block are a run; a run is cut where the next row would make a
+    part exceed ``most`` (a row may exceed it alone)."""
+    w = Window.partitionBy(key).orderBy(order)
+    fresh = F.when(F.col(block).eqNullSafe(F.lag(block).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
+    runs = rows.withColumn("_fresh", fresh).withColumn("run", F.sum("_fresh").over(w))
+    parts = batches(runs.withColumn("_k", F.struct(key, "run")), "_k", order, size, most)
+    return parts.select(F.col(f"_k.{key}").alias(key), order, F.col("_k.run").alias("run"), F.col("batch").alias("part"))
+
+
+#: Tokens for a word or mark, and where a text may be cut.
+TOKENS_A_PIECE = 1.35
+_PIECES, _ENDS = re.compile(r"\w+|[^\w\s]"), re.compile(r"\n\s*\n|(?<=[.!?])\s+")
+
+
+def estimated_tokens(text: str) -> int:
+    return max(1, math.ceil(len(_PIECES.findall(text)) * TOKENS_A_PIECE))
+
+
+def pieces_of(text: str, budget: int) -> list[tuple[int, int, bool]]:
+    """(start, end, forced) of a text's pieces of at most ``budget`` tokens: as many whole sentences as fit. A sentence that is
+    too large is cut into equal widths, as many as its tokens ask for (forced)."""
+    if estimated_tokens(text) <= budget:
+        return [(0, len(text), False)]
+    stops = [0, *(m.end() for m in _ENDS.finditer(text)), len(text)]
+    out: list[tuple[int, int, bool]] = []
+    open_ = False  # whether the last piece takes more sentences
+    for start, end in ((a, b) for a, b in zip(stops, stops[1:], strict=False) if a < b):
+        size = estimated_tokens(text[start:end])
+        if size > budget:
+            width = math.ceil((end - start) / math.ceil(size / budget))
+            out += [(a, min(end, a + width), True) for a in range(start, end, width)]
+            open_ = False
+        elif open_ and estimated_tokens(text[out[-1][0] : end]) <= budget:
+            out[-1] = (out[-1][0], end, False)
+        else:
+            out.append((start, end, False))
+            open_ = True
+    return out
+
+
+def packets(units: DataFrame, key: str, order: str, text: str, budget: int) -> DataFrame:
+    """``key``, ``order``, packet, start, end, tokens, forced: the pieces of units in order, in packets of at most ``budget``
+    tokens; two pieces of the same unit are never in one packet. Null texts are empty ones, of one token."""
+
+    @F.pandas_udf("array<struct<start:int,end:int,tokens:int,forced:boolean>>")
+    def cut(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [{"start": a, "end": b, "tokens": estimated_tokens((t or "")[a:b]), "forced": f} for a, b, f in pieces_of(t or "", budget)])
+
+    kind = dict(units.dtypes)[order]
+    rows = units.select(key, F.col(order).alias("o"), F.posexplode(cut(F.col(text))).alias("i", "p"))
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "i", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.tokens").alias("tokens"), F.col("p.forced").alias("forced")))).alias("g"))
+    # A packet's last piece says all that the next one needs to know.
+    begin = F.struct(F.lit(0).alias("used"), F.lit(0).alias("packet"), F.lit(None).cast(kind).alias("last"), F.array().cast("array<int>").alias("out"))
+    full = lambda s, x: (s["used"] > 0) & ((s["used"] + x["tokens"] > budget) | F.coalesce(s["last"] == x["o"], F.lit(False)))
+    step = lambda s, x: F.struct(F.when(full(s, x), x["tokens"]).otherwise(s["used"] + x["tokens"]).alias("used"), (s["packet"] + full(s, x).cast("int")).alias("packet"), x["o"].alias("last"), F.concat(s["out"], F.array(s["packet"] + full(s, x).cast("int"))).alias("out"))
+    numbered = listed.withColumn("_n", F.aggregate("g", begin, step)["out"])
+    return numbered.select(key, F.inline(F.arrays_zip("g", F.col("_n").alias("packet")))).select(key, F.col("g.o").alias(order), "packet", "g.start", "g.end", "g.tokens", "g.forced")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions import vectorised as V
 from ..operators import evidence as E
+from ..operators import planning as P
 from ..operators import ranges as G
 from ..operators import series as N
 from ..operators import trees as R
@@ -158,3 +160,54 @@ def child_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     within = kids.join(r.select("key", "ord", F.col("page_from").alias("_a"), F.col("page_to").alias("_z")), "key").where("page BETWEEN _a AND _z")
     parts = within.select("key", "ord", "part", "title", (F.col("page") + F.when(F.col("part") % 7 == 0, 1).otherwise(0)).alias("page_from"))
     return G.split_by_parts(r, parts, fr).withColumn("part", F.coalesce("part", F.lit(-1)))
+
+
+_DAYS = ["2024-03-09", "2024-03-10", "2024-03-11", "2024-03-30", "2024-03-31", "2024-04-01", "2024-11-02", "2024-11-03", "2024-11-04"]
+_CONFIGS = f"""cf AS (SELECT c_custkey AS k, ['Europe/Berlin', 'America/New_York', 'Asia/Kolkata'][c_custkey % 3 + 1] AS zone, (c_custkey % 5) * 60 AS boundary, 1380 + c_custkey % 40 - (c_custkey % 2) * 1300 AS sf, 400 + c_custkey % 100 AS st,
+    CASE WHEN c_custkey % 4 > 0 THEN DATE '2024-03-31' + CAST(c_custkey % 3 AS INT) END AS deadline, CASE WHEN c_custkey % 8 > 1 THEN 60 + c_custkey % 900 END AS exam_time, 30 + c_custkey % 200 AS reserve, c_custkey % 6 > 2 AS exam_day, 120 + c_custkey % 600 AS daily FROM customer),
+  wk AS (SELECT k, unnest([{{'wd': k % 7, 'od': CAST(NULL AS DATE), 'f': 600, 't': 600 + k % 300}}, {{'wd': CAST(NULL AS BIGINT), 'od': CAST(NULL AS DATE), 'f': 700 + k % 60, 't': 800}}, {{'wd': CAST(NULL AS BIGINT), 'od': DATE '2024-03-30', 'f': 1300, 't': 100 + k % 90}}]) AS w FROM cf),
+  dy AS (SELECT CAST(unnest({_DAYS!r}) AS DATE) AS d), cd AS (SELECT * FROM cf, dy)"""
+_AT = "((({0} + to_minutes(CAST({1} AS INT))) AT TIME ZONE zone) AT TIME ZONE 'UTC')"
+
+
+@query(f"""WITH {_CONFIGS}, b AS (SELECT *, {_AT.format('CAST(d AS TIMESTAMP)', 'boundary')} AS l, least({_AT.format('CAST(d + 1 AS TIMESTAMP)', 'boundary')}, coalesce({_AT.format('CAST(deadline AS TIMESTAMP)', 'exam_time')} - to_minutes(CAST(reserve AS INT)), TIMESTAMP '9999-01-01'),
+    CASE WHEN deadline IS NOT NULL AND (exam_time IS NULL OR NOT exam_day) THEN {_AT.format('CAST(deadline AS TIMESTAMP)', '0')} ELSE TIMESTAMP '9999-01-01' END) AS r FROM cd),
+  ws AS (SELECT k, CAST(NULL AS BIGINT) AS wd, CAST(NULL AS DATE) AS od, sf AS f, st AS t FROM cf UNION ALL SELECT k, w.wd, w.od, w.f, w.t FROM wk),
+  cv AS (SELECT b.k, b.d, zone, l, r, f, t, CAST(b.d + o AS DATE) AS civil FROM b JOIN ws USING (k), (SELECT unnest([-1, 0, 1]) AS o) WHERE CASE WHEN od IS NOT NULL THEN od = b.d + o ELSE wd IS NULL OR wd = isodow(b.d + o) - 1 END),
+  sp AS (SELECT k, d, greatest(l, {_AT.format('CAST(civil AS TIMESTAMP)', 'f')}) AS a, least(r, {_AT.format('CAST(civil + CASE WHEN t <= f THEN 1 ELSE 0 END AS TIMESTAMP)', 't')}) AS z FROM cv),
+  un AS (SELECT k, d, a, z, max(z) OVER (PARTITION BY k, d ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sp WHERE z > a),
+  tk AS (SELECT k, d, sum(greatest(0, epoch(z) - epoch(greatest(a, coalesce(before, a))))) AS taken FROM un GROUP BY k, d),
+  fr AS (SELECT b.*, CASE WHEN r > l THEN greatest(0, epoch(r) - epoch(l) - coalesce(taken, 0)) ELSE 0 END AS free, CASE WHEN d = DATE '2024-03-11' AND k % 3 = 0 OR coalesce(d > deadline, false) OR coalesce(d = deadline AND NOT exam_day, false) THEN 0 WHEN d = DATE '2024-04-01' AND k % 5 = 0 THEN 45
+    ELSE CASE WHEN coalesce(d = deadline - 1, false) THEN CAST(floor(CASE WHEN isodow(d) = 7 THEN 90 ELSE daily END * 0.5) AS BIGINT) ELSE CASE WHEN isodow(d) = 7 THEN 90 ELSE daily END END END AS budget FROM b LEFT JOIN tk USING (k, d))
+  SELECT k, CAST(d AS VARCHAR) AS on_date, CAST(floor(free / 60) AS BIGINT) AS free, CAST(floor(least(free, greatest(0, budget * 60 - (k % 4) * 900)) / 60) AS BIGINT) AS capacity FROM fr""")
+def free_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is free of study days, and what of it is planned for, on days around changes of the clock in three zones."""
+    k = F.col("c_custkey")
+    none, no_day = F.lit(None).cast("int"), F.lit(None).cast("date")
+    window = lambda weekday, on_date, a, z: F.struct(weekday.alias("weekday"), on_date.alias("on_date"), a.cast("int").alias("from"), z.cast("int").alias("to"))
+    zone = F.element_at(F.array(*map(F.lit, ("Europe/Berlin", "America/New_York", "Asia/Kolkata"))), (k % 3 + 1).cast("int"))
+    configs = T.read(spark, sf_dir, "customer").select(
+        k.alias("k"), zone.alias("zone"), (k % 5 * 60).cast("int").alias("boundary"), F.struct((1380 + k % 40 - k % 2 * 1300).cast("int").alias("from"), (400 + k % 100).cast("int").alias("to")).alias("sleep"),
+        F.array(window((k % 7).cast("int"), no_day, F.lit(600), 600 + k % 300), window(none, no_day, 700 + k % 60, F.lit(800)), window(none, F.to_date(F.lit("2024-03-30")), F.lit(1300), 100 + k % 90)).alias("busy"),
+        F.when(k % 4 > 0, F.date_add(F.to_date(F.lit("2024-03-31")), (k % 3).cast("int"))).alias("deadline"), F.when(k % 8 > 1, (60 + k % 900).cast("int")).alias("exam_time"), (30 + k % 200).cast("int").alias("exam_reserve"), (k % 6 > 2).alias("exam_day_enabled"),
+        (120 + k % 600).cast("int").alias("daily_minutes"), F.create_map(F.lit(6), F.lit(90)).alias("weekday_minutes"), F.when(k % 5 == 0, F.create_map(F.to_date(F.lit("2024-04-01")), F.lit(45))).otherwise(F.create_map().cast("map<date,int>")).alias("date_minutes"),
+        F.when(k % 3 == 0, F.array(F.to_date(F.lit("2024-03-11")))).otherwise(F.array().cast("array<date>")).alias("rest_dates"), F.lit(0.5).alias("final_day_ratio"), (k % 4 * 900).alias("used_seconds"), F.lit(None).cast("timestamp_ntz").alias("now"))
+    days = configs.withColumn("on_date", F.explode(F.array(*(F.to_date(F.lit(d)) for d in _DAYS))))
+    return P.free_minutes(days).select("k", F.col("on_date").cast("string").alias("on_date"), "free", "capacity")
+
+
+@query(f"""WITH RECURSIVE {T.LINES}, s AS (SELECT doc_id, pos, len(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')) AS n, pos // 6 AS block, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM lines WHERE length(line) % 5 > 0),
+  f AS (SELECT doc_id, pos, rn, block, CAST(n AS BIGINT) AS used, CAST(1 AS BIGINT) AS run, CAST(0 AS BIGINT) AS part FROM s WHERE rn = 1
+    UNION ALL SELECT s.doc_id, s.pos, s.rn, s.block, CASE WHEN s.block <> f.block OR (used > 0 AND used + n > 120) THEN n ELSE used + n END, CASE WHEN s.block <> f.block THEN run + 1 ELSE run END, CASE WHEN s.block <> f.block THEN 0 WHEN used > 0 AND used + n > 120 THEN part + 1 ELSE part END FROM f JOIN s ON s.doc_id = f.doc_id AND s.rn = f.rn + 1)
+  SELECT doc_id, pos, run, part FROM f""")
+def candidate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of neighbouring lines of a block, in parts of at most 120 tokens; every fifth line belongs to somebody else."""
+    rows = T.lines(spark, sf_dir).where("length(line) % 5 > 0").select("doc_id", "pos", F.floor(F.col("pos") / 6).alias("block"), X.token_count(F.col("line")).alias("n"))
+    return P.runs_within(rows, "doc_id", "pos", "block", "n", 120)
+
+
+@query()
+def packet_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source as units of packets of at most 400 tokens, cut at sentences or, where these are too long, anywhere."""
+    docs = T.spread(T.read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", (F.floor(F.col("doc_id") / 100)).cast("string")).alias("section"), "doc_id", "text"))
+    return P.packets(docs, "section", "doc_id", "text", 400)
