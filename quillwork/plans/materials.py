@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectorised as V
 from ..operators import evidence as E
+from ..operators import exams as Q
 from ..operators import planning as P
 from ..operators import ranges as G
 from ..operators import series as N
@@ -211,3 +212,31 @@ def packet_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source as units of packets of at most 400 tokens, cut at sentences or, where these are too long, anywhere."""
     docs = T.spread(T.read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", (F.floor(F.col("doc_id") / 100)).cast("string")).alias("section"), "doc_id", "text"))
     return P.packets(docs, "section", "doc_id", "text", 400)
+
+
+def _exam_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of exam lists (kind 0: numbered with parts, 1: marked, 2: tickets) for every ten customers' orders: key, kind, text."""
+    items = T.read(spark, sf_dir, "lineitem").withColumn("i", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")))
+    orders = T.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.floor(F.col("o_custkey") / 10).alias("key"), "o_orderpriority")
+    n = F.dense_rank().over(Window.partitionBy("key").orderBy("l_orderkey")).cast("string")
+    rows = items.join(orders, "l_orderkey").withColumn("n", n)
+    p, first, kind, i = F.col("l_partkey"), F.col("i") == 1, F.col("key") % 3, F.col("i").cast("string")
+    about = F.concat(F.when(p % 9 == 0, F.lit("Задача: ")).otherwise(""), F.lit("Topic "), (p % 400).cast("string"), F.lit(" of "), F.lower("o_orderpriority"))
+    listed = F.when(first, F.concat("n", F.lit(". "), about)).when(p % 4 == 0, F.concat("n", F.lit("."), (F.col("i") - 1).cast("string"), F.lit(" part "), p.cast("string"))).when(p % 4 == 1, F.lit("and what goes on.")).when(p % 4 == 2, F.lit("17")).otherwise(F.concat("n", F.lit("."), i, F.lit(") late part")))
+    marked = F.when(first, F.when(p % 5 == 0, F.lit("Задачи:")).otherwise(F.concat(F.lit("— "), about))).when(p % 3 == 0, F.concat(F.lit("* "), about)).otherwise(F.lit("goes on"))
+    ticket = F.when(first, F.concat(F.lit("Билет № "), "n", F.when(p % 2 == 0, F.lit(". Algebra")).otherwise(""))).when((F.col("i") == 2) & (F.col("key") % 2 == 0), F.concat(F.lit("1) "), about)).otherwise(F.concat(i, F.lit(". "), about))
+    line = F.when(kind == 0, listed).when(kind == 1, marked).otherwise(ticket)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "i", line.alias("line")))), lambda x: x["line"]), "\n")
+    return rows.groupBy("key").agg(text.alias("text")).select("key", (F.col("key") % 3).alias("kind"), "text")
+
+
+@query()
+def exam_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exam lists and programs of tickets: how many questions, tasks and parts each text has, what is wrong with it, and its tree
+    as a digest."""
+    texts = _exam_texts(spark, sf_dir)
+    expected = texts.select("key", F.lit(None).cast("int").alias("expected"))
+    found = [Q.exam_list(texts.where("kind < 2"), expected), Q.tickets(texts.where("kind = 2"))]
+    nodes, reports = found[0][0].unionByName(found[1][0]), found[0][1].unionByName(found[1][1])
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "parent", "type", "kind", "title", "position"))), lambda x: F.concat_ws("|", x["node"], F.coalesce(x["parent"], F.lit(-1)), x["type"], x["kind"], x["title"], x["position"])), "\n")
+    return reports.join(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), F.sha2(told, 256).alias("tree")), "key", "left")
