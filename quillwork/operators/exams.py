@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
 from . import series
 
 # What a part (3.1), a ticket, an item, a task and a header look like, and where a line has several items.
@@ -82,8 +83,8 @@ def exam_list(texts: DataFrame, expected: DataFrame, kind: str = "question") ->
     """
     rows = lines(texts)
     part = lambda i: F.regexp_extract("line", PART, i)
-    rows = rows.withColumn("parent", F.nullif(part(1), F.lit("")).cast("int")).withColumn("child", F.nullif(part(2), F.lit("")).cast("int"))
-    chosen, items = series.selected(rows.where("parent IS NULL").select("key", "pos", "line"), expected)
+    rows = shared.cut(rows.withColumn("parent", F.nullif(part(1), F.lit("")).cast("int")).withColumn("child", F.nullif(part(2), F.lit("")).cast("int")))
+    chosen, items = map(shared.cut, series.selected(rows.where("parent IS NULL").select("key", "pos", "line"), expected))
     order = Window.partitionBy("key").orderBy("pos")
     starts = items.select("key", "pos", "number")
     number = F.coalesce(F.nullif(F.regexp_extract("line", series.ITEM, 1), F.lit("")), F.nullif(F.regexp_extract("line", series.ITEM, 2), F.lit("")))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import structure
+
 # Fixed values, in shares of the page: the least white band between columns, and between rows as a share of the median
 # height of a box and at least; levels of cuts; degrees of tilt that are corrected.
 COLUMN_GAP, ROW_SHARE, ROW_GAP, LEVELS = 0.03, 0.6, 0.004, 12
@@ -278,3 +280,32 @@ def running_margins(elements: DataFrame, material: str = "material", page: str =
     rows = lines.join(count, "material").withColumn("lone", F.col("image").isNotNull())
     schema = f"material {kinds['material']}, kind string, element string, text string, pages array<{kinds['page']}>, places array<{kinds['place']}>"
     return rows.groupBy("material").applyInPandas(found, schema)
+
+
+# How near a page's upper or lower edge an image's centre is in a margin, the share of a page from which it fills
+# the page, pages with the same image that make a repetition.
+IMAGE_MARGIN, PAGE_SIZED, REPEATS = 0.12, 0.7, 2
+
+
+def image_signals(images: DataFrame, series: DataFrame | None = None) -> DataFrame:
+    """``images`` (material, page, id, digest, x0, y0, x1, y1, width, height in pixels, caption) with area, side, repeated, margin,
+    page_sized, small_area, header_footer and role (as ``structure.image_role`` says).
+
+    An image repeats where REPEATS pages of its material have its digest, or where it belongs to a series of its margins
+    (``series``, of ``running_margins``). Pages are counted by digest before they meet images, so an ornament on every page is
+    one row a material. Without a box, size and place say nothing; without a digest, an image is missing and unknown.
+    """
+    digests = images.where("digest IS NOT NULL").select("material", "page", "digest").distinct().groupBy("material", "digest").agg(F.count(F.lit(1)).alias("_pages"))
+    area, middle = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), (F.col("y0") + F.col("y1")) / 2
+    rows = images.join(digests, ["material", "digest"], "left").withColumn("area", area).withColumn("side", F.least("width", "height"))
+    if series is not None:
+        held = series.where("element = 'image'").select("material", F.explode(F.arrays_zip("pages", "places")).alias("_s")).select("material", F.col("_s.pages").alias("page"), F.col("_s.places").alias("id"), F.lit(True).alias("header_footer")).distinct()
+        rows = rows.join(held, ["material", "page", "id"], "left")
+    else:
+        rows = rows.withColumn("header_footer", F.lit(None).cast("boolean"))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    rows = rows.withColumn("header_footer", no(F.col("header_footer"))).withColumn("repeated", no(F.col("_pages") >= REPEATS) | F.col("header_footer"))
+    rows = rows.withColumn("margin", no((middle <= IMAGE_MARGIN) | (middle >= 1 - IMAGE_MARGIN))).withColumn("page_sized", no(F.col("area") >= PAGE_SIZED)).withColumn("small_area", no(F.col("area") < structure.SMALL_AREA))
+    role = structure.image_role(F.col("side"), F.col("area"), F.col("repeated"), F.col("margin") | F.col("header_footer"), no(F.col("caption") != ""), F.col("page_sized"))
+    whole = F.when(F.col("digest").isNull() & (role == "content"), "unknown").otherwise(role)
+    return rows.select(*images.columns, "area", "side", "repeated", "margin", "page_sized", "small_area", "header_footer", whole.alias("role"))

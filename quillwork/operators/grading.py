@@ -24,6 +24,27 @@ def ordering(answer: Column, key: Column) -> Column:
     return right / F.size(key)
 
 
+def matching(answer: Column, key: Column) -> Column:
+    """Share of pairs that are right; an answer without one (null) has none there."""
+    return ordering(answer, key)
+
+
+def blank(given: Column, accepted: Column) -> Column:
+    """Whether a blank has an accepted text (case and white space aside), or the number that an accepted text is, if it is one
+    as a whole."""
+    form = lambda x: X.fold(X.squeezed(x))
+    whole = lambda x: F.when(F.regexp_replace(x, r"[\s\u00A0]", "").rlike(r"^[-+−–]?\d+(?:[.,]\d+)?$"), X.number(F.regexp_replace(x, r"[\s\u00A0]", "")))
+    g = X.number(given)
+    same = F.exists(accepted, lambda a: F.coalesce(form(a) == form(given), F.lit(False)) | F.coalesce(F.abs(whole(a) - g) <= 1e-9 * F.greatest(F.abs(whole(a)), F.abs(g)), F.lit(False)))
+    return F.coalesce(same, F.lit(False))
+
+
+def blanks(given: Column, accepted: Column) -> Column:
+    """Share of blanks that are right; both arrays are of the same size."""
+    right = F.zip_with(given, accepted, lambda g, a: blank(F.coalesce(g, F.lit("")), a).cast("int"))
+    return F.aggregate(right, F.lit(0), lambda s, x: s + x) / F.size(accepted)
+
+
 def numeric(answer: Column, key: Column, absolute: float, relative: float) -> Column:
     a = X.number(answer)
     return F.coalesce(F.abs(a - key) <= F.greatest(F.lit(absolute), F.abs(key) * relative), F.lit(False)).cast("double")

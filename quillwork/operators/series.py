@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 # Fixed value: what begins a numbered item ("3." or "3)" but not "3.1", or "3 ").
 ITEM = r"^\s*(?:(\d{1,4})[.)](?!\d)\s*|(\d{1,4})\s+)(\S.*?)\s*$"
 
@@ -54,7 +56,7 @@ def selected(lines: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFram
     the chain left out), gap (lines between parts), before and after (lines outside), first and last (numbers), source_end (the
     place of the last line). Keys without numbered lines have no row.
     """
-    every = items(lines)
+    every = shared.cut(items(lines))
     runs = every.groupBy("key", "series").agg(F.min("number").alias("first"), F.max("number").alias("last"), F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"), F.max("until").alias("until"))
     item = F.struct(F.col("series").alias("s"), "first", "last", "n", "pos", "until")
     of = runs.groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("all")).join(expected, "key", "left").select("key", "expected", _chosen(F.col("all"), F.col("expected")).alias("x"))

@@ -102,14 +102,15 @@ def same_questions(rows: DataFrame, key: str, order: str, text: str, least: floa
     return first.select(key, F.col("_o").alias(order), "m.of", "m.how")
 
 
-#: Sides in pixels, and share of the page, under which an image is tiny or small.
-TINY, SMALL, SMALL_AREA = 24, 96, 0.04
+# Sides in pixels, and share of the page, under which an image is tiny or small.
+TINY, SMALL, SMALL_AREA = 16, 64, 0.02
 
 
 def image_role(side: Column, area: Column, repeated: Column, margin: Column, caption: Column, page_sized: Column) -> Column:
     """content, decorative, service or unknown, by an image's shorter side, its share of the page, whether it repeats, stands
     in a margin, has a caption, or fills the page. A caption makes it content whatever else is true."""
-    small = (side < SMALL) | (area < SMALL_AREA)
+    less = lambda x, y: F.coalesce(x < y, F.lit(False))
+    small = less(side, SMALL) | less(area, SMALL_AREA)
     return (
-        F.when(caption, "content").when(side < TINY, "decorative").when(repeated & margin & small, "service").when(repeated, "unknown")
+        F.when(caption, "content").when(less(side, TINY), "decorative").when(repeated & margin & small, "service").when(repeated, "unknown")
         .when(page_sized, "unknown").otherwise("content"))

@@ -206,3 +206,22 @@ def task_checkers(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.array(F.col("conv_id") % 3, F.col("turn") % 4)
     k = F.array(F.col("turn") % 3, F.col("conv_id") % 4, F.lit(1).cast("bigint"))
     return T.read(spark, sf_dir, "conversations").select("conv_id", "turn", G.single(F.col("conv_id") % 3, F.col("turn") % 3).alias("single"), F.round(G.multiple(a, k), 6).alias("multiple"), F.round(G.ordering(a, k), 6).alias("ordering"))
+
+
+@query("""WITH i AS (SELECT l_orderkey AS id, l_linenumber AS n, l_partkey AS p, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+  m AS (SELECT *, p % 4 AS given, CASE WHEN p % 6 = 0 THEN NULL ELSE q % 3 END AS pair, p % 3 AS want,
+    CASE p % 5 WHEN 0 THEN ' Word  ' || q % 4 WHEN 1 THEN q || ',0' WHEN 2 THEN q || ' kg' WHEN 3 THEN 'about ' || q ELSE q || '' END AS blank FROM i)
+  SELECT id, round(sum(CASE WHEN pair = want THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS matching,
+    round(sum(CASE p % 5 WHEN 0 THEN CASE WHEN q % 4 = q % 5 THEN 1 ELSE 0 END WHEN 3 THEN 0 ELSE CASE WHEN p % 2 = 0 THEN 1 ELSE 0 END END) / CAST(count(*) AS DOUBLE), 6) AS blanks,
+    round(sum(CASE WHEN abs(q - (q + p % 7 * 0.1)) <= greatest(0.25, (q + p % 7 * 0.1) * 0.01) THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS numeric FROM m GROUP BY id""")
+def task_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in the forms of matching, blanks and numbers; a task is an order, its parts are the order's items."""
+    p, q = F.col("l_partkey"), F.col("l_quantity").cast("bigint")
+    text = q.cast("string")
+    given = F.when(p % 5 == 0, F.concat(F.lit(" Word  "), (q % 4).cast("string"))).when(p % 5 == 1, F.concat(text, F.lit(",0"))).when(p % 5 == 2, F.concat(text, F.lit(" kg"))).when(p % 5 == 3, F.concat(F.lit("about "), text)).otherwise(text)
+    accepted = F.array(F.concat(F.lit("wORD "), (q % 5).cast("string")), F.when(p % 2 == 0, text).otherwise(F.concat(text, F.lit("T"))))
+    pair = F.struct("l_linenumber", "l_partkey", F.when(p % 6 != 0, q % 3).alias("pair"), (p % 3).alias("want"), given.alias("given"), accepted.alias("accepted"), text.alias("value"), (q + p % 7 * F.lit(0.1)).alias("key"))
+    rows = T.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(pair)).alias("g"))
+    of = lambda c: F.transform("g", lambda x: x[c])
+    numbers = F.aggregate(F.transform("g", lambda x: G.numeric(x["value"], x["key"], 0.25, 0.01)), F.lit(0.0), lambda s, x: s + x) / F.size("g")
+    return rows.select("id", F.round(G.matching(of("pair"), of("want")), 6).alias("matching"), F.round(G.blanks(of("given"), of("accepted")), 6).alias("blanks"), F.round(numbers, 6).alias("numeric"))

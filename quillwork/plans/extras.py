@@ -140,12 +140,15 @@ def duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def near_duplicate_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of a conversation that ask the same as an earlier one of it, punctuation and case aside."""
-    c = T.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return S.same_questions(c.groupBy("conv_id", "turn").agg(F.min("text").alias("text")), "conv_id", "turn", "text")
+    """Messages of a conversation, each followed by what somebody asks again (in capitals, or with a word more), that ask the same
+    as an earlier one of it."""
+    c = T.read(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).where(F.length("text") > 20)
+    again = F.when(F.col("turn") % 3 == 0, F.upper("text")).when(F.col("turn") % 3 == 1, F.concat("text", F.lit(" really"))).otherwise(F.reverse("text"))
+    rows = c.select("conv_id", (2 * F.col("turn")).alias("turn"), "text").unionByName(c.select("conv_id", (2 * F.col("turn") + 1).alias("turn"), again.alias("text")))
+    return S.same_questions(rows, "conv_id", "turn", "text")
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN p_size % 6 = 0 THEN 'content' WHEN least(p_size * 8, p_retailprice) < 24 THEN 'decorative' WHEN p_partkey % 4 = 0 AND p_partkey % 3 = 0 THEN CASE WHEN least(p_size * 8, p_retailprice) < 96 OR p_size < 4 THEN 'service' ELSE 'unknown' END
+@query("""SELECT p_partkey AS id, CASE WHEN p_size % 6 = 0 THEN 'content' WHEN least(p_size * 8, p_retailprice) < 16 THEN 'decorative' WHEN p_partkey % 4 = 0 AND p_partkey % 3 = 0 THEN CASE WHEN least(p_size * 8, p_retailprice) < 64 OR p_size < 2 THEN 'service' ELSE 'unknown' END
   WHEN p_partkey % 4 = 0 THEN 'unknown' WHEN p_partkey % 7 = 0 THEN 'unknown' ELSE 'content' END AS role FROM part""")
 def image_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of images by size, repetition, place and caption; images are made of parts."""

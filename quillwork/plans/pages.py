@@ -36,3 +36,19 @@ def running_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the margins of each material's pages repeat: headers and footers by place and fuzzy text or image, and page numbers."""
     r = G.running_margins(T.margins(spark, sf_dir))
     return r.select("material", "kind", "element", "text", F.size("pages").cast("bigint").alias("n_pages"), F.array_min("pages").alias("first_page"), F.array_max("pages").alias("last_page"), F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS material, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, o_orderkey AS k FROM orders),
+  i AS (SELECT material, page, k, CASE WHEN k % 11 > 0 THEN CASE WHEN k % 3 = 0 THEN material * 10 ELSE k END END AS digest, k % 10 * 0.09::DOUBLE AS y0, CASE k % 4 WHEN 0 THEN 0.1 WHEN 1 THEN 0.3 WHEN 2 THEN 0.9 ELSE 0.5 END::DOUBLE AS w, CASE k % 4 WHEN 0 THEN 0.05 WHEN 1 THEN 0.2 WHEN 2 THEN 0.8 ELSE 0.1 END::DOUBLE AS h, k % 90 + 1 AS px, k % 8 = 0 AS caption FROM o),
+  s AS (SELECT *, w * h AS area, count(*) OVER (PARTITION BY material, digest) >= 2 AND digest IS NOT NULL AS repeated, (y0 + (y0 + h)) / 2 <= 0.12 OR (y0 + (y0 + h)) / 2 >= 0.88 AS margin FROM i),
+  r AS (SELECT *, CASE WHEN caption THEN 'content' WHEN px < 16 THEN 'decorative' WHEN repeated AND margin AND (px < 64 OR area < 0.02) THEN 'service' WHEN repeated OR area >= 0.7 THEN 'unknown' ELSE 'content' END AS role FROM s)
+  SELECT material, page, repeated, margin, area >= 0.7 AS page_sized, CASE WHEN digest IS NULL AND role = 'content' THEN 'unknown' ELSE role END AS role FROM r""")
+def image_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of materials' pages with what is computed about them (repetition, margin, size) and their roles."""
+    k = F.col("k")
+    o = T.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("material"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page"), F.col("o_orderkey").alias("k"))
+    of = lambda *v: F.element_at(F.array(*map(F.lit, v)), (k % 4 + 1).cast("int"))
+    y0 = k % 10 * F.lit(0.09)
+    images = o.select("material", "page", F.lit(0).alias("id"), F.when(k % 11 > 0, F.when(k % 3 == 0, F.col("material") * 10).otherwise(k)).alias("digest"), F.lit(0.0).alias("x0"), y0.alias("y0"), of(0.1, 0.3, 0.9, 0.5).alias("x1"), (y0 + of(0.05, 0.2, 0.8, 0.1)).alias("y1"),
+                      (k % 90 + 1).alias("width"), F.lit(500).cast("bigint").alias("height"), F.when(k % 8 == 0, "Figure").alias("caption"))
+    return G.image_signals(images).select("material", "page", "repeated", "margin", "page_sized", "role")
