@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+import datetime as dt
 import math
 import re
 
@@ -207,3 +209,48 @@ def packets(units: DataFrame, key: str, order: str, text: str, budget: int) -> D
     step = lambda s, x: F.struct(F.when(full(s, x), x["tokens"]).otherwise(s["used"] + x["tokens"]).alias("used"), (s["packet"] + full(s, x).cast("int")).alias("packet"), x["o"].alias("last"), F.concat(s["out"], F.array(s["packet"] + full(s, x).cast("int"))).alias("out"))
     numbered = listed.withColumn("_n", F.aggregate("g", begin, step)["out"])
     return numbered.select(key, F.inline(F.arrays_zip("g", F.col("_n").alias("packet")))).select(key, F.col("g.o").alias(order), "packet", "g.start", "g.end", "g.tokens", "g.forced")
+
+
+#: Fixed value: days that a plan of lessons may reach ahead.
+MAX_DAYS = 730
+
+
+def lesson_plan(lessons: DataFrame, plan: DataFrame, key: str, today: dt.date, daily: int, days_a_week: int, deadline: dt.date | None = None) -> DataFrame:
+    """``key``, id, on_date: the plan with what it lacks put on the days from ``today`` on, in order and whole: a day takes a lesson
+    if nothing is on it, or if both fit ``daily`` minutes. Weekends are what is beyond ``days_a_week``.
+
+    ``lessons`` has (key, id, ord, minutes, eligible, completed), ``plan`` (key, id, on_date, minutes), which stays. What comes
+    after the ``deadline``, or MAX_DAYS, isn't planned. The days fill one after the other, so a key's plan is one task's.
+    """
+    kinds = dict(lessons.dtypes)
+
+    def fill(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        have, load = set(right.id), collections.Counter()
+        for day, minutes in zip(right.on_date, right.minutes, strict=True):
+            load[day] += minutes
+        rows = left[left.eligible & ~left.completed & ~left.id.isin(have)].sort_values(["ord", "id"])
+        todo, out, offset = collections.deque(zip(rows.id, rows.minutes, strict=True)), list(zip(right.id, right.on_date, strict=True)), 0
+        while todo and offset < MAX_DAYS:
+            day = today + dt.timedelta(offset)
+            if deadline and day > deadline:
+                break
+            if day.weekday() < days_a_week:
+                while todo and (not load[day] or load[day] + todo[0][1] <= daily):
+                    lesson, minutes = todo.popleft()
+                    out.append((lesson, day))
+                    load[day] += minutes
+                    if load[day] >= daily:
+                        break
+            offset += 1
+        return pd.DataFrame([(k[0], *x) for x in out], columns=[key, "id", "on_date"])
+
+    return lessons.groupBy(key).cogroup(plan.groupBy(key)).applyInPandas(fill, f"{key} {kinds[key]}, id {kinds['id']}, on_date date")
+
+
+def finish_forecast(lessons: DataFrame, plan: DataFrame, key: str, today: dt.date, daily: int, days_a_week: int) -> DataFrame:
+    """``key``, remaining (eligible lessons that aren't completed) and finish (the last day of these; null without any), if the
+    plan goes on as it is, beyond any deadline. What the plan has for days before ``today`` and isn't done counts as to do."""
+    open_ = lessons.where("eligible AND NOT completed").select(key, "id")
+    ahead = lesson_plan(lessons, plan.where(F.col("on_date") >= F.lit(today)), key, today, daily, days_a_week)
+    last = ahead.join(open_, [key, "id"], "left_semi").groupBy(key).agg(F.max("on_date").alias("finish"))
+    return lessons.select(key).distinct().join(open_.groupBy(key).agg(F.count(F.lit(1)).alias("remaining")), key, "left").join(last, key, "left").select(key, F.coalesce("remaining", F.lit(0)).alias("remaining"), "finish")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -172,3 +174,19 @@ def plan_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 def next_fit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = T.read(spark, sf_dir, "part").select(F.col("p_brand").alias("project"), F.col("p_partkey").alias("id"), "p_size")
     return P.batches(items, "project", "id", "p_size", 100)
+
+
+@query("""WITH RECURSIVE l AS (SELECT p_brand AS k, p_partkey AS id, p_size AS m FROM part WHERE p_size % 7 > 0 AND p_size % 5 > 0),
+  pl AS (SELECT p_brand AS k, p_partkey AS id, DATE '2024-05-01' + CAST(p_partkey % 20 - 5 AS INT) AS d, p_size AS m FROM part WHERE p_partkey % 6 = 0 AND p_partkey % 20 >= 5), ld AS (SELECT k, d, sum(m) AS load FROM pl GROUP BY 1, 2),
+  td AS (SELECT l.*, row_number() OVER (PARTITION BY l.k ORDER BY l.id) AS rn FROM l WHERE NOT EXISTS (SELECT 1 FROM pl WHERE pl.k = l.k AND pl.id = l.id)),
+  s AS (SELECT k, CAST(1 AS BIGINT) AS rn, DATE '2024-05-01' AS d, CAST(coalesce((SELECT load FROM ld WHERE ld.k = b.k AND ld.d = DATE '2024-05-01'), 0) AS BIGINT) AS load, CAST(NULL AS BIGINT) AS id, CAST(NULL AS DATE) AS put FROM (SELECT DISTINCT k FROM td) b
+    UNION ALL SELECT k, CASE WHEN ok THEN rn + 1 ELSE rn END, CASE WHEN ok AND load + m < 60 THEN d ELSE d + 1 END, CASE WHEN ok AND load + m < 60 THEN load + m ELSE CAST(coalesce(after, 0) AS BIGINT) END, CASE WHEN ok THEN tid END, CASE WHEN ok THEN d END
+      FROM (SELECT s.k, s.rn, s.d, s.load, td.m, td.id AS tid, isodow(s.d) <= 5 AND (s.load = 0 OR s.load + td.m <= 60) AS ok, ld.load AS after FROM s JOIN td ON td.k = s.k AND td.rn = s.rn LEFT JOIN ld ON ld.k = s.k AND ld.d = s.d + 1)),
+  a AS (SELECT k, id, put AS d FROM s WHERE put IS NOT NULL UNION ALL SELECT k, id, d FROM pl WHERE EXISTS (SELECT 1 FROM l WHERE l.k = pl.k AND l.id = pl.id))
+  SELECT b.k AS project, (SELECT count(*) FROM l WHERE l.k = b.k) AS remaining, CAST((SELECT max(d) FROM a WHERE a.k = b.k) AS VARCHAR) AS finish FROM (SELECT DISTINCT p_brand AS k FROM part) b""")
+def finish_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each project's lessons will be done, with an hour a day and five days a week."""
+    p = T.read(spark, sf_dir, "part").withColumn("project", F.col("p_brand"))
+    lessons = p.select("project", F.col("p_partkey").alias("id"), F.col("p_partkey").alias("ord"), F.col("p_size").alias("minutes"), (F.col("p_size") % 7 > 0).alias("eligible"), (F.col("p_size") % 5 == 0).alias("completed"))
+    plan = p.where("p_partkey % 6 = 0").select("project", F.col("p_partkey").alias("id"), F.date_add(F.to_date(F.lit("2024-05-01")), (F.col("p_partkey") % 20 - 5).cast("int")).alias("on_date"), F.col("p_size").alias("minutes"))
+    return P.finish_forecast(lessons, plan, "project", dt.date(2024, 5, 1), 60, 5).withColumn("finish", F.col("finish").cast("string"))
