@@ -644,7 +644,7 @@ def test_redaction(spark):
     assert got == {1: "é [SECRET] end", 2: "nothing", 3: None}
 
 
-def test_catalog_has_ten():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in catalog.QUERIES) == list(range(1, 11))
+def test_catalog_has_all():
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in catalog.QUERIES) == list(range(1, 14))
     assert json.dumps(sorted(catalog.SQL))
     assert common.ROWS_PER_BATCH > 0
