@@ -38,13 +38,18 @@ def covered_exactly(source: DataFrame, result: DataFrame, key: str, place: str)
     return both.groupBy(key).agg(F.count_if(F.col("_r").isNull()).alias("lost"), F.count_if(F.col("_s").isNull()).alias("invented"), F.count_if(F.col("_r") > 1).alias("twice"))
 
 
-def anchored(anchors: DataFrame, rows: DataFrame, key: str, pos: str, line: str, prefix: int = 8) -> DataFrame:
-    """Where anchors (key, pos, line) are among rows: the first row of equal text, else the same place if its text begins
-    alike, else null."""
-    same = rows.groupBy(key, F.sha2(line, 256).alias("_h")).agg(F.min(pos).alias("_same"))
-    at = rows.select(F.col(key).alias("_k"), F.col(pos).alias("_at"), F.substring(line, 1, prefix).alias("_p"))
-    a = anchors.withColumn("_h", F.sha2(line, 256)).join(same, [key, "_h"], "left").withColumn("_q", F.substring(line, 1, prefix))
-    b = a.join(at, (F.col(key) == F.col("_k")) & (F.col(pos) == F.col("_at")) & (F.col("_q") == F.col("_p")), "left")
+# Fixed value: characters that the beginnings of two texts at the same place must share.
+BEGINNING = 40
+
+
+def anchored(anchors: DataFrame, rows: DataFrame, key: str, pos: str, line: str) -> DataFrame:
+    """Where anchors (key, pos, line) are among rows: the first row of equal text (white space and case aside), else the same
+    place if its text begins with the same BEGINNING characters, else null. Texts without a character have no beginning."""
+    form = F.lower(X.squeezed(F.col(line)))
+    same = rows.groupBy(key, F.sha2(form, 256).alias("_h")).agg(F.min(pos).alias("_same"))
+    at = rows.select(F.col(key).alias("_k"), F.col(pos).alias("_at"), F.substring(form, 1, BEGINNING).alias("_p"))
+    a = anchors.withColumn("_h", F.sha2(form, 256)).join(same, [key, "_h"], "left").withColumn("_q", F.substring(form, 1, BEGINNING))
+    b = a.join(at, (F.col(key) == F.col("_k")) & (F.col(pos) == F.col("_at")) & (F.col("_q") == F.col("_p")) & (F.col("_q") != ""), "left")
     how = F.when(F.col("_same").isNotNull(), "text").when(F.col("_at").isNotNull(), "place").otherwise("lost")
     return b.select(key, pos, F.coalesce("_same", "_at").alias("found"), how.alias("how"))
 

@@ -46,13 +46,16 @@ def full_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.covered_exactly(s, r, "doc_id", "pos")
 
 
-@query(f"""WITH {T.LINES}, a AS (SELECT doc_id, pos, CASE length(line) % 3 WHEN 0 THEN line WHEN 1 THEN left(line, 8) || '~' ELSE '~' || line END AS line FROM lines), s AS (SELECT doc_id, line, min(pos) AS sp FROM lines GROUP BY 1, 2)
-  SELECT a.doc_id, a.pos, coalesce(sp, l.pos, -1) AS found, CASE WHEN sp IS NOT NULL THEN 'text' WHEN l.pos IS NOT NULL THEN 'place' ELSE 'lost' END AS how
-  FROM a LEFT JOIN s ON s.doc_id = a.doc_id AND s.line = a.line LEFT JOIN lines l ON l.doc_id = a.doc_id AND l.pos = a.pos AND left(l.line, 8) = left(a.line, 8)""")
+_FORM = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+
+
+@query(f"""WITH {T.LINES}, n AS (SELECT *, {_FORM.format('line')} AS f FROM lines), a AS (SELECT doc_id, pos, {_FORM.format("CASE length(line) % 3 WHEN 0 THEN replace(line, ' ', '  ') WHEN 1 THEN left(line, 45) || '~' ELSE '~' || line END")} AS f FROM lines), s AS (SELECT doc_id, f, min(pos) AS sp FROM n GROUP BY 1, 2)
+  SELECT a.doc_id, a.pos, coalesce(sp, n.pos, -1) AS found, CASE WHEN sp IS NOT NULL THEN 'text' WHEN n.pos IS NOT NULL THEN 'place' ELSE 'lost' END AS how
+  FROM a LEFT JOIN s ON s.doc_id = a.doc_id AND s.f = a.f LEFT JOIN n ON n.doc_id = a.doc_id AND n.pos = a.pos AND left(n.f, 40) = left(a.f, 40)""")
 def anchor_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines as anchors, some changed at the end and some at the beginning; -1 where one is lost."""
+    """All lines as anchors, some with wider spaces, some changed after 45 characters and some at the beginning; -1 where one is lost."""
     rows, n = T.lines(spark, sf_dir), F.length("line")
-    line = F.when(n % 3 == 0, F.col("line")).when(n % 3 == 1, F.concat(F.substring("line", 1, 8), F.lit("~"))).otherwise(F.concat(F.lit("~"), "line"))
+    line = F.when(n % 3 == 0, F.replace("line", F.lit(" "), F.lit("  "))).when(n % 3 == 1, F.concat(F.substring("line", 1, 45), F.lit("~"))).otherwise(F.concat(F.lit("~"), "line"))
     return A.anchored(rows.withColumn("line", line), rows, "doc_id", "pos", "line").withColumn("found", F.coalesce("found", F.lit(-1)))
 
 
