@@ -24,6 +24,11 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(fold(x), F.lit(TOKEN), F.lit(0))
 
 
+def capitals(x: Column) -> Column:
+    """Upper case with one letter for each: Spark's own makes two of ß, which then no longer compares with the text as it was."""
+    return F.upper(F.replace(x, F.lit("ß"), F.lit("ẞ")))
+
+
 def spaced(x: Column) -> Column:
     """The lexical tokens as one string, each between spaces of its own (" one  two "); no tokens: two spaces.
 
