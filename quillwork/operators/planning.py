@@ -215,12 +215,13 @@ def packets(units: DataFrame, key: str, order: str, text: str, budget: int) -> D
 MAX_DAYS = 730
 
 
-def lesson_plan(lessons: DataFrame, plan: DataFrame, key: str, today: dt.date, daily: int, days_a_week: int, deadline: dt.date | None = None) -> DataFrame:
+def lesson_plan(lessons: DataFrame, plan: DataFrame, key: str, today: dt.date, daily: int, days_a_week: int, deadline: dt.date | None = None, most_days: int | None = MAX_DAYS) -> DataFrame:
     """``key``, id, on_date: the plan with what it lacks put on the days from ``today`` on, in order and whole: a day takes a lesson
     if nothing is on it, or if both fit ``daily`` minutes. Weekends are what is beyond ``days_a_week``.
 
     ``lessons`` has (key, id, ord, minutes, eligible, completed), ``plan`` (key, id, on_date, minutes), which stays. What comes
-    after the ``deadline``, or MAX_DAYS, isn't planned. The days fill one after the other, so a key's plan is one task's.
+    after the ``deadline``, or ``most_days`` (None: no bound), isn't planned. The days fill one after the other, so a key's plan
+    is one task's.
     """
     kinds = dict(lessons.dtypes)
 
@@ -230,7 +231,7 @@ def lesson_plan(lessons: DataFrame, plan: DataFrame, key: str, today: dt.date, d
             load[day] += minutes
         rows = left[left.eligible & ~left.completed & ~left.id.isin(have)].sort_values(["ord", "id"])
         todo, out, offset = collections.deque(zip(rows.id, rows.minutes, strict=True)), list(zip(right.id, right.on_date, strict=True)), 0
-        while todo and offset < MAX_DAYS:
+        while todo and days_a_week > 0 and (most_days is None or offset < most_days):
             day = today + dt.timedelta(offset)
             if deadline and day > deadline:
                 break
@@ -249,8 +250,8 @@ def lesson_plan(lessons: DataFrame, plan: DataFrame, key: str, today: dt.date, d
 
 def finish_forecast(lessons: DataFrame, plan: DataFrame, key: str, today: dt.date, daily: int, days_a_week: int) -> DataFrame:
     """``key``, remaining (eligible lessons that aren't completed) and finish (the last day of these; null without any), if the
-    plan goes on as it is, beyond any deadline. What the plan has for days before ``today`` and isn't done counts as to do."""
+    plan goes on as it is, beyond any deadline and however long it takes. What the plan has for days before ``today`` and isn't done counts as to do."""
     open_ = lessons.where("eligible AND NOT completed").select(key, "id")
-    ahead = lesson_plan(lessons, plan.where(F.col("on_date") >= F.lit(today)), key, today, daily, days_a_week)
+    ahead = lesson_plan(lessons, plan.where(F.col("on_date") >= F.lit(today)), key, today, daily, days_a_week, most_days=None)
     last = ahead.join(open_, [key, "id"], "left_semi").groupBy(key).agg(F.max("on_date").alias("finish"))
     return lessons.select(key).distinct().join(open_.groupBy(key).agg(F.count(F.lit(1)).alias("remaining")), key, "left").join(last, key, "left").select(key, F.coalesce("remaining", F.lit(0)).alias("remaining"), "finish")
