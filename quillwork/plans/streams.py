@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..sources import shared, sinks
 from ..sources import tables as T
 from ..streaming import twins as S
@@ -72,7 +73,7 @@ def incremental_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.folder(spark, "index")
     docs = T.read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     sinks.replace_partitions(docs, path, "lang")
-    sinks.replace_partitions(docs.where("lang = 'fr'").withColumn("text", F.upper("text")), path, "lang")
+    sinks.replace_partitions(docs.where("lang = 'fr'").withColumn("text", X.capitals(F.col("text"))), path, "lang")
     return spark.read.parquet(path).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
