@@ -9,11 +9,11 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import groups
 from . import structure
 
 # Fixed values, in shares of the page: the least white band between columns, and between rows as a share of the median
@@ -271,15 +271,13 @@ def running_margins(elements: DataFrame, material: str = "material", page: str =
     count = elements.groupBy(F.col(material).alias("material")).agg(F.count_distinct(page).alias("n"))
     kinds = dict(lines.dtypes)
 
-    def found(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["page", "lone", "zone", "y", "x", "place"], ascending=[True, False, False, True, True, True]).astype(object)
-        rows = rows.where(rows.notna(), None)
-        out = running_series(list(rows.itertuples(index=False)), int(pdf["n"].iloc[0]))
-        return pd.DataFrame([{"material": pdf["material"].iloc[0], **x} for x in out], columns=["material", "kind", "element", "text", "pages", "places"])
+    def found(rows: list) -> Iterator[tuple]:
+        for x in running_series(rows, rows[0].n):
+            yield rows[0].material, x["kind"], x["element"], x["text"], x["pages"], x["places"]
 
     rows = lines.join(count, "material").withColumn("lone", F.col("image").isNotNull())
     schema = f"material {kinds['material']}, kind string, element string, text string, pages array<{kinds['page']}>, places array<{kinds['place']}>"
-    return rows.groupBy("material").applyInPandas(found, schema)
+    return groups.over(rows, ["material"], ["page", F.desc("lone"), F.desc("zone"), "y", "x", "place"], found, schema)
 
 
 # How near a page's upper or lower edge an image's centre is in a margin, the share of a page from which it fills
