@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import difflib
+import functools
 import re
 import unicodedata
 
@@ -70,19 +71,31 @@ def soft_overlap(a: Column, b: Column, least: float = 0.8) -> Column:
     return f(a, b)
 
 
+@functools.lru_cache(1 << 16)
+def _letters(s: str) -> collections.Counter:
+    return collections.Counter(s)
+
+
+@functools.lru_cache(1 << 16)
+def _alike(x: str, y: str, least: float) -> float:
+    """How alike two words are; 0 under ``least``. Headings of a file share their words, so few pairs of words are new."""
+    if x == y:
+        return 1.0
+    # Common letters bound the matching ones.
+    if (_letters(x) & _letters(y)).total() < least * (len(x) + len(y)) / 2:
+        return 0.0
+    r = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+    return r if r >= least else 0.0
+
+
 def _partners(a: list[str], b: list[str], least: float) -> list[float]:
     """How alike the words of ``a`` and their partners in ``b`` are: the most alike two first, each word once."""
     same = {w for w in set(a) & set(b) if a.count(w) == b.count(w) == 1}
-    letters = {w: collections.Counter(w) for w in {*a, *b} - same}
     scored = [(-1.0, a.index(w), b.index(w)) for w in same]
     for i, x in enumerate(a):
         for j, y in enumerate(b) if x not in same else ():
-            enough = least * (len(x) + len(y)) / 2
-            # Common letters bound the matching ones.
-            if y not in same and min(len(x), len(y)) >= enough and (letters[x] & letters[y]).total() >= enough:
-                r = 1.0 if x == y else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
-                if r >= least:
-                    scored.append((-r, i, j))
+            if y not in same and min(len(x), len(y)) >= least * (len(x) + len(y)) / 2 and (r := _alike(x, y, least)):
+                scored.append((-r, i, j))
     used_a, used_b, out = set(), set(), []
     for r, i, j in sorted(scored):
         if i not in used_a and j not in used_b:
@@ -112,15 +125,15 @@ def heading_form(x: Column) -> Column:
     return f(x)
 
 
-def heading_score(form: Column, terms: Column, other_form: Column, other_terms: Column) -> Column:
+def heading_score(form: Column, terms: Column, other_form: Column, other_terms: Column, least: Column | None = None) -> Column:
     """Half for the words in common (those alike by 0.8 of their characters count as much as they are alike), half for the
-    characters in common."""
+    characters in common. Scores under ``least`` may be given as 0."""
 
     @F.pandas_udf("double")
-    def f(a: pd.Series, s: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([score_headings(w, list(x), y, list(z)) for w, x, y, z in zip(a, s, b, t, strict=True)])
+    def f(a: pd.Series, s: pd.Series, b: pd.Series, t: pd.Series, bar: pd.Series) -> pd.Series:
+        return pd.Series([score_headings(w, list(x), y, list(z), v) for w, x, y, z, v in zip(a, s, b, t, bar, strict=True)], dtype="float64")
 
-    return f(form, terms, other_form, other_terms)
+    return f(form, terms, other_form, other_terms, F.lit(0.0) if least is None else least)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -133,10 +146,14 @@ def ratio(a: Column, b: Column) -> Column:
     return f(a, b)
 
 
-def score_headings(a: str, s: list[str], b: str, t: list[str]) -> float:
-    """Half the share of words in common, half the share of characters in common; no words or characters at all: 0 of them."""
+def score_headings(a: str, s: list[str], b: str, t: list[str], least: float = 0.0) -> float:
+    """Half the share of words in common, half the share of characters in common; no words or characters at all: 0 of them.
+    A score whose bound is under ``least`` is 0."""
     shared = sum(_partners(s, t, 0.8))
     words = shared / (len(s) + len(t) - shared) if s or t else 0.0
+    # Common characters bound the matching ones, and cost far less.
+    if least and a + b and (words + 2 * (_letters(a) & _letters(b)).total() / len(a + b)) / 2 < least - 1e-9:
+        return 0.0
     return (words + difflib.SequenceMatcher(None, a, b).ratio()) / 2
 
 

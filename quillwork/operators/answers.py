@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import groups
 from ..functions import text as X
 from ..functions import vectorised as V
 from ..sources import shared
@@ -85,10 +85,11 @@ def scored(headers_: DataFrame, questions: DataFrame) -> DataFrame:
     # What lengths alone keep under the bar isn't compared, but for headings, whose number may count without it.
     share = lambda a, b: F.least(a, b) / F.greatest(a, b, F.lit(1))
     most = (share(F.size("_a"), F.size("_b")) + 2 * F.least(F.length("form"), F.length("asked_form")) / F.greatest(F.length("form") + F.length("asked_form"), F.lit(1))) / 2
-    compared = (most >= min(LIKELY, NUMBERED)) | ((F.col("kind") == "heading") & (F.col("ord") == F.col("target")))
+    bar, by_number = min(LIKELY, NUMBERED), F.coalesce((F.col("kind") == "heading") & (F.col("ord") == F.col("target")), F.lit(False))
+    compared = (most >= bar) | by_number
     # Comparing costs far more than its rows weigh, so they aren't left to partitions by size.
     tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = both.where(compared).repartition(tasks, "key", "anchor", "until", "ord").withColumn("score", V.heading_score(F.col("form"), F.col("_a"), F.col("asked_form"), F.col("_b")))
+    rows = both.where(compared).repartition(tasks, "key", "anchor", "until", "ord").withColumn("score", V.heading_score(F.col("form"), F.col("_a"), F.col("asked_form"), F.col("_b"), F.when(by_number, 0.0).otherwise(bar)))
     return rows.unionByName(both.where(~F.coalesce(compared, F.lit(False)) & (F.col("ord") == F.col("target"))).withColumn("score", F.lit(0.0))).drop("_a", "_b")
 
 
@@ -150,11 +151,10 @@ def path(found: DataFrame) -> DataFrame:
     """The certain candidates that agree with the exam's order."""
     kinds = dict(found.dtypes)
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("anchor").reset_index(drop=True)
-        return rows.loc[best_path(*(rows[c].tolist() for c in ("anchor", "until", "ord", "score")))]
+    def of(rows: list) -> list[tuple]:
+        return [rows[i] for i in best_path(*([getattr(r, c) for r in rows] for c in ("anchor", "until", "ord", "score")))]
 
-    return found.where("sure").groupBy("key").applyInPandas(of, ", ".join(f"{c} {kinds[c]}" for c in found.columns))
+    return groups.over(found.where("sure"), ["key"], ["anchor"], of, ", ".join(f"{c} {kinds[c]}" for c in found.columns))
 
 
 @dataclass(frozen=True)
