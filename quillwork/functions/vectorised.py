@@ -8,7 +8,10 @@ import functools
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +63,28 @@ def frequent_terms(x: Column, asked: Column, least: int, most: int) -> Column:
     return f(x, asked)
 
 
+def term_places(tokens: Column) -> Column:
+    """The distinct tokens of an array of them as structs (term, tf, places): how often they are there, and where (from 0)."""
+
+    @F.arrow_udf("array<struct<term:string,tf:int,places:array<int>>>")
+    def f(ts: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(ts), 0).to_numpy(zero_copy_only=False).astype("int64")
+        ends = np.cumsum(sizes)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - np.repeat(ends - sizes, sizes)
+        words = ts.flatten().dictionary_encode()
+        key = row * max(1, len(words.dictionary)) + words.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(key, kind="stable")  # places stay in order
+        heads = np.flatnonzero(np.diff(key[order], prepend=-1))
+        bounds = np.append(heads, len(key)).astype("int32")
+        at = order[heads]
+        places = pa.ListArray.from_arrays(pa.array(bounds), pa.array(place[order].astype("int32")))
+        found = pa.StructArray.from_arrays([words.dictionary.take(pa.array(words.indices.to_numpy(zero_copy_only=False)[at])), pa.array(np.diff(bounds)), places], ["term", "tf", "places"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(len(sizes) + 1)).astype("int32")), found)
+
+    return f(tokens)
+
+
 def soft_overlap(a: Column, b: Column, least: float = 0.8) -> Column:
     """How many of the first array's words have a partner in the second, best pairs first, each word once; partners are alike
     by ``least`` of their characters."""

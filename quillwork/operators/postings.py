@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import vectorised as V
 from ..sources import shared
 from .retrieval import B, K1
 
-#: Folders of terms, and of texts. A bucket of a slice is one file, so a cluster with large tables wants more of both.
-BUCKETS, SLICES = 32, 4
+#: Folders of terms, and of texts. A bucket of a slice is a file for each share of its texts at most (a power of two of shares),
+#: so a cluster with very large tables wants more of all three.
+BUCKETS, SLICES, SHARES = 32, 4, 8
 
 
 @dataclass(frozen=True)
@@ -34,24 +36,24 @@ class Index:
         return (F.crc32(F.to_json(F.struct(id_.alias("id")))) % self.slices).cast("int")
 
     def _rows(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Postings, and sizes by slice, of (id, text)."""
+        """Postings, and sizes by slice, of (id, text). A text is one row, so its postings are made where it is read: what is
+        shuffled are postings, once, on their way to their files."""
         t = texts.select(self.slice_of(F.col("id")).alias("slice"), "id", X.tokens(F.coalesce("text", F.lit(""))).alias("ts"))
-        t = t.select("slice", "id", F.size("ts").alias("length"), "ts")
-        seen = t.select("slice", "id", "length", F.posexplode("ts").alias("place", "term"))
-        found = seen.groupBy("slice", "id", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
-        found = found.withColumn("bucket", (F.crc32("term") % self.buckets).cast("int"))
-        sizes = t.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
-        # A row without a term in every bucket, so that buckets which have no terms any more are replaced as well.
-        every = sizes.select("slice", F.explode(F.sequence(F.lit(0), F.lit(self.buckets - 1))).alias("bucket"))
-        return found.unionByName(every, allowMissingColumns=True), sizes
+        sizes = t.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ts")).alias("total"))
+        found = t.select("slice", "id", F.size("ts").alias("length"), F.inline(V.term_places(F.col("ts"))))
+        return found.withColumn("bucket", (F.crc32("term") % self.buckets).cast("int")), sizes
 
     def replace(self, texts: DataFrame) -> None:
         """Writes the slices of (id, text) anew; ``texts`` has all texts of the slices that it touches, and other slices stay.
         Identifiers are unique; null texts have no terms, but count as texts. Sizes are written last: where they are, the
         rest of their slice is."""
         postings, sizes = self._rows(texts)
+        sizes = self.spark.createDataFrame(sizes.collect(), sizes.schema)  # a row for each slice
+        # A row without a term in every bucket, so that buckets which have no terms any more are replaced as well.
+        every = sizes.select("slice", F.explode(F.sequence(F.lit(0), F.lit(self.buckets - 1))).alias("bucket"))
+        rows = postings.unionByName(every, allowMissingColumns=True)
         write = lambda df, name, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.path}/{name}")
-        write(postings.repartition("slice", "bucket").sortWithinPartitions("slice", "bucket", "term"), "postings", "slice", "bucket")
+        write(rows.repartition("slice", "bucket", F.crc32(F.to_json(F.struct("id"))).bitwiseAND(SHARES - 1)).sortWithinPartitions("slice", "bucket", "term"), "postings", "slice", "bucket")
         written = self.spark.read.parquet(f"{self.path}/postings").join(F.broadcast(sizes.select("slice")), "slice", "left_semi")
         vocabulary = written.groupBy("slice", "term").agg(F.count(F.lit(1)).alias("texts"))
         write(vocabulary.repartitionByRange("slice", "term").sortWithinPartitions("slice", "term"), "vocabulary", "slice")
