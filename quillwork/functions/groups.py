@@ -16,11 +16,12 @@ from pyspark.sql.types import StructType
 ROWS = 10_000
 
 
-def over(df: DataFrame, keys: list[str], order: list[str | Column], program: Callable[[list[Any]], Iterable[tuple]], schema: str) -> DataFrame:
+def over(df: DataFrame, keys: list[str], order: list[str | Column], program: Callable[[Any], Iterable[tuple]], schema: str, whole: bool = True) -> DataFrame:
     """What ``program`` gives for the rows (named tuples) of each of ``keys``, in ``order``; its tuples follow ``schema``.
 
     Spark deals rows out by key and sorts them; a task goes through its sorted rows and holds those of one key at a time. That
-    costs a small key nothing but its rows, where a data frame for each key costs some milliseconds.
+    costs a small key nothing but its rows, where a data frame for each key costs some milliseconds. A program that reads its rows
+    once, in order, takes them as they come (not ``whole``): then no key's rows are held.
     """
     names = df.columns
     if not all(n.isidentifier() and not n.startswith("_") for n in names):
@@ -32,7 +33,7 @@ def over(df: DataFrame, keys: list[str], order: list[str | Column], program: Cal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = namedtuple("row", names)
         rows = (row(*x) for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        out = (x for _, g in itertools.groupby(rows, lambda r: tuple(r[i] for i in at)) for x in program(list(g)))
+        out = (x for _, g in itertools.groupby(rows, lambda r: tuple(r[i] for i in at)) for x in program(list(g) if whole else g))
         while part := list(itertools.islice(out, ROWS)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), arrow, strict=True)], schema=arrow)
 

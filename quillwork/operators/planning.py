@@ -6,11 +6,14 @@ import collections
 import datetime as dt
 import math
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import groups
+
 
 def spine(df: DataFrame, first: str, last: str) -> DataFrame:
     """A row for each day from ``first`` to ``last``."""
@@ -84,16 +87,22 @@ def recovered(items: DataFrame, days: DataFrame, key: str, today: int, mode: str
     return items.groupBy(key).cogroup(days.groupBy(key)).applyInPandas(place, f"{key} {kind[key]}, id {kind['id']}, on_day bigint")
 
 
-def batches(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
-    """Next-fit batches: rows in order, a new batch where the next row would exceed the budget (a row may exceed it alone)."""
-    step = lambda s, x: F.struct(
-        F.when((s["used"] > 0) & (s["used"] + x["n"] > budget), x["n"]).otherwise(s["used"] + x["n"]).alias("used"),
-        F.when((s["used"] > 0) & (s["used"] + x["n"] > budget), s["batch"] + 1).otherwise(s["batch"]).alias("batch"),
-        F.concat(s["out"], F.array(F.struct(x["o"].alias("o"), F.when((s["used"] > 0) & (s["used"] + x["n"] > budget), s["batch"] + 1).otherwise(s["batch"]).alias("batch")))).alias("out"))
-    kind = dict(rows.dtypes)[order]
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("batch"), F.array().cast(f"array<struct<o:{kind},batch:bigint>>").alias("out"))
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("bigint").alias("n")))).alias("g"))
-    return listed.select(key, F.inline(F.aggregate("g", start, step)["out"])).withColumnRenamed("o", order)
+def batches(rows: DataFrame, key: str | list[str], order: str, size: str, budget: int) -> DataFrame:
+    """Next-fit batches: rows in order, a new batch where the next row would exceed the budget (a row may exceed it alone). Where a
+    batch ends depends on all before it, so a task goes through a key's sorted rows, and holds two numbers."""
+    keys = [key] if isinstance(key, str) else key
+
+    def number(found: Iterator[tuple]) -> Iterator[tuple]:
+        used = batch = 0
+        for *own, n in found:
+            if used and n is not None and used + n > budget:
+                used, batch = 0, batch + 1
+            used = None if used is None or n is None else used + n  # as SQL's sums: after an unknown size nothing is over
+            yield *own, batch
+
+    listed = rows.select(*keys, order, F.col(size).cast("bigint").alias("n"))
+    told = ", ".join(f"`{c}` {t}" for c, t in listed.dtypes[:-1])
+    return groups.over(listed, keys, [order, "n"], number, f"{told}, batch bigint", whole=False)
 
 
 def _utc(day: Column, minutes: Column, zone: Column) -> Column:
@@ -157,8 +166,7 @@ def runs_within(rows: DataFrame, key: str, order: str, block: str, size: str, mo
     w = Window.partitionBy(key).orderBy(order)
     fresh = F.when(F.col(block).eqNullSafe(F.lag(block).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     runs = rows.withColumn("_fresh", fresh).withColumn("run", F.sum("_fresh").over(w))
-    parts = batches(runs.withColumn("_k", F.struct(key, "run")), "_k", order, size, most)
-    return parts.select(F.col(f"_k.{key}").alias(key), order, F.col("_k.run").alias("run"), F.col("batch").alias("part"))
+    return batches(runs, [key, "run"], order, size, most).withColumnRenamed("batch", "part")
 
 
 #: Tokens for a word or mark, and where a text may be cut.
