@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import tables as T
+
 
 def latest(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in ``order``. An aggregate of a struct would do for few columns; this keeps all."""
@@ -54,9 +56,10 @@ def optional_filters(df: DataFrame, **given: object) -> DataFrame:
 
 
 def divided(links: DataFrame, left: str, right: str, all_right: DataFrame) -> DataFrame:
-    """Those of ``left`` that are linked with every row of ``all_right`` (relational division, by counts)."""
+    """Those of ``left`` that are linked with every row of ``all_right`` (relational division, by counts). Few rows of ``all_right``
+    go to where the links are read: links dealt out by ``right`` would be as few parts."""
     need = all_right.select(right).distinct()
-    have = links.join(need, right, "left_semi").groupBy(left).agg(F.countDistinct(right).alias("have"))
+    have = links.join(T.bounded(need), right, "left_semi").groupBy(left).agg(F.countDistinct(right).alias("have"))
     return have.join(F.broadcast(need.agg(F.count(F.lit(1)).alias("need"))), F.col("have") == F.col("need")).select(left)
 
 
