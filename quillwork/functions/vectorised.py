@@ -5,8 +5,11 @@ from __future__ import annotations
 import collections
 import difflib
 import functools
+import heapq
+import itertools
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,12 +38,31 @@ def normalized(x: Column) -> Column:
     return f(x)
 
 
+#: Fixed value: texts whose tokens are Python objects at one time.
+TEXTS = 64
+
+
+def _parts(*columns: pa.Array) -> Iterator[list[tuple]]:
+    """Rows of an Arrow batch, a few at a time."""
+    for i in range(0, len(columns[0]), TEXTS):
+        yield list(zip(*(c.slice(i, TEXTS).to_pylist() for c in columns), strict=True))
+
+
+def _listed(rows: list[list[tuple]], names: list[str], kinds: list[pa.DataType]) -> pa.Array:
+    """Lists of tuples as an Arrow array of lists of structs."""
+    flat = list(zip(*itertools.chain.from_iterable(rows), strict=True)) or [()] * len(names)
+    ends = pa.array(np.cumsum([0, *map(len, rows)]).astype("int32"))
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds, strict=True)], names))
+
+
 def token_positions(x: Column) -> Column:
     """Lexical tokens with where they start and end, in characters; null as an empty text."""
+    names, kinds = ["token", "start", "end"], [pa.string(), pa.int32(), pa.int32()]
+    found = lambda t: [(m[0].lower().replace("ё", "е"), m.start(), m.end()) for m in _TOKEN.finditer(t or "")]
 
-    @F.pandas_udf("array<struct<token:string,start:int,end:int>>")
-    def f(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"token": m[0].lower().replace("ё", "е"), "start": m.start(), "end": m.end()} for m in _TOKEN.finditer(t or "")])
+    @F.arrow_udf("array<struct<token:string,start:int,end:int>>")
+    def f(s: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_listed([found(t) for (t,) in part], names, kinds) for part in _parts(s)] or [_listed([], names, kinds)])
 
     return f(x)
 
@@ -48,17 +70,18 @@ def token_positions(x: Column) -> Column:
 def frequent_terms(x: Column, asked: Column, least: int, most: int) -> Column:
     """The ``most`` most frequent tokens of ``least`` characters and more that ``asked`` doesn't have, with their numbers, the
     alphabetically first of equals; null as an empty text."""
-    found = lambda t: [m[0].lower().replace("ё", "е") for m in _TOKEN.finditer(t or "")]
-
-    @F.pandas_udf("array<struct<term:string,n:bigint>>")
-    def f(s: pd.Series, q: pd.Series) -> pd.Series:
-        out = []
-        for text, question in zip(s, q, strict=True):
-            counts = collections.Counter(t for t in found(text) if len(t) >= least)
-            for t in found(question):
-                counts.pop(t, None)
-            out.append([{"term": t, "n": n} for t, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]])
-        return pd.Series(out)
+    names, kinds = ["term", "n"], [pa.string(), pa.int64()]
+    found = lambda t: (m[0].lower().replace("ё", "е") for m in _TOKEN.finditer(t or ""))
+
+    def best(text: str | None, question: str | None) -> list[tuple]:
+        counts = collections.Counter(t for t in found(text) if len(t) >= least)
+        for t in found(question):
+            counts.pop(t, None)
+        return heapq.nsmallest(most, counts.items(), key=lambda x: (-x[1], x[0]))
+
+    @F.arrow_udf("array<struct<term:string,n:bigint>>")
+    def f(s: pa.Array, q: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_listed([best(*r) for r in part], names, kinds) for part in _parts(s, q)] or [_listed([], names, kinds)])
 
     return f(x, asked)
 
