@@ -6,6 +6,7 @@ carry the number of their batch, and of a key's updates the last one counts, so
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Iterator
 
 import pandas as pd
@@ -68,28 +69,41 @@ def sessions(stream: DataFrame, time_col: str, key: str, gap: str, delay: str) -
 
 
 def memory(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """The memory model of each key after every batch; the state is the model's five numbers.
+    """The memory model of each key after every batch; the state is the model's numbers, of all keys that share the first column
+    together (a learner's): a call for each key would cost far more than its grades.
 
     ``stream`` has the keys, day, id and quality. Grades that come after a later day's are applied as they come.
     """
     kinds = dict(stream.dtypes)
+    first, *rest = keys
     told = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    whole = [kinds[k] in ("tinyint", "smallint", "int", "bigint") for k in rest]  # pandas makes floats of them where some are null
+    names = [*rest, "reps", "interval", "ease", "due", "last", "grades"]
+    held = ", ".join([*(f"{k} array<{kinds[k]}>" for k in rest), "reps array<bigint>, interval array<bigint>, ease array<double>, due array<bigint>, last array<bigint>, grades array<int>"])
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        reps, interval, ease, due, last, grades = state.get if state.exists else (0, 0, M.EASINESS, 0, None, 0)
-        for r in pd.concat(list(parts)).sort_values(["day", "id"]).itertuples():
-            if last is not None and r.day == last:
-                continue
-            before, last, grades = ease, r.day, grades + 1
-            ease = max(M.FLOOR, ease + 0.1 - (5 - r.quality) * (0.08 + (5 - r.quality) * 0.02))
-            if r.quality < M.PASS:
-                reps, interval = 0, M.FIRST
-            else:
-                interval = M.FIRST if reps == 0 else M.SECOND if reps == 1 else int(-(-interval * before // 1))
-                reps += 1
-            due = int(r.day) + interval
-        state.update((reps, interval, ease, due, last, grades))
-        yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "grades": [grades], "reps": [reps], "interval": [interval], "ease": [round(ease, 6)], "due": [due]})
-
-    return stream.groupBy(*keys).applyInPandasWithState(
-        step, f"{told}, grades int, reps bigint, interval bigint, ease double, due bigint", "reps bigint, interval bigint, ease double, due bigint, last bigint, grades int", "update", GroupStateTimeout.NoTimeout)
+        columns = [list(c) for c in state.get] if state.exists else [[] for _ in names]
+        known = {tuple(r[: len(rest)]): r[len(rest) :] for r in zip(*columns, strict=True)}
+        grades_of = collections.defaultdict(list)
+        for p in parts:
+            for day, i, quality, *k in zip(*(p[c].tolist() for c in ("day", "id", "quality", *rest)), strict=True):
+                grades_of[tuple(None if x is None or x != x else int(x) if w else x for x, w in zip(k, whole, strict=True))].append((day, i, quality))
+        for k, found in grades_of.items():
+            reps, interval, ease, due, last, grades = known.get(k, (0, 0, M.EASINESS, 0, None, 0))
+            for day, _, quality in sorted(found):
+                if last is not None and day == last:
+                    continue
+                before, last, grades = ease, day, grades + 1
+                ease = max(M.FLOOR, ease + 0.1 - (5 - quality) * (0.08 + (5 - quality) * 0.02))
+                if quality < M.PASS:
+                    reps, interval = 0, M.FIRST
+                else:
+                    interval = M.FIRST if reps == 0 else M.SECOND if reps == 1 else int(-(-interval * before // 1))
+                    reps += 1
+                due = int(day) + interval
+            known[k] = (reps, interval, ease, due, last, grades)
+        state.update(tuple(list(c) for c in zip(*((*k, *v) for k, v in known.items()), strict=True)))
+        rows = [(key[0], *k, v[5], v[0], v[1], round(v[2], 6), v[3]) for k, v in known.items() if k in grades_of]
+        yield pd.DataFrame(rows, columns=[*keys, "grades", "reps", "interval", "ease", "due"], dtype=object)
+
+    return stream.groupBy(first).applyInPandasWithState(step, f"{told}, grades int, reps bigint, interval bigint, ease double, due bigint", held, "update", GroupStateTimeout.NoTimeout)
