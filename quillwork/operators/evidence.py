@@ -5,17 +5,19 @@ from __future__ import annotations
 import collections
 import re
 import unicodedata
+import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import shared
 from ..sources import tables as T
 
-# The share of a quotation's words that make it nearly found; formulas' commands and their symbols; Latin letters
+# The share of a quotation's words that make it nearly found; how many runs of words choose one of them; formulas' commands and their symbols; Latin letters
 # and the Cyrillic ones that look alike.
 NEARLY = 0.75
+LEVELS = (0, 1, 2, 3, 6, 12, 24)
 COMMANDS = {
     "in": "∈", "notin": "∉", "subset": "⊂", "subseteq": "⊆", "times": "×", "cdot": "·", "le": "≤", "leq": "≤", "ge": "≥", "geq": "≥", "neq": "≠", "to": "→", "rightarrow": "→", "leftarrow": "←",
     "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "Sigma": "Σ", "sigma": "σ", "sum": "∑", "lambda": "λ", "epsilon": "ε", "infty": "∞", "cup": "∪", "cap": "∩",
@@ -40,16 +42,6 @@ def comparable(x: Column) -> Column:
     return f(x)
 
 
-def words(x: Column) -> Column:
-    """The words of a comparable text, as they come."""
-
-    @F.pandas_udf("array<string>")
-    def f(s: pd.Series) -> pd.Series:
-        return s.map(_WORD.findall, na_action="ignore")
-
-    return f(x)
-
-
 def window(text: str, quote: str) -> tuple[float, int, int]:
     """The share of the quotation's words that a stretch of as many words of the text has at best, and where the first such
     stretch begins and ends in the text as it is; found while the stretch moves on word by word."""
@@ -91,6 +83,48 @@ def contained(of: Column, within: Column) -> Column:
     return f(of, within)
 
 
+def picked(hashes: list[int], level: int) -> list[int]:
+    """The places of the least hash (the first of equals) of each ``level`` neighbours."""
+    out: list[int] = []
+    for i in range(len(hashes) - level + 1):
+        if out and out[-1] >= i:
+            last = i + level - 1
+            if hashes[last] < hashes[out[-1]]:
+                out.append(last)
+        else:
+            out.append(min(range(i, i + level), key=hashes.__getitem__))
+    return out
+
+
+def runs(found: list[str], level: int) -> list[int]:
+    """Hashes of the word runs that stand for a text: of each ``level`` neighbouring runs of 2 * ``level`` words (0: of each word)
+    the one of least hash. Whatever has the same 3 * ``level`` - 1 words in a row has one of them in common."""
+    size, near = (2 * level, level) if level else (1, 1)
+    marks = [zlib.crc32(w.encode()) for w in found]
+    hashes = [hash(tuple(marks[i : i + size])) for i in range(len(marks) - size + 1)]  # numbers hash alike everywhere
+    return [hashes[i] for i in picked(hashes, near)]
+
+
+def _runs(x: Column, levels: list[int] | None) -> Column:
+    """Of a comparable text, its runs of each of ``levels``, each once; of a quotation (None), one run of its inner words and its
+    level, null if it has no inner word."""
+
+    def one(text: str | None) -> dict | None:
+        inner = _WORD.findall(text or "")[1:-1]
+        level = max((v for v in LEVELS if 3 * v - 1 <= len(inner)), default=None) if inner else None
+        return None if level is None else {"level": level, "hash": runs(inner[: max(1, 3 * level - 1)], level)[0]}
+
+    def every(text: str | None) -> list[dict]:
+        found = _WORD.findall(text or "")
+        return [{"level": v, "hash": h} for v in levels for h in set(runs(found, v))]
+
+    @F.pandas_udf("array<struct<level:int,hash:bigint>>")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [r for r in (one(t),) if r]) if levels is None else s.map(every)
+
+    return F.try_element_at(f(x), F.lit(1)) if levels is None else f(x)
+
+
 def repaired(evidence: DataFrame, units: DataFrame) -> DataFrame:
     """id, found (the unit's ref), how, start, end of evidence (id, ref, quote) among units (ref, text):
 
@@ -100,9 +134,9 @@ def repaired(evidence: DataFrame, units: DataFrame) -> DataFrame:
     * ref_corrected: another unit (the first by ref) has it when both are compared so; that whole unit is the place;
     * lost: none; nulls. A null quotation, or one of which nothing is left to compare, is lost; so is a null text.
 
-    Evidence meets its own unit by ref. Only what isn't found there is looked for elsewhere, by its rarest inner word, counted
-    over the words that such quotations have; quotations of fewer than three words have none that is sure to be whole, and are
-    held against all units where these are read.
+    Evidence meets its own unit by ref. Only what isn't found there is looked for elsewhere, by a run of its inner words (a
+    single word, however rare, is in a share of all units); quotations of fewer than three words have none that is sure to be
+    whole, and are held against all units where these are read.
     """
     u = units.select("ref", "text").withColumn("plain", comparable(F.col("text")))
     e = evidence.select("id", "ref", "quote").withColumn("asked", comparable(F.col("quote")))
@@ -117,17 +151,17 @@ def repaired(evidence: DataFrame, units: DataFrame) -> DataFrame:
     here = F.when(F.col("how") == "exact", F.when(F.length("quote") == 0, whole).otherwise(F.struct(start.alias("start"), (start + F.length("quote")).alias("end")))).otherwise(whole)
     sure = own.where("how IN ('exact', 'normalized')").select("id", F.col("ref").alias("found"), "how", here.alias("at"))
     nearly = own.where("how = 'approximate'").withColumn("w", best_window(F.col("text"), F.col("quote"))).select("id", F.col("ref").alias("found"), "how", F.struct("w.start", "w.end").alias("at"))
-    left = own.where("how IS NULL").select("id", "ref", "asked").withColumn("ws", words(F.col("asked"))).withColumn("inner", F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 2, F.lit(0))))
-    asked = left.where(F.size("inner") > 0).select("id", F.explode(F.array_distinct("inner")).alias("word"))
-    units_words = u.select("ref", F.explode(F.array_distinct(words(F.col("plain")))).alias("word"))
-    counts = units_words.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rare = asked.join(counts, "word", "left").groupBy("id").agg(F.min_by(F.col("word"), F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
-    pairs = units_words.withColumnRenamed("ref", "other").join(rare, "word").select("id", "other")
-    long = pairs.join(left.select("id", "ref", "asked"), "id").join(u.select(F.col("ref").alias("other"), "plain"), "other")
-    few = left.where((F.size("inner") == 0) & (F.col("asked") != "")).select("id", "ref", "asked")
-    short = u.select(F.col("ref").alias("other"), "plain").join(T.bounded(few), F.col("plain").contains(F.col("asked")))
-    met = long.select("id", "ref", "asked", "other", "plain").unionByName(short.select("id", "ref", "asked", "other", "plain"))
-    found = met.where((F.col("other") != F.col("ref")) & F.col("plain").contains(F.col("asked"))).groupBy("id").agg(F.min("other").alias("found"))
-    other = found.join(u.select(F.col("ref").alias("found"), "text"), "found").select("id", "found", F.lit("ref_corrected").alias("how"), whole.alias("at"))
+    # Equal quotations are looked for once, with the first two units that have them: the first that isn't their own counts.
+    left = own.where("how IS NULL AND asked <> ''").select("id", "ref", "asked")
+    asked = shared.cut(left.select("asked").distinct().withColumn("run", _runs(F.col("asked"), None)))
+    levels = sorted(r[0] for r in asked.where("run IS NOT NULL").select("run.level").distinct().collect())  # a few numbers
+    places = u.select("ref", F.explode(_runs(F.col("plain"), levels)).alias("run")).select("ref", "run.level", "run.hash")
+    pairs = places.join(asked.where("run IS NOT NULL").select("run.level", "run.hash", "asked"), ["level", "hash"]).select("ref", "asked")
+    long = pairs.join(u.select("ref", "plain"), "ref").where(F.col("plain").contains(F.col("asked"))).select("ref", "asked")
+    short = u.select("ref", "plain").join(T.bounded(asked.where("run IS NULL").select("asked")), F.col("plain").contains(F.col("asked"))).select("ref", "asked")
+    nth = F.dense_rank().over(Window.partitionBy("asked").orderBy("ref"))
+    met = long.unionByName(short).withColumn("_n", nth).where("_n <= 2")
+    found = left.join(met.select(F.col("ref").alias("other"), "asked").distinct(), "asked").where(F.col("other") != F.col("ref")).groupBy("id").agg(F.min("other").alias("found"))
+    other = found.join(units.select(F.col("ref").alias("found"), whole.alias("at")), "found").select("id", "found", F.lit("ref_corrected").alias("how"), "at")
     got = sure.unionByName(nearly).unionByName(other)
     return evidence.select("id").join(got, "id", "left").select("id", "found", F.coalesce("how", F.lit("lost")).alias("how"), F.col("at.start").alias("start"), F.col("at.end").alias("end"))

@@ -13,6 +13,7 @@ from ..operators import planning as P
 from ..operators import ranges as G
 from ..operators import series as N
 from ..operators import trees as R
+from ..sources import shared
 from ..sources import tables as T
 from .registry import query
 
@@ -234,7 +235,7 @@ def _exam_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exam_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exam lists and programs of tickets: how many questions, tasks and parts each text has, what is wrong with it, and its tree
     as a digest."""
-    texts = _exam_texts(spark, sf_dir)
+    texts = shared.cut(_exam_texts(spark, sf_dir))  # every list and report reads them
     expected = texts.select("key", F.lit(None).cast("int").alias("expected"))
     found = [Q.exam_list(texts.where("kind < 2"), expected), Q.tickets(texts.where("kind = 2"))]
     nodes, reports = found[0][0].unionByName(found[1][0]), found[0][1].unionByName(found[1][1])
