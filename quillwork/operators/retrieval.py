@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import text as X
+from ..sources import tables as T
 
 #: BM25's constants (the usual ones), fusion's, and how far a result page reaches.
 K1, B, RRF = 1.2, 0.75, 60
@@ -50,6 +51,18 @@ def nearest(vectors: DataFrame, query: list[float], id_col: str, vector_col: str
     return vectors.select(F.col(id_col).alias("id"), A.cosine_distance(F.col(vector_col), q).alias("distance"))
 
 
+def containing(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, query_col: str, string_col: str) -> DataFrame:
+    """``docs`` with the rows of ``asked`` whose string they contain. A token inside a string, between other characters, is a
+    token of each text that has the string, so texts meet strings by the longest such token of these; strings without one are
+    held against all texts where these are read. Texts' identifiers and ``asked``'s are unique."""
+    inner = F.filter(X.tokens(F.regexp_replace(F.lower(string_col), rf"^{X.TOKEN}|{X.TOKEN}$", "")), lambda t: F.length(t) > 1)
+    words = F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))
+    keyed = asked.withColumn("_word", F.array_max(words)["t"])
+    met = docs.withColumn("_word", F.explode(F.array_distinct(X.tokens(F.col(text_col))))).join(T.bounded(keyed.where("_word IS NOT NULL")), "_word")
+    rest = docs.join(T.bounded(keyed.where("_word IS NULL")), F.contains(text_col, string_col))
+    return met.where(F.contains(text_col, string_col)).unionByName(rest).drop("_word")
+
+
 def top(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows in order, with their rank: Spark keeps k rows a task, and only those are numbered."""
     best = df.orderBy(*order).limit(k)

@@ -220,11 +220,11 @@ def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions are benchmark passages (their first lines); relevant are the documents that have them; the ranking looks for
     their first twenty characters.
 
-    The questions are few (a stated set), and each document is held against all of them where it is read.
+    The questions are few (a stated set); a document is held against those of which it has the longest inner word.
     """
     q = T.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.trim(F.split_part("text", F.lit("\n"), F.lit(1))).alias("k"))
     docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
-    both = docs.join(T.bounded(q), F.contains("text", F.substring("k", 1, 20))).select("query", "id", F.contains("text", F.col("k")).alias("whole"))
+    both = Q.containing(docs, q.withColumn("k20", F.substring("k", 1, 20)), "id", "text", "query", "k20").select("query", "id", F.contains("text", F.col("k")).alias("whole"))
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("id")))
     m = Q.metrics(ranked.select("query", "id", "rank"), both.where("whole").select("query", "id"))
     return m.select("query", "targets", *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")))
