@@ -188,7 +188,7 @@ def free_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     none, no_day = F.lit(None).cast("int"), F.lit(None).cast("date")
     window = lambda weekday, on_date, a, z: F.struct(weekday.alias("weekday"), on_date.alias("on_date"), a.cast("int").alias("from"), z.cast("int").alias("to"))
     zone = F.element_at(F.array(*map(F.lit, ("Europe/Berlin", "America/New_York", "Asia/Kolkata"))), (k % 3 + 1).cast("int"))
-    configs = T.read(spark, sf_dir, "customer").select(
+    configs = T.spread(T.read(spark, sf_dir, "customer").select("c_custkey")).select(  # a customer makes nine days of many windows
         k.alias("k"), zone.alias("zone"), (k % 5 * 60).cast("int").alias("boundary"), F.struct((1380 + k % 40 - k % 2 * 1300).cast("int").alias("from"), (400 + k % 100).cast("int").alias("to")).alias("sleep"),
         F.array(window((k % 7).cast("int"), no_day, F.lit(600), 600 + k % 300), window(none, no_day, 700 + k % 60, F.lit(800)), window(none, F.to_date(F.lit("2024-03-30")), F.lit(1300), 100 + k % 90)).alias("busy"),
         F.when(k % 4 > 0, F.date_add(F.to_date(F.lit("2024-03-31")), (k % 3).cast("int"))).alias("deadline"), F.when(k % 8 > 1, (60 + k % 900).cast("int")).alias("exam_time"), (30 + k % 200).cast("int").alias("exam_reserve"), (k % 6 > 2).alias("exam_day_enabled"),
