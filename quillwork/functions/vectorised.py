@@ -124,6 +124,51 @@ def _letters(s: str) -> collections.Counter:
     return collections.Counter(s)
 
 
+@functools.lru_cache(1 << 16)
+def _set(s: str) -> int:
+    """The characters of a word as bits, some of which share one."""
+    return functools.reduce(lambda m, c: m | 1 << (ord(c) & 63), s, 0)
+
+
+def _may_meet(a: list[str], b: list[str], least: float, need: float) -> bool:
+    """False only if fewer than ``need`` words of ``a`` have one in ``b`` that is alike by ``least``: each character that the other
+    word lacks is one that can't match."""
+    same = set(b)
+    rest = [(len(x), _set(x)) for x in a if x not in same]
+    n = len(a) - len(rest)
+    others = [(len(y), _set(y)) for y in b]
+    for i, (k, x) in enumerate(rest):
+        if n >= need or n + len(rest) - i < need:
+            break
+        for m, y in others:
+            both = least * (k + m) / 2
+            if k >= both and m >= both and k - (x & ~y).bit_count() >= both and m - (y & ~x).bit_count() >= both:
+                n += 1
+                break
+    return n >= need
+
+
+@functools.lru_cache(1 << 12)
+def _where(s: str) -> dict[str, int]:
+    """The places of each character, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(s):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _in_order(a: str, b: str) -> int:
+    """The most characters that both have in the same order; matching blocks have no more. One addition for a character of ``b``
+    (Hyyrö, Bit-parallel LCS-length computation revisited)."""
+    at, full = _where(a), (1 << len(a)) - 1
+    left = full
+    for c in b:
+        if m := at.get(c):
+            u = left & m
+            left = (left + u | left - u) & full
+    return len(a) - left.bit_count()
+
+
 @functools.lru_cache(1 << 16)
 def _alike(x: str, y: str, least: float) -> float:
     """How alike two words are; 0 under ``least``. Headings of a file share their words, so few pairs of words are new."""
@@ -197,10 +242,18 @@ def ratio(a: Column, b: Column) -> Column:
 def score_headings(a: str, s: list[str], b: str, t: list[str], least: float = 0.0) -> float:
     """Half the share of words in common, half the share of characters in common; no words or characters at all: 0 of them.
     A score whose bound is under ``least`` is 0."""
+    both = len(a) + len(b)
+    if least and both:
+        # Characters in the same order bound the matching ones; then so many words must have a partner.
+        chars = 2 * _in_order(a, b) / both
+        share = 2 * (least - 1e-9) - chars
+        if share > 0:
+            need = share * (len(s) + len(t)) / (1 + share) - 1e-9
+            if need > min(len(s), len(t)) or not _may_meet(s, t, 0.8, need):
+                return 0.0
     shared = sum(_partners(s, t, 0.8))
     words = shared / (len(s) + len(t) - shared) if s or t else 0.0
-    # Common characters bound the matching ones, and cost far less.
-    if least and a + b and (words + 2 * (_letters(a) & _letters(b)).total() / len(a + b)) / 2 < least - 1e-9:
+    if least and both and (words + chars) / 2 < least - 1e-9:
         return 0.0
     return (words + difflib.SequenceMatcher(None, a, b).ratio()) / 2
 
