@@ -218,13 +218,54 @@ def heading_form(x: Column) -> Column:
     return f(x)
 
 
+#: Fixed value: pairs of headings whose words meet in one array.
+PAIRS = 256
+
+
+@functools.lru_cache(1 << 12)
+def _buckets(s: str) -> np.ndarray:
+    """How many of a text's characters fall into each of 64 buckets: what two texts share there bounds what they share."""
+    return np.bincount(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") & 63, minlength=64)
+
+
+def _words_bound(s: pa.Array, t: pa.Array) -> np.ndarray:
+    """The largest share of words that two arrays of words, row by row, can have in common, as ``_may_meet`` tells of words."""
+    left, right = pc.list_value_length(s).to_numpy(zero_copy_only=False), pc.list_value_length(t).to_numpy(zero_copy_only=False)
+    words = pa.concat_arrays([s.flatten(), t.flatten()]).dictionary_encode()
+    named = words.dictionary.to_pylist()
+    code, size, bits = words.indices.to_numpy(zero_copy_only=False), np.array([*map(len, named)], "int64"), np.array([*map(_set, named)], "uint64")
+    row = np.repeat(np.arange(len(left)), left)
+    times = right[row].astype("int64")
+    i = np.repeat(np.arange(len(row)), times)
+    j = len(row) + (np.cumsum(right) - right)[row][i] + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+    k, m, x, y = size[code[i]], size[code[j]], bits[code[i]], bits[code[j]]
+    both = 0.4 * (k + m) - 1e-9
+    may = (k >= both) & (m >= both) & (k - np.bitwise_count(x & ~y) >= both) & (m - np.bitwise_count(y & ~x) >= both)
+    met = np.zeros(len(row), bool)
+    met[i[may]] = True
+    most = np.minimum(np.bincount(row[met], minlength=len(left)), right)
+    return most / np.maximum(left + right - most, 1)
+
+
 def heading_score(form: Column, terms: Column, other_form: Column, other_terms: Column, least: Column | None = None) -> Column:
     """Half for the words in common (those alike by 0.8 of their characters count as much as they are alike), half for the
     characters in common. Scores under ``least`` may be given as 0."""
 
-    @F.pandas_udf("double")
-    def f(a: pd.Series, s: pd.Series, b: pd.Series, t: pd.Series, bar: pd.Series) -> pd.Series:
-        return pd.Series([score_headings(w, list(x), y, list(z), v) for w, x, y, z, v in zip(a, s, b, t, bar, strict=True)], dtype="float64")
+    @F.arrow_udf("double")
+    def f(a: pa.Array, s: pa.Array, b: pa.Array, t: pa.Array, bar: pa.Array) -> pa.Array:
+        out: list[float] = []
+        for i in range(0, len(a), PAIRS):
+            part = [c.slice(i, PAIRS) for c in (a, s, b, t, bar)]
+            x, y, low = part[0].to_pylist(), part[2].to_pylist(), part[4].to_numpy(zero_copy_only=False)
+            words = _words_bound(part[1], part[3])
+            both = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)])
+            chars = 2 * np.minimum(np.stack([*map(_buckets, x)]), np.stack([*map(_buckets, y)])).sum(1) / np.maximum(both, 1)
+            scores = np.zeros(len(x))
+            for j in np.flatnonzero((low == 0) | (both == 0) | (words + chars >= 2 * (low - 1e-9))):
+                if low[j] == 0 or not both[j] or words[j] + 2 * _in_order(x[j], y[j]) / both[j] >= 2 * (low[j] - 1e-9):
+                    scores[j] = score_headings(x[j], part[1][j].as_py(), y[j], part[3][j].as_py(), float(low[j]))
+            out.extend(scores.tolist())
+        return pa.array(out, pa.float64())
 
     return f(form, terms, other_form, other_terms, F.lit(0.0) if least is None else least)
 
