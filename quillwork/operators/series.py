@@ -11,6 +11,14 @@ from ..sources import shared
 ITEM = r"^\s*(?:(\d{1,4})[.)](?!\d)\s*|(\d{1,4})\s+)(\S.*?)\s*$"
 
 
+def in_series(rows: DataFrame) -> DataFrame:
+    """Rows (key, pos, n, ...; n is null where a line has no number) with the number of their ``series``, 0 before the first."""
+    order = Window.partitionBy("key").orderBy("pos")
+    rows = rows.withColumn("_before", F.last("n", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    fresh = F.col("n").isNotNull() & ~F.coalesce(F.col("n") == F.col("_before") + 1, F.lit(False))
+    return rows.withColumn("series", F.count_if(fresh).over(order)).drop("_before")
+
+
 def items(lines: DataFrame) -> DataFrame:
     """key, series, number, text, pos, until: the items of (key, pos, line), each with the lines up to the next one; a series ends
     where a number doesn't follow the one before. ``until`` is the place of an item's last line; blank lines don't count."""
@@ -19,23 +27,20 @@ def items(lines: DataFrame) -> DataFrame:
     part = lambda i: F.regexp_extract(line, ITEM, i)
     number = F.coalesce(F.nullif(part(1), F.lit("")), F.nullif(part(2), F.lit(""))).cast("int")
     rows = lines.where(F.length(line) > 0).select("key", "pos", number.alias("n"), F.when(number.isNotNull(), F.trim(part(3))).otherwise(line).alias("said"))
-    rows = rows.withColumn("_item", F.count("n").over(order)).where("_item > 0")
-    rows = rows.withColumn("_before", F.last("n", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    fresh = F.when(F.col("n").isNotNull() & ~F.coalesce(F.col("n") == F.col("_before") + 1, F.lit(False)), 1).otherwise(0)
-    rows = rows.withColumn("series", F.sum(fresh).over(order))
+    rows = in_series(rows.withColumn("_item", F.count("n").over(order)).where("_item > 0"))
     told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"]), " ")
     return rows.groupBy("key", "series", "_item").agg(F.max("n").alias("number"), told.alias("text"), F.min("pos").alias("pos"), F.max("pos").alias("until")).drop("_item")
 
 
-def _chosen(all_: Column, expected: Column) -> Column:
-    """Of an array of series (s, first, last, n, ...), a struct of how, ambiguous, chain and dropped.
+def _chosen(all_: Column, most: Column, expected: Column) -> Column:
+    """Of an array of series (s, first, last, n, ...), of which the longest has ``most`` items, a struct of how, ambiguous, chain and dropped.
 
     Without a number that is expected, the longest series if there is one longest. With one, the series that has as many
     items; else the chain of series that go on from the first one with ever larger numbers, if it has more than one part or as
     many items; else the longest.
     """
     none = F.filter(all_, lambda x: F.lit(False))
-    longest = F.filter(all_, lambda x: x["n"] == F.array_max(F.transform(all_, lambda y: y["n"])))
+    longest = F.filter(all_, lambda x: x["n"] == most)
     exact = F.filter(all_, lambda x: x["n"] == expected)
     # Series are in order; a part of the chain begins above all parts before it.
     start = F.struct(F.lit(-1).alias("top"), none.alias("chain"))
@@ -48,6 +53,15 @@ def _chosen(all_: Column, expected: Column) -> Column:
     return F.when(expected.isNull(), one("longest", longest)).when(F.size(exact) > 0, one("exact", exact)).when(stitched, joined).otherwise(one("longest", longest))
 
 
+def choice(runs: DataFrame, expected: DataFrame | None) -> DataFrame:
+    """key, expected, how, ambiguous, chain and dropped of series (key, series, first, last, n, ...); ``expected`` as in
+    ``selected``."""
+    item = F.struct(F.col("series").alias("s"), *(c for c in runs.columns if c not in ("key", "series")))
+    of = runs.groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("all"), F.max("n").alias("most"))
+    of = of.withColumn("expected", F.lit(None).cast("int")) if expected is None else of.join(expected, "key", "left")
+    return of.select("key", "expected", _chosen(F.col("all"), F.col("most"), F.col("expected")).alias("x")).select("key", "expected", "x.*")
+
+
 def selected(lines: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The list that is meant in each key's ``lines`` (key, pos, line), and its items (key, number, text, pos).
 
@@ -58,9 +72,7 @@ def selected(lines: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFram
     """
     every = shared.cut(items(lines))
     runs = every.groupBy("key", "series").agg(F.min("number").alias("first"), F.max("number").alias("last"), F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"), F.max("until").alias("until"))
-    item = F.struct(F.col("series").alias("s"), "first", "last", "n", "pos", "until")
-    of = runs.groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("all")).join(expected, "key", "left").select("key", "expected", _chosen(F.col("all"), F.col("expected")).alias("x"))
-    of = of.select("key", "expected", "x.*")
+    of = choice(runs, expected)
     spans = of.select("key", F.posexplode("chain").alias("i", "c")).select("key", "c.s", F.col("c.pos").alias("from"), F.col("c.until").alias("to"))
     outer = of.where(F.size("chain") > 0).select("key", F.element_at("chain", 1)["pos"].alias("_a"), F.element_at("chain", -1)["until"].alias("_z"))
     said = lines.where(F.length(F.trim("line")) > 0).select("key", "pos").join(outer, "key")

@@ -236,8 +236,7 @@ def exam_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exam lists and programs of tickets: how many questions, tasks and parts each text has, what is wrong with it, and its tree
     as a digest."""
     texts = shared.cut(_exam_texts(spark, sf_dir))  # every list and report reads them
-    expected = texts.select("key", F.lit(None).cast("int").alias("expected"))
-    found = [Q.exam_list(texts.where("kind < 2"), expected), Q.tickets(texts.where("kind = 2"))]
+    found = [Q.exam_list(texts.where("kind < 2")), Q.tickets(texts.where("kind = 2"))]
     nodes, reports = found[0][0].unionByName(found[1][0]), found[0][1].unionByName(found[1][1])
     told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "parent", "type", "kind", "title", "position"))), lambda x: F.concat_ws("|", x["node"], F.coalesce(x["parent"], F.lit(-1)), x["type"], x["kind"], x["title"], x["position"])), "\n")
     return reports.join(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), F.sha2(told, 256).alias("tree")), "key", "left")
