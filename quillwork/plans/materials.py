@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -217,17 +219,28 @@ def packet_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _exam_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of exam lists (kind 0: numbered with parts, 1: marked, 2: tickets) for every ten customers' orders: key, kind, text."""
-    items = T.read(spark, sf_dir, "lineitem").withColumn("i", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")))
-    orders = T.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.floor(F.col("o_custkey") / 10).alias("key"), "o_orderpriority")
-    n = F.dense_rank().over(Window.partitionBy("key").orderBy("l_orderkey")).cast("string")
+    item = F.struct("l_linenumber", F.col("l_partkey").alias("p"))
+    items = T.read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    orders = T.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.floor(F.col("o_custkey") / 10).alias("key"), F.lower("o_orderpriority").alias("priority"))
+    # Orders are numbered within their text, and their lines are made in their row.
+    n = F.row_number().over(Window.partitionBy("key").orderBy("l_orderkey")).cast("string")
     rows = items.join(orders, "l_orderkey").withColumn("n", n)
-    p, first, kind, i = F.col("l_partkey"), F.col("i") == 1, F.col("key") % 3, F.col("i").cast("string")
-    about = F.concat(F.when(p % 9 == 0, F.lit("Задача: ")).otherwise(""), F.lit("Topic "), (p % 400).cast("string"), F.lit(" of "), F.lower("o_orderpriority"))
-    listed = F.when(first, F.concat("n", F.lit(". "), about)).when(p % 4 == 0, F.concat("n", F.lit("."), (F.col("i") - 1).cast("string"), F.lit(" part "), p.cast("string"))).when(p % 4 == 1, F.lit("and what goes on.")).when(p % 4 == 2, F.lit("17")).otherwise(F.concat("n", F.lit("."), i, F.lit(") late part")))
-    marked = F.when(first, F.when(p % 5 == 0, F.lit("Задачи:")).otherwise(F.concat(F.lit("— "), about))).when(p % 3 == 0, F.concat(F.lit("* "), about)).otherwise(F.lit("goes on"))
-    ticket = F.when(first, F.concat(F.lit("Билет № "), "n", F.when(p % 2 == 0, F.lit(". Algebra")).otherwise(""))).when((F.col("i") == 2) & (F.col("key") % 2 == 0), F.concat(F.lit("1) "), about)).otherwise(F.concat(i, F.lit(". "), about))
-    line = F.when(kind == 0, listed).when(kind == 1, marked).otherwise(ticket)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "i", line.alias("line")))), lambda x: x["line"]), "\n")
+
+    def line(kind: int) -> Callable[[Column, Column], Column]:
+        def said(x: Column, at: Column) -> Column:
+            p, first, i = x["p"], at == 0, (at + 1).cast("string")
+            about = F.concat(F.when(p % 9 == 0, F.lit("Задача: ")).otherwise(""), F.lit("Topic "), (p % 400).cast("string"), F.lit(" of "), F.col("priority"))
+            if kind == 0:
+                return F.when(first, F.concat("n", F.lit(". "), about)).when(p % 4 == 0, F.concat("n", F.lit("."), at.cast("string"), F.lit(" part "), p.cast("string"))).when(p % 4 == 1, F.lit("and what goes on.")).when(p % 4 == 2, F.lit("17")).otherwise(F.concat("n", F.lit("."), i, F.lit(") late part")))
+            if kind == 1:
+                return F.when(first, F.when(p % 5 == 0, F.lit("Задачи:")).otherwise(F.concat(F.lit("— "), about))).when(p % 3 == 0, F.concat(F.lit("* "), about)).otherwise(F.lit("goes on"))
+            return F.when(first, F.concat(F.lit("Билет № "), "n", F.when(p % 2 == 0, F.lit(". Algebra")).otherwise(""))).when((at == 1) & (F.col("key") % 2 == 0), F.concat(F.lit("1) "), about)).otherwise(F.concat(i, F.lit(". "), about))
+
+        return said
+
+    of = [F.array_join(F.transform("items", line(kind)), "\n") for kind in range(3)]
+    said = F.when(F.col("key") % 3 == 0, of[0]).when(F.col("key") % 3 == 1, of[1]).otherwise(of[2])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", said.alias("said")))), lambda x: x["said"]), "\n")
     return rows.groupBy("key").agg(text.alias("text")).select("key", (F.col("key") % 3).alias("kind"), "text")
 
 
