@@ -181,13 +181,18 @@ def _alike(x: str, y: str, least: float) -> float:
     return r if r >= least else 0.0
 
 
+def partner(x: str, y: str, least: float = 0.8) -> float:
+    """How alike two words are that may be partners, else 0."""
+    return _alike(x, y, least) if min(len(x), len(y)) >= least * (len(x) + len(y)) / 2 else 0.0
+
+
 def _partners(a: list[str], b: list[str], least: float) -> list[float]:
     """How alike the words of ``a`` and their partners in ``b`` are: the most alike two first, each word once."""
     same = {w for w in set(a) & set(b) if a.count(w) == b.count(w) == 1}
     scored = [(-1.0, a.index(w), b.index(w)) for w in same]
     for i, x in enumerate(a):
         for j, y in enumerate(b) if x not in same else ():
-            if y not in same and min(len(x), len(y)) >= least * (len(x) + len(y)) / 2 and (r := _alike(x, y, least)):
+            if y not in same and (r := partner(x, y, least)):
                 scored.append((-r, i, j))
     used_a, used_b, out = set(), set(), []
     for r, i, j in sorted(scored):
@@ -203,9 +208,15 @@ HEADING_MARKER = r"^\s*(?:#+\s*)?(?:(?:(?:вопрос|задача|задани
 HEADING_MARKS = r"[,;:.!?«»\"'()\[\]{}/\\—–\-]+"
 
 
+_MARKER, _MARKS = re.compile(HEADING_MARKER, re.IGNORECASE), re.compile(HEADING_MARKS)
+
+
+def folded(s: str) -> str:
+    return unicodedata.normalize("NFKC", s).casefold().replace("ё", "е")
+
+
 def _heading(s: str) -> str:
-    folded = unicodedata.normalize("NFKC", s).casefold().replace("ё", "е")
-    return " ".join(re.sub(HEADING_MARKS, " ", re.sub(HEADING_MARKER, "", folded, flags=re.IGNORECASE)).split())
+    return " ".join(_MARKS.sub(" ", _MARKER.sub("", folded(s))).split())
 
 
 def heading_form(x: Column) -> Column:

@@ -1,16 +1,20 @@
 """Files of reference answers linked to an exam's questions: headers are found, matched, put in an order that agrees with the
 exam's, and what stands between them is bound to the questions and becomes their answers.
 
-Each stage is a table made of the one before. Headers meet questions by word stems within their exam, so no header is
-compared with all questions; the one stage that isn't relational, the best increasing path, is a program over one file's
-certain headers.
+What links a file is a program over its rows and its exam's questions, which are dealt out by file. Headers meet questions by
+word stems, so no header is compared with all questions, and of those that it meets only what may be the best, or near enough to
+the best to make it doubtful, is scored.
 """
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import groups
@@ -28,95 +32,234 @@ NUMBER = r"^\s*(?:(?:вопрос|задача|задание)\s*(?:№|#)?\s*)?
 # The gate of a comparison: stems of six characters of words of four and more, at least two in common (or all),
 # with a share of the question's and of both together.
 STEM, STEMS, OF_QUESTION, OF_BOTH = 6, 2, 0.45, 0.25
+# The score from which a match is called exact, and what sums of floats may be off by.
+EXACT, SLACK = 0.999, 1e-9
+# What a file's rows are, and what its program gives beside the key and what it is.
+QUESTION, RESOLVED, FRAGMENT = range(3)
+GIVEN = ("anchor", "until", "end", "ord", "title", "method", "score", "places", "text")
+_STEM, _TOKEN = re.compile("[a-zа-я0-9]{4,}"), re.compile(X.TOKEN)
+_BLANK = "[ \\t\\n\\x0b\\f\\r]"  # as Java's expressions have it; so are digits
+_NUMBER, _BLANKS = re.compile(NUMBER.replace(r"\s", _BLANK).replace(r"\d", "[0-9]"), re.IGNORECASE), re.compile(f"{_BLANK}+")
 
 
-def stems(form: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(form, F.lit("[a-zа-я0-9]{4,}"), F.lit(0)), lambda w: F.substring(w, 1, STEM)))
+class Found(NamedTuple):
+    """An anchor's header with its question."""
 
+    sure: bool
+    score: float
+    until: int
+    ord: int
+    method: str
+    title: str
+    numbered: bool
 
-def _number(text: Column, part: int) -> Column:
-    return F.regexp_extract(text, f"(?iu){NUMBER}", part).try_cast("int")
+    def rank(self) -> tuple:
+        return self.sure, self.score, -self.until, self.method == "number", -self.ord
 
 
-def headers(fragments: DataFrame) -> DataFrame:
-    """key, anchor, until, title, form, kind, root, child: what may be a header, from each fragment (``key``, ``pos``, ``text``,
-    ``kind``) on. A heading is one fragment; a paragraph may go on for FRAGMENTS of them, up to the next numbered one. Places
-    are counted from 0 in the order of ``pos``."""
-    order = Window.partitionBy("key").orderBy("pos")
-    text = F.coalesce("text", F.lit(""))
-    rows = fragments.select("key", "pos", "kind", text.alias("text"), (F.row_number().over(order) - 1).alias("anchor"), _number(text, 1).alias("root"), _number(text, 2).alias("child"))
-    ahead = [F.struct(F.lead("text", i).over(order).alias("text"), F.lead("root", i).over(order).isNotNull().alias("numbered")) for i in range(1, FRAGMENTS)]
-    rows = rows.withColumn("_next", F.array(*ahead)).where(F.col("kind").isin(*KINDS) & (F.trim("text") != ""))
-    lengths = F.when(F.col("kind") == "heading", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))
-    rows = rows.withColumn("_n", F.explode(lengths)).withColumn("_more", F.slice("_next", F.lit(1), F.col("_n")))
-    rows = rows.where(~F.exists("_more", lambda x: x["text"].isNull() | x["numbered"]))
-    joined = F.trim(F.substring(F.array_join(F.transform(F.concat(F.array("text"), F.transform("_more", lambda x: x["text"])), X.squeezed), " "), 1, CHARACTERS))
-    rows = rows.select("key", "anchor", (F.col("anchor") + F.col("_n") + 1).alias("until"), joined.alias("title"), "kind", "root", "child")
-    return rows.withColumn("form", V.heading_form(F.col("title")))
+def stems(form: str) -> set[str]:
+    return {w[:STEM] for w in _STEM.findall(form)}
+
+
+def words(form: str) -> list[str]:
+    return list(dict.fromkeys(_TOKEN.findall(form)))
+
+
+def numbered(text: str) -> tuple[int | None, int | None]:
+    m = _NUMBER.match(text)
+    return (int(m[1]), int(m[2]) if m[2] else None) if m else (None, None)
+
+
+def in_series(numbers: list[tuple[int, int | None]], known: set[tuple[int, int]]) -> bool:
+    """Whether numbers are one series of known ones: each is the next question or the next part of one."""
+    before, part = None, 0
+    for root, child in numbers:
+        if before is None:
+            follows = child is None or child == 1
+        else:
+            follows = root == before + 1 if child is None else root == before and child == part + 1
+        if not follows or (root, child or 0) not in known:
+            return False
+        before, part = root, child or 0
+    return len(numbers) > 1
+
+
+def _trust(rows: list) -> bool:
+    """Whether a file's numbered headings are one series of its exam's questions."""
+    numbers = (numbered(r.text) for r in rows if r.part == FRAGMENT and r.kind == "heading")
+    return in_series([n for n in numbers if n[0] is not None], {(r.root, r.child or 0) for r in rows if r.part == QUESTION and r.root is not None})
 
 
 def trusted(fragments: DataFrame, questions: DataFrame) -> DataFrame:
-    """key: files whose numbered headings are one series of questions: each is the next question or the next part of one."""
-    rows = fragments.where(F.col("kind") == "heading").select("key", "pos", _number(F.col("text"), 1).alias("root"), _number(F.col("text"), 2).alias("child")).where("root IS NOT NULL")
-    order = Window.partitionBy("key").orderBy("pos")
-    r, c = F.lag("root").over(order), F.coalesce(F.lag("child").over(order), F.lit(0))
-    follows = F.when(F.col("child").isNull(), F.col("root") == r + 1).otherwise((F.col("root") == r) & (F.col("child") == c + 1))
-    rows = rows.withColumn("follows", F.coalesce(follows, r.isNull())).withColumn("part", F.coalesce("child", F.lit(0)))
-    known = questions.where("root IS NOT NULL").select("key", "root", F.coalesce("child", F.lit(0)).alias("part"), F.lit(True).alias("known")).distinct()
-    of = rows.join(known, ["key", "root", "part"], "left").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_and("follows").alias("a"), F.bool_and(F.coalesce("known", F.lit(False))).alias("b"))
-    return of.where("n >= 2 AND a AND b").select("key")
-
-
-def scored(headers_: DataFrame, questions: DataFrame) -> DataFrame:
-    """The columns of headers with ord, asked (the question's title), target (by number) and score: pairs that share enough stems,
-    or stems at all where the header has a question's number, and the numbered question in any case."""
-    q = questions.select("key", "ord", F.col("title").alias("asked"), V.heading_form(F.col("title")).alias("asked_form"), "root", "child")
-    q = q.withColumn("asked_stems", stems(F.col("asked_form")))
-    h = headers_.withColumn("stems", stems(F.col("form")))
-    number = q.where("root IS NOT NULL").groupBy("key", "root", F.coalesce("child", F.lit(0)).alias("_c")).agg(F.min("ord").alias("target"))
-    h = h.withColumn("_c", F.coalesce("child", F.lit(0))).join(number, ["key", "root", "_c"], "left").drop("_c")
-    by_stem = h.select("key", "anchor", "until", "target", F.size("stems").alias("n"), F.explode("stems").alias("stem")).join(q.select("key", "ord", F.size("asked_stems").alias("m"), F.explode("asked_stems").alias("stem")), ["key", "stem"])
-    met = by_stem.groupBy("key", "anchor", "until", "ord").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("target").alias("target"), F.count(F.lit(1)).alias("both"))
-    gate = (F.col("both") >= F.least(F.lit(STEMS), F.col("m"))) & (F.col("both") >= OF_QUESTION * F.col("m")) & (F.col("both") >= OF_BOTH * (F.col("n") + F.col("m") - F.col("both")))
-    pairs = met.where(F.col("target").isNotNull() | gate).select("key", "anchor", "until", "ord").unionByName(h.where("target IS NOT NULL").select("key", "anchor", "until", F.col("target").alias("ord"))).distinct()
-    words = lambda c: F.array_distinct(X.tokens(F.col(c)))
-    both = h.drop("root", "child", "stems").join(pairs, ["key", "anchor", "until"]).join(q.drop("root", "child", "asked_stems"), ["key", "ord"])
-    both = both.withColumn("_a", words("form")).withColumn("_b", words("asked_form"))
-    # What lengths alone keep under the bar isn't compared, but for headings, whose number may count without it.
-    share = lambda a, b: F.least(a, b) / F.greatest(a, b, F.lit(1))
-    most = (share(F.size("_a"), F.size("_b")) + 2 * F.least(F.length("form"), F.length("asked_form")) / F.greatest(F.length("form") + F.length("asked_form"), F.lit(1))) / 2
-    bar, by_number = min(LIKELY, NUMBERED), F.coalesce((F.col("kind") == "heading") & (F.col("ord") == F.col("target")), F.lit(False))
-    compared = (most >= bar) | by_number
-    # Comparing costs far more than its rows weigh, so they aren't left to partitions by size.
-    tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = both.where(compared).repartition(tasks, "key", "anchor", "until", "ord").withColumn("score", V.heading_score(F.col("form"), F.col("_a"), F.col("asked_form"), F.col("_b"), F.when(by_number, 0.0).otherwise(bar)))
-    return rows.unionByName(both.where(~F.coalesce(compared, F.lit(False)) & (F.col("ord") == F.col("target"))).withColumn("score", F.lit(0.0))).drop("_a", "_b")
-
-
-def candidates(headers_: DataFrame, questions: DataFrame, trusted_: DataFrame, resolved: DataFrame) -> DataFrame:
-    """key, anchor, until, ord, title, kind, score, method, sure, numbered: each anchor's best header and question.
-
-    A resolved heading (``key``, ``form``, ``ord``: somebody chose) goes before all. Questions of equal titles are one. Of an
-    anchor's choices the certain one counts, then the best, then the shortest header.
+    """key: files whose numbered headings are one series of questions."""
+    rows = _dealt(fragments.where("kind = 'heading'"), questions)
+    return groups.over(rows.where("key IS NOT NULL"), ["key"], ["part", "pos"], lambda x: [(x[0].key,)] if _trust(x) else [], f"key {dict(rows.dtypes)['key']}")
+
+
+def _dealt(fragments: DataFrame, questions: DataFrame, *resolved: DataFrame) -> DataFrame:
+    """The rows of files and their exams in one table."""
+    parts = [
+        questions.select("key", F.lit(QUESTION).alias("part"), "ord", F.col("title").alias("text"), F.lower("title").alias("lower"), "root", "child"),
+        *(r.select("key", F.lit(RESOLVED).alias("part"), F.col("form").alias("text"), "ord") for r in resolved),
+        fragments.select("key", F.lit(FRAGMENT).alias("part"), "pos", F.coalesce("text", F.lit("")).alias("text"), "kind"),
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+class Exam:
+    """One exam's questions (ord, title, its lower case, root, child), as headers meet them: equal forms are one, found by stems or
+    by number. A question without ord meets nothing."""
+
+    def __init__(self, questions: Iterable[tuple]):
+        self.named: dict[str, list[tuple]] = {}  # form: (ord, lower case) of its questions
+        self.target: dict[tuple, int] = {}  # number: ord
+        self.forms: dict[int, list[str]] = {}  # ord: forms
+        self.lower: dict[int, list[str]] = {}  # ord: lower cases
+        self.twins: dict[str, list[int]] = {}  # lower case: ords
+        self.by_stem: dict[str, list[str]] = {}  # stem: forms
+        for ord_, title, lower, root, child in questions:
+            if ord_ is None:
+                continue
+            form = V._heading(title or "")
+            self.named.setdefault(form, []).append((ord_, lower))
+            self.forms.setdefault(ord_, []).append(form)
+            if root is not None:
+                number = root, child or 0
+                self.target[number] = min(ord_, self.target.get(number, ord_))
+            if lower is not None:
+                self.lower.setdefault(ord_, []).append(lower)
+                self.twins.setdefault(lower, []).append(ord_)
+        self.words, self.stems = {f: words(f) for f in self.named}, {f: len(stems(f)) for f in self.named}
+        self.by_word: dict[str, list[str]] = {}  # word: forms
+        for f in self.named:
+            for stem in stems(f):
+                self.by_stem.setdefault(stem, []).append(f)
+            for word in self.words[f]:
+                self.by_word.setdefault(word, []).append(f)
+        self.fewest = min((max(min(STEMS, n), OF_QUESTION * n) for n in self.stems.values() if n), default=1)  # stems that any gate needs
+        self.vocabulary = [(w, len(w), V._set(w)) for w in self.by_word]
+        self._partners: dict[str, list[tuple[str, float]]] = {}
+
+    def met(self, form: str, any_: bool) -> list[str]:
+        """Forms that share enough stems with a header's, or (``any_``) stems at all."""
+        own, both = stems(form), {}
+        for stem in own:
+            for f in self.by_stem.get(stem, ()):
+                both[f] = both.get(f, 0) + 1
+        return [f for f, n in both.items() if any_ or (n >= min(STEMS, self.stems[f]) and n >= OF_QUESTION * self.stems[f] and n >= OF_BOTH * (len(own) + self.stems[f] - n))]
+
+    def partners(self, word: str) -> list[tuple[str, float]]:
+        """Forms with a word that may be a word's partner, and how alike the most alike is."""
+        if (found := self._partners.get(word)) is None:
+            k, x, best = len(word), V._set(word), {}
+            for w, m, y in self.vocabulary:
+                both = 0.4 * (k + m) - SLACK
+                if k >= both and m >= both and k - (x & ~y).bit_count() >= both and (r := V.partner(word, w)):
+                    for f in self.by_word[w]:
+                        best[f] = max(r, best.get(f, 0.0))
+            found = self._partners[word] = list(best.items())
+        return found
+
+    def bound(self, form: str, own: list[str], near: list[str], least: float) -> list[tuple[float, str]]:
+        """What a header may score at most with forms, where that is ``least`` at least: no more words in common than have partners,
+        no more characters than are in the same order."""
+        have = dict.fromkeys(near, 0.0)
+        for word in own:
+            for f, r in self.partners(word):
+                if f in have:
+                    have[f] += r
+        out, m, n = [], len(form), len(own)
+        for f, both in have.items():
+            k, others = len(f), len(self.words[f])
+            both = min(both, n, others)
+            share = both / max(n + others - both, 1)
+            if (share + 2 * min(m, k) / max(m + k, 1)) / 2 >= least and (top := (share + 2 * V._in_order(form, f) / max(m + k, 1)) / 2) >= least:
+                out.append((top, f))
+        return out
+
+    def by_number(self, form: str, target: int, heading: bool, trust: bool) -> list[float]:
+        """Scores of a numbered header and its questions, without some that are under the bar; a trusted heading, whose number counts
+        in any case, has all."""
+        own = words(form)
+        forms = self.forms[target]
+        if not trust and (form or "" not in forms):
+            forms = [f for _, f in self.bound(form, own, forms, NUMBERED - SLACK)]
+        return [V.score_headings(form, own, f, self.words[f]) for f in forms if heading or most(form, own, f, self.words[f]) >= NUMBERED]
+
+    def nearest(self, form: str, near: list[str], bar: float, ahead: float) -> tuple[float, int, float] | None:
+        """The best score with its question (the first of equal ones), and the next best score of another title, 0 if it is too
+        far behind to count; None without a score of ``bar``. Nothing that is AHEAD behind ``ahead`` or the best so far is scored:
+        no characters in common could bring it there."""
+        own, best, titles = words(form), 0.0, {}
+        near = [f for f in near if most(form, own, f, self.words[f]) >= LIKELY]
+        for bound, f in sorted(self.bound(form, own, near, max(bar, ahead - AHEAD) - SLACK), reverse=True):
+            least = max(bar, max(ahead, best) - AHEAD) - SLACK
+            if bound < least:
+                break
+            score = 1.0 if f == form and own else V.score_headings(form, own, f, self.words[f])
+            if score >= LIKELY:
+                best = max(best, score)
+                for ord_, lower in self.named[f]:
+                    o, x = titles.get(lower, (ord_, score))
+                    titles[lower] = min(o, ord_), max(x, score)
+        if best < bar:
+            return None
+        first, *rest = sorted((-x, o) for o, x in titles.values())
+        return -first[0], first[1], -rest[0][0] if rest else 0.0
+
+
+def most(form: str, own: list[str], other: str, others: list[str]) -> float:
+    """The best score that the lengths of two forms and the numbers of their words allow."""
+    a, b, m, n = len(own), len(others), len(form), len(other)
+    return (min(a, b) / max(a, b, 1) + 2 * min(m, n) / max(m + n, 1)) / 2
+
+
+def candidates(exam: Exam, fragments: list[tuple[str, str]], resolved: dict[str, int], trust: bool) -> Iterator[tuple[int, Found]]:
+    """The places (from 0) of fragments (text, kind) that may be headers, each with its best header.
+
+    A header begins at a fragment. A heading is one fragment; a paragraph may go on for FRAGMENTS of them, up to the next numbered
+    one. A resolved heading (``form``: somebody chose) goes before all, then the question of its number, then the best of those
+    that share stems. Of an anchor's choices the certain one counts, then the best, then the shortest header.
+
+    Left out is what nothing comes of: an uncertain header that is no suggestion either, for which a paragraph without a
+    question's number needs a score of PLAIN, every other header one of LIKELY.
     """
-    pairs = shared.cut(scored(headers_, questions))
-    one = ["key", "anchor", "until"]
-    distinct = pairs.where((F.col("score") >= LIKELY)).groupBy(*one, F.lower("asked").alias("_t")).agg(F.min("ord").alias("ord"), F.max("score").alias("score"), F.first("title").alias("title"), F.first("kind").alias("kind"), F.first("target").alias("target"))
-    w = Window.partitionBy(*one).orderBy(F.desc("score"), "ord")
-    best = distinct.withColumn("_next", F.coalesce(F.lead("score").over(w), F.lit(0.0))).withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    named = lambda s, other: F.when(s >= 0.999, "exact").otherwise(other)
-    columns = [*one, "ord", "title", "kind", "score", "method", "sure", "numbered"]
-    s = F.col("score")
-    fuzzy = best.select(*one, "ord", "title", "kind", "score", named(s, "fuzzy").alias("method"), ((s >= SURE) & (s - F.col("_next") >= AHEAD)).alias("sure"), F.col("target").isNotNull().alias("numbered"))
-    by_number = pairs.where("ord = target").join(trusted_.withColumn("_trust", F.lit(True)), "key", "left")
-    sure = (s >= NUMBERED) | ((F.col("kind") == "heading") & F.coalesce("_trust", F.lit(False)))
-    by_number = by_number.select(*one, "ord", "title", "kind", "score", named(s, "number").alias("method"), sure.alias("sure"), F.lit(True).alias("numbered"))
-    certain = by_number.where(s >= NUMBERED).select(*one)
-    chosen = headers_.join(resolved, ["key", "form"]).select(*one, "ord", "title", "kind", F.lit(1.0).alias("score"), F.lit("resolved").alias("method"), F.lit(True).alias("sure"), F.col("root").isNotNull().alias("numbered"))
-    free = by_number.select(*columns).unionByName(fuzzy.join(certain, one, "left_anti").select(*columns))
-    every = chosen.select(*columns).unionByName(free.join(chosen.select(*one), one, "left_anti"))
-    first = F.max_by(F.struct(*columns[2:]), F.struct("sure", "score", -F.col("until"), F.col("method") == "number", -F.col("ord")))
-    return every.groupBy("key", "anchor").agg(first.alias("x")).select("key", "anchor", "x.*")
+    numbers = [numbered(text) for text, _ in fragments]
+    squeezed = [_BLANKS.sub(" ", text).strip(" ") for text, _ in fragments]
+    own = [stems(V.folded(text)) for text in squeezed]
+    known = [s & exam.by_stem.keys() for s in own]
+    chosen = [stems(form) for form in resolved]
+    for i, (text, kind) in enumerate(fragments):
+        if kind not in KINDS or not text.strip(" "):
+            continue
+        root, child = numbers[i]
+        heading, target = kind == "heading", None if root is None else exam.target.get((root, child or 0))
+        bar, best = LIKELY if heading or target is not None else PLAIN, None
+        for until in range(i + 1, min(len(fragments), i + (1 if heading else FRAGMENTS)) + 1):
+            if until > i + 1 and numbers[until - 1][0] is not None:
+                break
+            joined = " ".join(squeezed[i:until])
+            # A whole header's stems are among those of its fragments: without enough of them it needn't be made.
+            if target is None and len(joined) <= CHARACTERS and len(set().union(*known[i:until])) < exam.fewest and not any(c <= set().union(*own[i:until]) for c in chosen):
+                continue
+            title = joined[:CHARACTERS].strip(" ")
+            form = V._heading(title)
+            if form in resolved:
+                choices = [Found(True, 1.0, until, resolved[form], "resolved", title, root is not None)]
+            else:
+                scores = [] if target is None else exam.by_number(form, target, heading, heading and trust)
+                named = lambda s, other: "exact" if s >= EXACT else other
+                choices = [Found(True, s, until, target, named(s, "number"), title, True) for s in scores if s >= NUMBERED or (heading and trust)]
+                if not any(s >= NUMBERED for s in scores) and (near := exam.met(form, target is not None)):
+                    ahead = 0.0 if best is None else best.score if best.sure else min(best.score, SURE)
+                    if found := exam.nearest(form, near, bar, ahead):
+                        s, ord_, after = found
+                        choices.append(Found(s >= SURE and s - after >= AHEAD, s, until, ord_, named(s, "fuzzy"), title, target is not None))
+            best = max([*choices, *([best] if best else [])], key=Found.rank, default=None)
+            if best and best.sure and best.score >= 1:
+                break
+        if best:
+            yield i, best
 
 
 def best_path(anchor: list[int], until: list[int], node: list[int], score: list[float]) -> list[int]:
@@ -147,14 +290,50 @@ def best_path(anchor: list[int], until: list[int], node: list[int], score: list[
     return out[::-1]
 
 
-def path(found: DataFrame) -> DataFrame:
-    """The certain candidates that agree with the exam's order."""
-    kinds = dict(found.dtypes)
-
-    def of(rows: list) -> list[tuple]:
-        return [rows[i] for i in best_path(*([getattr(r, c) for r in rows] for c in ("anchor", "until", "ord", "score")))]
+def of_file(rows: list) -> Iterator[tuple]:
+    """What a file's rows give: its sections, each question's answer with its places, suggestions, and questions that have no
+    section.
 
-    return groups.over(found.where("sure"), ["key"], ["anchor"], of, ", ".join(f"{c} {kinds[c]}" for c in found.columns))
+    A section ends before the next header of the path or the next place that looks like a header, but not within its own header.
+    Questions of the same title all get its fragments.
+    """
+    parts: dict[int, list] = {kind: [] for kind in (QUESTION, RESOLVED, FRAGMENT)}
+    for r in rows:
+        parts[r.part].append(r)
+    key, questions, fragments = rows[0].key, [(r.ord, r.text, r.lower, r.root, r.child) for r in parts[QUESTION]], parts[FRAGMENT]
+    row = lambda what, **x: (key, what, *map(x.get, GIVEN))
+    if key is None:
+        fragments, questions = [], [(None, *q[1:]) for q in questions]
+    exam, resolved = Exam(questions), {}
+    for r in parts[RESOLVED]:
+        if r.ord is not None:
+            resolved[r.text] = min(r.ord, resolved.get(r.text, r.ord))
+    found = list(candidates(exam, [(r.text, r.kind) for r in fragments], resolved, _trust(rows)))
+    certain = [(i, c) for i, c in found if c.sure]
+    chain = [certain[j] for j in best_path([i for i, _ in certain], [c.until for _, c in certain], [c.ord for _, c in certain], [c.score for _, c in certain])]
+    stops, stop = {}, len(fragments)  # of each place the next one that looks like a header
+    for i, c in reversed(found):
+        stops[i] = stop
+        if c.score >= SURE or (fragments[i].kind == "heading" and c.score >= LIKELY):
+            stop = i
+    places: dict[int, set[int]] = {}
+    for n, (i, c) in enumerate(chain):
+        end = min(chain[n + 1][0] if n + 1 < len(chain) else len(fragments), max(stops[i], c.until))
+        yield row("section", anchor=i, until=c.until, end=end, ord=c.ord, title=c.title, method=c.method)
+        for twin in {o for lower in exam.lower.get(c.ord, ()) for o in exam.twins[lower]}:
+            places.setdefault(twin, set()).update(range(c.until, end))
+    for ord_, at in places.items():
+        if at:
+            yield row("answer", ord=ord_, places=list(dict.fromkeys(fragments[j].pos for j in sorted(at))), text="\n".join(fragments[j].text.strip(" ") for j in sorted(at)))
+    hints: dict[int, tuple] = {}
+    for i, c in found:
+        if not c.sure and c.ord not in places and (c.ord not in hints or c.score > hints[c.ord][1]):
+            hints[c.ord] = i, c.score, c.title
+    for ord_, (i, score, title) in hints.items():
+        yield row("suggestion", anchor=i, ord=ord_, title=title, score=score)
+    for r in parts[QUESTION]:
+        if r.ord not in places:
+            yield row("missing", ord=r.ord)
 
 
 @dataclass(frozen=True)
@@ -171,29 +350,15 @@ def linked(fragments: DataFrame, questions: DataFrame, resolved: DataFrame, manu
     (its number; null if it has none); ``resolved`` key, form, ord; ``manual`` key, pos, ord (links by hand, which stay and
     aren't doubled); ``edited`` key, ord (answers by hand, which aren't overwritten).
 
-    A section ends before the next header of the path or the next place that looks like a header, but not within its own
-    header. Questions of the same title all get its fragments.
+    Files without a key link nothing.
     """
-    fragments, questions = shared.cut(fragments), shared.cut(questions)
-    found = shared.cut(candidates(shared.cut(headers(fragments)), questions, trusted(fragments, questions), resolved))
-    whole = fragments.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1).select("key", "pos", "at", F.coalesce("text", F.lit("")).alias("text"))
-    stop = F.when((F.col("score") >= SURE) | ((F.col("kind") == "heading") & (F.col("score") >= LIKELY)), F.col("anchor"))
-    size = whole.groupBy("key").agg((F.max("at") + 1).alias("_n"))
-    after = Window.partitionBy("key").orderBy("anchor").rowsBetween(1, Window.unboundedFollowing)
-    stops = found.select("key", "anchor", F.min(stop).over(after).alias("_stop"))
-    chain = path(found)
-    ends = chain.withColumn("_next", F.lead("anchor").over(Window.partitionBy("key").orderBy("anchor"))).join(stops, ["key", "anchor"]).join(size, "key")
-    end = F.least(F.coalesce("_next", "_n"), F.greatest(F.coalesce("_stop", "_n"), F.col("until")))
-    sections = shared.cut(ends.select("key", "anchor", "until", end.alias("end"), "ord", "title", "method"))
-    named = questions.select("key", "ord", F.lower("title").alias("_t"))
-    twins = sections.select("key", "anchor", "until", "end", "ord").join(named, ["key", "ord"]).drop("ord").join(named, ["key", "_t"]).drop("_t")
-    body = twins.withColumn("at", F.explode(F.when(F.col("end") > F.col("until"), F.sequence("until", F.col("end") - 1)))).join(whole, ["key", "at"])
-    auto = body.select("key", "pos", "ord").distinct().join(manual, ["key", "pos", "ord"], "left_anti")
+    rows = _dealt(fragments, questions, resolved)
+    kinds = dict(rows.dtypes)
+    schema = f"key {kinds['key']}, what string, anchor int, until int, end int, ord {kinds['ord']}, title string, method string, score double, places array<{kinds['pos']}>, text string"
+    given = shared.cut(groups.over(rows, ["key"], ["part", "pos"], of_file, schema))
+    got = lambda what, *columns: given.where(F.col("what") == what).select("key", *columns)
+    auto = got("answer", F.explode("places").alias("pos"), "ord").join(manual, ["key", "pos", "ord"], "left_anti")
     bindings = auto.withColumn("origin", F.lit("auto")).unionByName(manual.select("key", "pos", "ord").distinct().withColumn("origin", F.lit("manual")))
-    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: F.trim(x["text"])), "\n")
-    filled = body.groupBy("key", "ord").agg(told.alias("text")).join(edited.select("key", "ord").distinct().withColumn("_e", F.lit(True)), ["key", "ord"], "left")
+    filled = got("answer", "ord", "text").join(edited.select("key", "ord").distinct().withColumn("_e", F.lit(True)), ["key", "ord"], "left")
     answers = filled.select("key", "ord", F.when(F.col("_e"), "preserve").otherwise("create").alias("action"), "text")
-    missing = questions.select("key", "ord").join(twins.select("key", "ord").distinct(), ["key", "ord"], "left_anti")
-    open_ = found.where(~F.col("sure") & (F.col("score") >= LIKELY) & (F.col("numbered") | (F.col("kind") == "heading") | (F.col("score") >= PLAIN))).join(missing, ["key", "ord"], "left_semi")
-    first = open_.groupBy("key", "ord").agg(F.max_by(F.struct("anchor", "title", "score"), F.struct("score", -F.col("anchor"))).alias("x"))
-    return Linked(sections, bindings, answers, first.select("key", "ord", "x.*"), missing)
+    return Linked(got("section", "anchor", "until", "end", "ord", "title", "method"), bindings, answers, got("suggestion", "ord", "anchor", "title", "score"), got("missing", "ord"))

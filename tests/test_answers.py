@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import defaultdict, namedtuple
 
 import pytest
 
@@ -152,3 +152,45 @@ def test_best_path_is_the_best_of_all(seed):
         p = W.best_path(anchor, until, node, score)
         assert all(until[a] <= anchor[b] and node[a] < node[b] for a, b in zip(p, p[1:], strict=False))
         assert abs(sum(10 + score[i] for i in p) - max(sums)) < 1e-9
+
+
+def test_a_header_is_scored_only_with_what_may_be_its_best(monkeypatch):
+    rng, scored = random.Random(3), []
+    whole = V.score_headings
+    monkeypatch.setattr(V, "score_headings", lambda *a: scored.append(a[2]) or whole(*a))
+    some = ["amber", "copper", "violet", "silver", "maroon", "indigo", "crimson", "salmon"]
+    titles = [f"{a} {b} plated tin of brand {rng.randrange(10, 60)}, supply and demand" for a in some for b in some if a < b]
+    row = namedtuple("row", "key part pos ord text lower kind root child")
+    rows = [row(1, W.QUESTION, None, i, t, t, None, i, None) for i, t in enumerate(titles)]
+    for i, t in enumerate(titles):
+        texts = [("paragraph", t.replace("o", "0")), ("paragraph", "The answer says this and goes on."), ("list", "and on")]
+        rows += [row(1, W.FRAGMENT, 10 * i + j, None, text, None, kind, None, None) for j, (kind, text) in enumerate(texts)]
+    got = list(W.of_file(rows))
+    sections = [(r[2], r[5], r[7]) for r in got if r[1] == "section"]
+    assert len(sections) >= 10 and all(x == (3 * x[1], x[1], "fuzzy") for x in sections)
+    # Each of 28 headers of up to four fragments shares enough stems with all 28 questions.
+    assert len(scored) < 4 * len(titles), len(scored)
+
+
+def test_linking_of_odd_files(spark):
+    rng = random.Random(11)
+    vocabulary = ["Sets", "unions", "families", "ordered", "pairs", "Ёлки", "straße", "limits", "ﬁnite", "of", "the", "sequences", "sequence's", "№", "∑", "functions", "12", "Σύνολα"]
+
+    def said(n):
+        t = " ".join(rng.choice(vocabulary) for _ in range(n))
+        t = t.replace(rng.choice("eosi"), rng.choice("eo0s")) if rng.random() < 0.4 else t
+        return rng.choice([t, t.upper(), f"  {t} ", f"{rng.randrange(1, 7)}. {t}", f"{rng.randrange(1, 4)}.{rng.randrange(1, 3)} {t}", f"Задача № {rng.randrange(1, 7)}: {t}", t.replace(" ", "\x0b "), f"{t}, {t}"])
+
+    t = {k: [] for k in ("fragments", "questions", "resolved", "manual", "edited")}
+    for key in map(str, range(60)):
+        titles = [said(rng.randrange(1, 7)) for _ in range(rng.randrange(1, 9))]
+        titles += [x.lower() for x in titles[:2]] + [""]
+        t["questions"] += [(key, i + 1, x, i + 1 if rng.random() < 0.7 else None, rng.choice([None, None, 1])) for i, x in enumerate(titles)]
+        t["questions"] = [(k, o, x, r, c if r else None) for k, o, x, r, c in t["questions"]]
+        texts = [rng.choice([rng.choice(titles), said(rng.randrange(1, 7)), said(2) * rng.choice([1, 60]), "", None, "..."]) for _ in range(rng.randrange(40))]
+        t["fragments"] += [(key, i, x, rng.choice(["heading", "paragraph", "paragraph", "list", "table"])) for i, x in enumerate(texts)]
+        t["resolved"] += [(key, V._heading(x or ""), rng.randrange(len(titles)) + 1) for x in {y: 0 for y in rng.sample(texts, min(len(texts), 1))}]
+    t["manual"], t["edited"] = [("1", 2, 1), ("2", 5, 2)], [("1", 1), ("3", 2)]
+    schema = {"fragments": "key string, pos int, text string, kind string", "questions": "key string, ord int, title string, root int, child int", "resolved": "key string, form string, ord int", "manual": "key string, pos int, ord int", "edited": "key string, ord int"}
+    got = compare(spark, {k: spark.createDataFrame(v, schema[k]) for k, v in t.items()})
+    assert {r.method for r in got.sections.collect()} >= {"exact", "fuzzy", "number", "resolved"}
