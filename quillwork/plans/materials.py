@@ -105,14 +105,14 @@ _PLAIN = "trim(regexp_replace(lower(translate(regexp_replace(regexp_replace({},
   SELECT id, CASE WHEN how IS NOT NULL THEN ref ELSE other END AS found, coalesce(how, CASE WHEN other IS NOT NULL THEN 'ref_corrected' ELSE 'lost' END) AS how FROM h LEFT JOIN c USING (id)""")
 def evidence_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotations of lines, as they are and changed in five ways, found again: exact, normalized, approximate or elsewhere."""
-    units = T.lines(spark, sf_dir).where("pos < 1000").select((F.col("doc_id") * 1000 + F.col("pos")).alias("ref"), F.col("line").alias("text"), "doc_id", "pos")
+    of = lambda dealt: T.lines(spark, sf_dir, dealt).where("pos < 1000").select((F.col("doc_id") * 1000 + F.col("pos")).alias("ref"), F.col("line").alias("text"), "doc_id", "pos")
     after = F.coalesce(F.lead("ref").over(Window.partitionBy("doc_id").orderBy("pos")), F.col("ref"))
-    n = units.withColumn("w", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).withColumn("after", after).where("size(w) >= 14 AND pos % 3 = 0")
+    n = of(True).withColumn("after", after).where("pos % 3 = 0").withColumn("w", F.split(F.trim("text", F.lit(" \t\n\x0b\f\r")), r"\s+", 15)).where("size(w) >= 14")
     eleven, way = F.slice("w", 2, 11), (F.col("doc_id") + F.col("pos")) % 6
     every = lambda k: F.array_join(F.transform(eleven, lambda x, i: F.when((i + 1) % k == 0, "zzz").otherwise(x)), " ")
     quote = F.when(way == 1, F.upper(F.array_join(eleven, "  "))).when(way == 2, every(5)).when(way == 3, every(2)).when(way == 5, F.translate(F.array_join(eleven, " "), "e", "е")).otherwise(F.array_join(eleven, " "))
     evidence = n.select(F.col("ref").alias("id"), F.when(way == 4, F.col("after")).otherwise(F.col("ref")).alias("ref"), quote.alias("quote"))
-    return E.repaired(evidence, units.select("ref", "text")).select("id", "found", "how")
+    return E.repaired(evidence, of(False).select("ref", "text")).select("id", "found", "how")
 
 
 _PAGED = f"""{T.LINES}, fr AS (SELECT doc_id AS key, pos // 5 AS page, row_number() OVER (PARTITION BY doc_id, pos // 5 ORDER BY pos) - 1 AS place, pos, line AS text, length(line) % 3 = 0 AS heading, CASE WHEN length(line) % 4 < 3 THEN length(line) % 4 + 1 END AS level, length(line) % 9 > 0 AS content FROM lines),
