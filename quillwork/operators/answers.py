@@ -160,11 +160,11 @@ class Exam:
             found = self._partners[word] = list(best.items())
         return found
 
-    def bound(self, form: str, own: list[str], near: list[str], least: float) -> list[tuple[float, str]]:
-        """What a header may score at most with forms, where that is ``least`` at least: no more words in common than have partners,
-        no more characters than are in the same order."""
+    def bounds(self, form: str, own: list[str], near: list[str], least: float) -> list[tuple[float, float, str]]:
+        """What a header may score at most with forms, where that is ``least`` at least, largest first, and the share of words in it:
+        no more words are in common than have partners, no more characters than the shorter has."""
         have = dict.fromkeys(near, 0.0)
-        for word in own:
+        for word in own if near else ():
             for f, r in self.partners(word):
                 if f in have:
                     have[f] += r
@@ -173,30 +173,37 @@ class Exam:
             k, others = len(f), len(self.words[f])
             both = min(both, n, others)
             share = both / max(n + others - both, 1)
-            if (share + 2 * min(m, k) / max(m + k, 1)) / 2 >= least and (top := (share + 2 * V._in_order(form, f) / max(m + k, 1)) / 2) >= least:
-                out.append((top, f))
-        return out
+            if (top := (share + 2 * min(m, k) / max(m + k, 1)) / 2) >= least:
+                out.append((top, share, f))
+        return sorted(out, reverse=True)
+
+    def score(self, form: str, own: list[str], f: str, share: float, least: float) -> float:
+        """A header's score with a form, 0 if the characters in the same order keep it under ``least``."""
+        if form == f and own:
+            return 1.0
+        return V.score_headings(form, own, f, self.words[f]) if (share + 2 * V._in_order(form, f) / max(len(form) + len(f), 1)) / 2 >= least else 0.0
 
     def by_number(self, form: str, target: int, heading: bool, trust: bool) -> list[float]:
         """Scores of a numbered header and its questions, without some that are under the bar; a trusted heading, whose number counts
         in any case, has all."""
         own = words(form)
-        forms = self.forms[target]
-        if not trust and (form or "" not in forms):
-            forms = [f for _, f in self.bound(form, own, forms, NUMBERED - SLACK)]
-        return [V.score_headings(form, own, f, self.words[f]) for f in forms if heading or most(form, own, f, self.words[f]) >= NUMBERED]
+        forms = [f for f in self.forms[target] if heading or most(form, own, f, self.words[f]) >= NUMBERED]
+        if trust or not form:
+            return [V.score_headings(form, own, f, self.words[f]) for f in forms]
+        return [self.score(form, own, f, share, NUMBERED - SLACK) for _, share, f in self.bounds(form, own, forms, NUMBERED - SLACK)]
 
     def nearest(self, form: str, near: list[str], bar: float, ahead: float) -> tuple[float, int, float] | None:
         """The best score with its question (the first of equal ones), and the next best score of another title, 0 if it is too
         far behind to count; None without a score of ``bar``. Nothing that is AHEAD behind ``ahead`` or the best so far is scored:
         no characters in common could bring it there."""
         own, best, titles = words(form), 0.0, {}
-        near = [f for f in near if most(form, own, f, self.words[f]) >= LIKELY]
-        for bound, f in sorted(self.bound(form, own, near, max(bar, ahead - AHEAD) - SLACK), reverse=True):
+        least = max(bar, max(ahead, float(form in near)) - AHEAD) - SLACK
+        near = [f for f in near if most(form, own, f, self.words[f]) >= max(LIKELY, least)]
+        for bound, share, f in self.bounds(form, own, near, least):
             least = max(bar, max(ahead, best) - AHEAD) - SLACK
             if bound < least:
                 break
-            score = 1.0 if f == form and own else V.score_headings(form, own, f, self.words[f])
+            score = self.score(form, own, f, share, least)
             if score >= LIKELY:
                 best = max(best, score)
                 for ord_, lower in self.named[f]:
